@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_core",)
+_MODULES = ("q_core", "q_pit")
 
 
 def load_all() -> None:
