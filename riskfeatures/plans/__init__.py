@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_core", "q_pit")
+_MODULES = ("q_core", "q_pit", "q_analytics")
 
 
 def load_all() -> None:

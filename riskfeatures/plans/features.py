@@ -243,3 +243,19 @@ def checkpoint_long(wide: DataFrame) -> DataFrame:
         c = c.withColumn(dst, F.lit(None).cast(h.schema[dst].dataType))
     return (c.withColumn("checkpoint", F.lit("creation"))
             .unionByName(h.withColumn("checkpoint", F.lit("halfway"))))
+
+
+_MEMO: dict = {}
+
+
+def feature_table(spark, sf_dir: str, as_of=AS_OF) -> DataFrame:
+    """The leak-free wide table, built once per session and input folder and
+    cut from its lineage with a reliable checkpoint in the cluster's shared
+    ``spark.checkpoint.dir`` (survives executor loss; downstream analytics
+    re-read it instead of re-running the PIT plan)."""
+    from ..session import cut_lineage
+    from ..sources.roles import roles
+    key = (id(spark._jsparkSession), sf_dir, str(as_of))
+    if key not in _MEMO:
+        _MEMO[key] = cut_lineage(leak_free_wide(roles(spark, sf_dir), as_of), spark)
+    return _MEMO[key]
