@@ -46,7 +46,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def rounded(sql: str, cols: Sequence[str], digits: int = 6) -> str:
     """Wrap ``sql`` so the named columns are rounded (CTEs stay at the top)."""
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in cols)
+    rep = ", ".join(f'round(CAST("{c}" AS DOUBLE), {digits}) AS "{c}"' for c in cols)
     body = sql.strip()
     if body[:4].upper() == "WITH":
         # split off the final SELECT: wrap it as a CTE named _final
