@@ -32,7 +32,7 @@ DEPT_RISK_BINS = (-0.001, 0.10, 0.20, 0.30, 1.0)
 DEPT_RISK_LABELS = ("Low Risk (0-10%)", "Moderate (10-20%)", "High (20-30%)",
                     "Critical (>30%)")
 REVISION_BUCKETS = ("0", "1", "2", "3+")
-RISK_BADGE = ((0.35, "High"), (0.20, "Elevated"), (0.10, "Moderate"))
+RISK_BADGE = ((0.35, "Critical Risk"), (0.20, "High Risk"), (0.10, "Moderate Risk"))
 GAUGE_BANDS = (20.0, 35.0)
 
 # ---- fixed values: checkpoint column maps (creation / halfway datasets) -----
