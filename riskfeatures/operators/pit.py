@@ -73,29 +73,35 @@ def pit_merge(events: DataFrame, cutoffs: DataFrame, event_key: str, cutoff_key:
     ts <= cutoff), ``pit_last_ts`` and ``pit_last`` (struct of ``values`` of the
     latest such event, NULL when none).
     """
-    def bkt(c):
-        return F.date_trunc(bucket, c)
-
     vals = F.struct(*[F.col(v) for v in values]) if values else F.lit(None)
     seqs = [F.col(s) for s in seq] or [F.lit(0)]
-    ev = (events.filter(F.col(event_key).isNotNull() & F.col(event_ts).isNotNull())
-          .select(F.col(event_key).alias("_k"), F.col(event_ts).cast("timestamp_ntz").alias("_ts"),
-                  F.struct(*seqs).alias("_seq"), vals.alias("_v"),
-                  *[F.lit(None).cast(cutoffs.schema[c].dataType).alias(c) for c in carry])
-          .withColumn("_b", bkt("_ts")).withColumn("_is_cut", F.lit(1)))
-    cu = (cutoffs.select(F.col(cutoff_key).alias("_k"), F.col(cutoff_ts).cast("timestamp_ntz").alias("_ts"),
-                         F.lit(None).cast(ev.schema["_seq"].dataType).alias("_seq"),
-                         F.lit(None).cast(ev.schema["_v"].dataType).alias("_v"),
-                         *[F.col(c) for c in carry])
-          .withColumn("_b", bkt("_ts")).withColumn("_is_cut", F.lit(2)))
+    ev = events.select(F.col(event_key).alias("_k"), F.col(event_ts).alias("_ts"),
+                       F.struct(*seqs).alias("_seq"), vals.alias("_v"))
+    cu = cutoffs.select(F.col(cutoff_key).alias("_k"), F.col(cutoff_ts).alias("_ts"), *carry)
+    return pit_merge_frames(ev, cu, carry, bucket)
+
+
+def pit_merge_frames(ev: DataFrame, cu: DataFrame, carry: Sequence[str],
+                     bucket: str = "day") -> DataFrame:
+    """``pit_merge`` on canonical frames: ``ev(_k, _ts, _seq, _v)`` and
+    ``cu(_k, _ts, *carry)``.  ``_k`` may be a struct (several event sources
+    scanned in one pass: key = (source, id))."""
+    ev = (ev.filter(F.col("_k").isNotNull() & F.col("_ts").isNotNull())
+          .select("_k", F.col("_ts").cast("timestamp_ntz").alias("_ts"), "_seq", "_v",
+                  F.date_trunc(bucket, F.col("_ts")).alias("_b"), F.lit(1).alias("_is_cut"),
+                  *[F.lit(None).cast(cu.schema[c].dataType).alias(c) for c in carry]))
+    cu = cu.select("_k", F.col("_ts").cast("timestamp_ntz").alias("_ts"),
+                   F.lit(None).cast(ev.schema["_seq"].dataType).alias("_seq"),
+                   F.lit(None).cast(ev.schema["_v"].dataType).alias("_v"),
+                   F.date_trunc(bucket, F.col("_ts")).alias("_b"), F.lit(2).alias("_is_cut"), *carry)
+    u = ev.unionByName(cu)
     is_ev = F.col("_is_cut") == 1
 
     # level 1: bucket summaries + exclusive prefix over the buckets of each key
-    summ = (ev.unionByName(cu).groupBy("_k", "_b").agg(
+    summ = u.groupBy("_k", "_b").agg(
         F.count_if(is_ev).alias("_n"),
         F.max(F.when(is_ev, F.col("_ts"))).alias("_mx"),
-        F.max_by(F.when(is_ev, F.struct("_v")),
-                 F.when(is_ev, F.struct("_ts", "_seq"))).alias("_lv")))
+        F.max_by(F.when(is_ev, F.struct("_v")), F.when(is_ev, F.struct("_ts", "_seq"))).alias("_lv"))
     wk = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     prior = summ.select(
         "_k", "_b",
@@ -106,8 +112,8 @@ def pit_merge(events: DataFrame, cutoffs: DataFrame, event_key: str, cutoff_key:
     # level 2: running scan inside (key, bucket); events before cutoffs at equal ts
     wb = (Window.partitionBy("_k", "_b").orderBy("_ts", "_is_cut", "_seq")
           .rowsBetween(Window.unboundedPreceding, 0))
-    within = (ev.unionByName(cu).select(
-        "_k", "_b", "_ts", "_is_cut", *carry,
+    within = (u.select(
+        "_k", "_b", "_is_cut", *carry,
         F.count_if(is_ev).over(wb).alias("_wn"),
         F.max(F.when(is_ev, F.col("_ts"))).over(wb).alias("_wmx"),
         F.last(F.when(is_ev, F.struct("_v")), ignorenulls=True).over(wb).alias("_wlv"))

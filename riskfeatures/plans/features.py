@@ -126,39 +126,96 @@ def _enc_asof(snap, field: str, current: str, mapping) -> F.Column:
     return F.when(v.isNotNull(), ordinal(v, mapping)).otherwise(ordinal(F.col(current), mapping))
 
 
+def history_pass(r, base: DataFrame) -> DataFrame:
+    """ONE join + partial aggregate over task history for everything the wide
+    table needs: first completion (label tier 2), total revisions (group
+    rates), revision counts / last revision / status snapshot at both cutoffs."""
+    th = r.task_history
+    b = base.select(F.col("id").alias("_tid"), "creation_cutoff", "halfway_cutoff")
+    snap = F.struct("status", "approval_status", "lead_approval_status")
+    aggs = [F.count(F.lit(1)).alias("_rev_total"),
+            F.min(F.when(F.col("status") == "completed", F.col("history_date"))).alias("_fc_ts")]
+    for name, c in CUTS:
+        aggs += [pit.count_upto("history_date", c).alias(f"num_revisions_at_{name}"),
+                 pit.max_upto("history_date", c).alias(f"last_revision_at_{name}"),
+                 pit.latest_upto(snap, "history_date", ["history_id"], c).alias(f"_snap_{name}")]
+    return pit.pit_join_agg(th, b, th["history_relation_id"] == b["_tid"], ["_tid"], aggs)
+
+
+def parent_pass(r, base: DataFrame) -> DataFrame:
+    """Parent (MA) revisions, grand-parent (KPI) revisions + latest state, and
+    parent comments — three shared-key event sources scanned by ONE union-scan
+    (key = (source, id)), then pivoted back to one row per task."""
+    seq2 = lambda a, b: F.struct(F.col(a).cast("bigint").alias("s1"), b.cast("bigint").alias("s2"))
+    vtype = "struct<is_overdue:boolean,status:string>"
+    none_v = F.lit(None).cast(vtype)
+    ev = (r.major_activity_history.select(F.struct(F.lit("ma").alias("src"), F.col("id").cast("bigint").alias("k")).alias("_k"),
+                                          F.col("history_date").alias("_ts"), seq2("history_id", F.lit(0)).alias("_seq"),
+                                          none_v.alias("_v"))
+          .unionByName(r.kpi_history.select(
+              F.struct(F.lit("kpi").alias("src"), F.col("id").cast("bigint").alias("k")).alias("_k"),
+              F.col("history_date").alias("_ts"), seq2("history_id", F.col("history_seq")).alias("_seq"),
+              F.struct("is_overdue", "status").cast(vtype).alias("_v")))
+          .unionByName(r.comment.filter(F.col("content_type_id") == CONTENT_TYPE["major_activity"]).select(
+              F.struct(F.lit("cmk").alias("src"), F.col("object_id").cast("bigint").alias("k")).alias("_k"),
+              F.col("created_date").alias("_ts"), seq2("id", F.lit(0)).alias("_seq"), none_v.alias("_v"))))
+    cl = base.select("id", "major_activity_id", "kpi_id", F.expr(
+        "stack(2, 'creation', creation_cutoff, 'halfway', halfway_cutoff)").alias("checkpoint", "cutoff_ts"))
+    cu = (cl.select("id", "checkpoint", F.col("cutoff_ts").alias("_ts"), F.explode(F.array(
+        F.struct(F.lit("ma").alias("src"), F.col("major_activity_id").cast("bigint").alias("k")),
+        F.struct(F.lit("kpi").alias("src"), F.col("kpi_id").cast("bigint").alias("k")),
+        F.struct(F.lit("cmk").alias("src"), F.col("major_activity_id").cast("bigint").alias("k")))).alias("_k"))
+        .filter((F.col("_k.src") != "cmk") | (F.col("checkpoint") == "creation"))
+        .withColumn("src", F.col("_k.src")))
+    m = pit.pit_merge_frames(ev, cu, ["id", "checkpoint", "src"])
+    out = []
+    for src in ("ma", "kpi", "cmk"):
+        for n, _ in CUTS:
+            hit = (F.col("src") == src) & (F.col("checkpoint") == n)
+            out.append(F.max(F.when(hit, F.col("pit_n"))).alias(f"{src}_n_{n}"))
+            if src == "kpi":
+                out.append(F.max_by(F.col("pit_last"), F.when(hit, F.lit(1))).alias(f"kpi_v_{n}"))
+    return m.groupBy(F.col("id").alias("_tid")).agg(*out)
+
+
 def leak_free_wide(r, as_of=AS_OF, impute: bool = True) -> DataFrame:
     """Dual-cutoff feature table (one row per dated task)."""
-    base = labelled_base(r, as_of)
+    base = cut.base_tasks(r.task, as_of)
+    hp = history_pass(r, base)
     ma = r.major_activity.select(F.col("id").alias("_maid"), F.col("status").alias("ma_status"),
                                  F.col("approval_status").alias("ma_approval_status"), "kpi_id")
-    pos = r.position.select(F.col("id").alias("_posid"), F.col("department_id").alias("_posdept"))
+    pos = r.position.select(F.col("id").alias("_posid"), F.col("department_id").alias("_posdept"),
+                            F.col("user_id").alias("_puser"))
     cda = r.cross_dept_assignment.select(F.col("id").alias("_cdaid"))
-    b = (base.join(ma, base["major_activity_id"] == ma["_maid"], "left")
+    label, source = lbl.three_tier(as_of=as_of)
+    b = (base.join(hp, base["id"] == hp["_tid"], "left").drop("_tid")
+         .withColumn("first_completed_at", F.to_date("_fc_ts"))
+         .withColumn("calculated_overdue", label).withColumn("target_source", source)
+         .join(ma, base["major_activity_id"] == ma["_maid"], "left")
          .join(pos, base["position_id"] == pos["_posid"], "left")
          .join(cda, base["derived_from_cross_department_assignment_id"] == cda["_cdaid"], "left"))
 
-    cl = cut.cutoffs_long(base).join(
-        base.select("id", "major_activity_id"), "id").join(
-        ma.select("_maid", "kpi_id"), F.col("major_activity_id") == F.col("_maid"), "left")
+    # expanding group rates over the same rows (two-level windows)
+    raw = b.select("id", "created_date", "position_id",
+                   F.coalesce("_posdept", "department_id").alias("dept_id"), F.col("_puser").alias("assignee_id"),
+                   lbl.two_tier(as_of=as_of).alias("is_overdue"),
+                   F.coalesce("_rev_total", F.lit(0)).alias("rev_count"))
+    dept = expanding_mean(raw, "dept_id", "created_date", "id", ["is_overdue", "rev_count"],
+                          ["dept_past_overdue_rate", "dept_avg_revisions"])
+    emp = expanding_mean(raw.filter(F.col("assignee_id").isNotNull()), "assignee_id",
+                         "created_date", "id", ["is_overdue"], ["emp_past_overdue_rate"])
+    posr = expanding_mean(raw.filter(F.col("position_id").isNotNull()), "position_id",
+                          "created_date", "id", ["is_overdue"], ["pos_past_overdue_rate"])
 
-    thf = task_history_features(r, base)
     stf = subtask_features(r, base)
     chn = subtask_churn(r, base)
     ctf = comment_task_features(r, base)
-    mar = shared_key_pit(r.major_activity_history, "id", "history_date", ["history_id"], cl,
-                         "major_activity_id", prefix="ma_")
-    kpi = shared_key_pit(r.kpi_history, "id", "history_date", ["history_id", "history_seq"], cl,
-                         "kpi_id", values=["is_overdue", "status"], prefix="kpi_")
-    cmk = shared_key_pit(r.comment.filter(F.col("content_type_id") == CONTENT_TYPE["major_activity"]),
-                         "object_id", "created_date", ["id"],
-                         cl.filter(F.col("checkpoint") == "creation"), "major_activity_id",
-                         prefix="cmk_")
-    rates = expanding_rates(r, as_of)
+    par = parent_pass(r, b)
 
     w = b
-    for f in (thf, stf, chn, ctf, mar, kpi, cmk):
+    for f in (stf, chn, ctf, par):
         w = w.join(f, w["id"] == f["_tid"], "left").drop("_tid")
-    w = w.join(rates, "id", "left")
+    w = w.join(dept, "id", "left").join(emp, "id", "left").join(posr, "id", "left")
 
     cols = [
         "id", "calculated_overdue", "target_source",

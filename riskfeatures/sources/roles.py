@@ -9,6 +9,7 @@ scans through the view definitions.
 from __future__ import annotations
 
 import os
+import uuid
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations")
 
 _REGISTERED: dict[int, str] = {}
+_MATERIALIZED: dict[tuple, SimpleNamespace] = {}
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
@@ -40,15 +42,40 @@ def register_roles(spark: SparkSession, sf_dir: str) -> None:
     _REGISTERED[key] = sf_dir
 
 
-def roles(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
-    """Namespace of role DataFrames for ``sf_dir`` (registered once per session/dir)."""
+def roles(spark: SparkSession, sf_dir: str, mode: str | None = None) -> SimpleNamespace:
+    """Namespace of role DataFrames for ``sf_dir``.
+
+    ``mode="tables"`` (default): the role views are derived once per session
+    and input folder and written as parquet into the cluster's shared
+    ``spark.checkpoint.dir`` — they play the part of the source tables the
+    reference reads, so every query scans them instead of re-deriving them
+    (e.g. ``sub_task`` is a GROUP BY over the line table).  Written files are
+    fault tolerant and cut the lineage.  ``mode="views"``: lazy views only.
+    """
+    mode = mode or os.environ.get("RF_ROLES", "tables")
     register_roles(spark, sf_dir)
-    return SimpleNamespace(**{n: spark.table(n) for n in ROLE_SQL}, spark=spark)
+    if mode == "views":
+        return SimpleNamespace(**{n: spark.table(n) for n in ROLE_SQL}, spark=spark)
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _MATERIALIZED:
+        _MATERIALIZED[key] = materialize_roles(spark, sf_dir)
+    return _MATERIALIZED[key]
+
+
+def materialize_roles(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
+    """Write every role view as parquet under the shared checkpoint folder."""
+    from ..session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/roles-{uuid.uuid4().hex[:12]}"
+    out = {}
+    for name in ROLE_SQL:
+        path = f"{root}/{name}"
+        spark.table(name).write.mode("overwrite").parquet(path)
+        out[name] = spark.read.parquet(path)
+    return SimpleNamespace(**out, spark=spark)
 
 
 def role_df(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register_roles(spark, sf_dir)
-    return spark.table(name)
+    return getattr(roles(spark, sf_dir), name)
 
 
 def with_roles(body: str, names: tuple[str, ...] | None = None) -> str:
