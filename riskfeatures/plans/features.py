@@ -316,3 +316,123 @@ def feature_table(spark, sf_dir: str, as_of=AS_OF) -> DataFrame:
     if key not in _MEMO:
         _MEMO[key] = cut_lineage(leak_free_wide(roles(spark, sf_dir), as_of), spark)
     return _MEMO[key]
+
+
+def current_wide(r, as_of=AS_OF) -> DataFrame:
+    """As-of-now ("leaky") feature table: every aggregate uncut, group rates over
+    the whole history, imputed and encoded.  Kept for comparison with the
+    leak-free table; each input is pre-aggregated on its key before joining."""
+    from .q_analytics import _challenge_flags
+    c = F.col
+    base = cut.base_tasks(r.task, as_of)
+    th = r.task_history.filter(c("history_relation_id").isNotNull())
+    rev = th.groupBy(c("history_relation_id").alias("_rid")).agg(
+        F.count(F.lit(1)).alias("_nrev"), F.max("history_date").alias("_last"),
+        F.min(F.when(c("status") == "completed", c("history_date"))).alias("_fc"))
+    sub = (r.sub_task.filter(c("task_id").isNotNull()).groupBy(c("task_id").alias("_sid_t"))
+           .agg(F.count(F.lit(1)).alias("_ns"), F.count_if(c("status") == "completed").alias("_nc"),
+                F.count_if(c("is_overdue")).alias("_no")))
+    # halfway completion, leaky mode: uncapped midpoint, history falling back to current
+    tmid = (r.task.filter(c("start_date").isNotNull() & c("end_date").isNotNull() & (c("start_date") <= c("end_date")))
+            .select("id", cut.as_ts(cut.midpoint_date("start_date", "end_date")).alias("halfway_date")))
+    st = r.sub_task.select(c("id").alias("_sid"), c("task_id").alias("_stid"), c("created_date").alias("_sc"),
+                           c("status").alias("_scur"))
+    subs = st.join(tmid.select(c("id").alias("_hid"), c("halfway_date").alias("_cut")), c("_stid") == c("_hid"))
+    sth = r.sub_task_history
+    lh = (sth.join(subs.select(c("_sid").alias("_lsid"), c("_cut").alias("_lcut")), sth["id"] == c("_lsid"))
+          .groupBy("_lsid").agg(pit.latest_upto(F.struct("status"), "history_date", ["history_id"], "_lcut").alias("_lh")))
+    hs = (subs.join(lh, c("_sid") == c("_lsid"), "left").filter(c("_sc") <= c("_cut"))
+          .groupBy(c("_stid").alias("_hs_t")).agg(
+              F.count(F.lit(1)).alias("_hn"),
+              F.count_if(F.coalesce(c("_lh")["status"], c("_scur")) == "completed").alias("_hc")))
+    pos = r.position.select(c("id").alias("_pid"), c("department_id").alias("_pdept"), c("user_id").alias("_puser"))
+    t2 = (r.task.join(pos, c("position_id") == c("_pid"), "left").join(rev, c("id") == c("_rid"), "left")
+          .withColumn("_y", lbl.two_tier(as_of=as_of)))
+    dept = t2.groupBy(F.coalesce("_pdept", "department_id").alias("_did")).agg(
+        F.count(F.lit(1)).alias("dept_task_count"), F.avg("_y").alias("dept_past_overdue_rate"),
+        F.avg(F.coalesce("_nrev", F.lit(0))).alias("dept_avg_revisions"))
+    emp = t2.filter(c("_puser").isNotNull()).groupBy(c("_puser").alias("_eid")).agg(
+        F.avg("_y").alias("emp_past_overdue_rate"))
+    posr = t2.filter(c("position_id").isNotNull()).groupBy(c("position_id").alias("_prid")).agg(
+        F.avg("_y").alias("pos_past_overdue_rate"))
+    ma = r.major_activity.select(c("id").alias("_maid"), c("status").alias("ma_status"),
+                                 c("approval_status").alias("ma_approval_status"), "kpi_id")
+    mar = r.major_activity_history.filter(c("id").isNotNull()).groupBy(c("id").alias("_mrid")).agg(
+        F.count(F.lit(1)).alias("_nmr"))
+    kp = r.kpi.select(c("id").alias("_kid"), c("is_overdue").cast("int").alias("_kov"),
+                      ordinal("status", KPI_STATUS_ORDER).alias("_kord"))
+    kh = r.kpi_history.filter(c("id").isNotNull()).groupBy(c("id").alias("_khid")).agg(F.count(F.lit(1)).alias("_nkr"))
+    cm = r.comment.groupBy("content_type_id", "object_id").agg(F.count(F.lit(1)).alias("_n"))
+
+    def cm_of(t, name):
+        return cm.filter(c("content_type_id") == t).select(c("object_id").alias(f"_o{name}"), c("_n").alias(f"_c{name}"))
+    first = r.sub_task_history.filter(c("id").isNotNull()).groupBy(c("id").alias("_chs")).agg(
+        F.count_distinct("status").alias("_nd"))
+    churn = (first.join(r.sub_task.select(c("id").alias("_chs2"), c("task_id").alias("_cht")), c("_chs") == c("_chs2"))
+             .groupBy("_cht").agg(F.avg("_nd").alias("avg_sub_status_changes")))
+    cda = r.cross_dept_assignment.select(c("id").alias("_cdaid"))
+    chal = _challenge_flags(r)
+
+    b = (base.join(rev, c("id") == c("_rid"), "left")
+         .withColumn("first_completed_at", F.to_date("_fc"))
+         .join(pos, c("position_id") == c("_pid"), "left")
+         .withColumn("resolved_dept_id", F.coalesce("_pdept", "department_id"))
+         .join(sub, c("id") == c("_sid_t"), "left").join(hs, c("id") == c("_hs_t"), "left")
+         .join(chal, c("id") == c("_cid"), "left")
+         .join(dept, c("resolved_dept_id") == c("_did"), "left")
+         .join(emp, c("_puser") == c("_eid"), "left").join(posr, c("position_id") == c("_prid"), "left")
+         .join(cda, c("derived_from_cross_department_assignment_id") == c("_cdaid"), "left")
+         .join(ma, c("major_activity_id") == c("_maid"), "left").join(mar, c("major_activity_id") == c("_mrid"), "left")
+         .join(kp, c("kpi_id") == c("_kid"), "left").join(kh, c("kpi_id") == c("_khid"), "left")
+         .join(cm_of(CONTENT_TYPE["kpi"], "k"), c("kpi_id") == c("_ok"), "left")
+         .join(cm_of(CONTENT_TYPE["major_activity"], "m"), c("major_activity_id") == c("_om"), "left")
+         .join(cm_of(CONTENT_TYPE["task"], "t"), c("id") == c("_ot"), "left")
+         .join(churn, c("id") == c("_cht"), "left"))
+    label, source = lbl.three_tier(as_of=as_of)
+    days_c = F.datediff(lit_date(as_of), F.to_date("created_date"))
+    out = b.select(
+        "id", label.alias("calculated_overdue"), source.alias("target_source"),
+        "planned_duration", "creation_to_planned_start", c("days_since_update_halfway").alias("days_since_update"),
+        "created_dow", "created_is_weekend", "created_is_friday", "created_month", "created_quarter",
+        "is_planned", "risk_mapping", "is_cross_dept", "position_id", "weight_level",
+        ordinal("status", STATUS_ORDER).alias("status_encoded"),
+        ordinal("approval_status", APPROVAL_ORDER).alias("approval_status_encoded"),
+        ordinal("lead_approval_status", APPROVAL_ORDER).alias("lead_approval_status_encoded"),
+        ordinal("ma_status", MA_STATUS_ORDER).alias("ma_status_encoded"),
+        ordinal("ma_approval_status", APPROVAL_ORDER).alias("ma_approval_status_encoded"),
+        F.coalesce("_nrev", F.lit(0)).cast("int").alias("num_revisions"),
+        F.try_divide(c("_nrev").cast("double"), F.when(days_c != 0, days_c)).alias("revision_frequency"),
+        F.datediff(lit_date(as_of), F.to_date("_last")).alias("revision_recency"),
+        F.coalesce("_ns", F.lit(0)).cast("int").alias("num_subtasks"),
+        (F.coalesce("_ns", F.lit(0)) > 0).cast("int").alias("has_subtasks"),
+        F.try_divide(c("_nc").cast("double"), c("_ns")).alias("subtask_completion_pct"),
+        F.try_divide(c("_no").cast("double"), c("_ns")).alias("subtask_overdue_rate"),
+        F.try_divide(c("_hc").cast("double"), c("_hn")).alias("subtask_completion_pct_at_halfway"),
+        c("num_challenges").cast("int").alias("num_challenges"), "has_challenges",
+        c("has_subtask_challenge"), c("num_subtask_challenges").cast("int").alias("num_subtask_challenges"),
+        c("num_kpi_challenges").cast("int").alias("num_kpi_challenges"), "has_kpi_challenge",
+        c("num_kpi_potential_challenges").cast("int").alias("num_kpi_potential_challenges"),
+        "has_kpi_potential_challenge",
+        "dept_past_overdue_rate", "dept_avg_revisions", "dept_task_count", "emp_past_overdue_rate",
+        "pos_past_overdue_rate", c("_cdaid").isNotNull().cast("int").alias("cross_dept_pair_exists"),
+        F.coalesce("_nmr", F.lit(0)).cast("int").alias("num_ma_revisions"),
+        F.coalesce("_kov", F.lit(0)).cast("int").alias("kpi_is_overdue_flag"),
+        F.coalesce("_kord", F.lit(1)).cast("int").alias("kpi_status_ordinal"),
+        F.coalesce("_nkr", F.lit(0)).cast("int").alias("num_kpi_revisions"),
+        F.coalesce("_ck", F.lit(0)).cast("int").alias("kpi_comment_count"),
+        F.coalesce("_cm", F.lit(0)).cast("int").alias("ma_comment_count"),
+        F.coalesce("_ct", F.lit(0)).cast("int").alias("task_comment_count"),
+        "avg_sub_status_changes", "resolved_dept_id")
+    from ..functions import encode as enc
+    zero = ["is_cross_dept", "revision_frequency", "revision_recency", "subtask_completion_pct",
+            "subtask_overdue_rate", "subtask_completion_pct_at_halfway", "num_challenges", "has_challenges",
+            "cross_dept_pair_exists", "kpi_is_overdue_flag", "has_subtask_challenge", "num_subtask_challenges",
+            "has_kpi_challenge", "num_kpi_challenges", "has_kpi_potential_challenge",
+            "num_kpi_potential_challenges", "kpi_comment_count", "ma_comment_count", "task_comment_count",
+            "avg_sub_status_changes"]
+    out = enc.fill_zero(out, zero)
+    out = enc.fill_mean(out, ["dept_past_overdue_rate", "dept_avg_revisions", "emp_past_overdue_rate",
+                              "pos_past_overdue_rate"])
+    out = enc.one_hot(out, "weight_level", ["high", "mid", "low"], "wl")
+    out = enc.target_encode(out, "position_id", "calculated_overdue", "position_id_encoded")
+    return out.drop("weight_level")
