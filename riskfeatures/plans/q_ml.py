@@ -63,9 +63,9 @@ m AS (SELECT threshold, CAST(class AS VARCHAR) AS class, coalesce(tp * 1.0 / nul
   coalesce(tp * 1.0 / nullif(support, 0), 0) AS recall, support FROM cls),
 f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m)
 SELECT threshold, class, precision, recall, f1, support FROM f
-UNION ALL SELECT threshold, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f GROUP BY 1
+UNION ALL SELECT threshold, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM f GROUP BY 1
 UNION ALL SELECT threshold, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-  sum(f1 * support) / sum(support), sum(support) FROM f GROUP BY 1""")
+  sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM f GROUP BY 1""")
 def ml_threshold_report(spark, sf):
     """Per-class report (precision, recall, f1, support, macro, weighted) at 0.50 / 0.40.
     Thresholds are a 2-row literal crossed with the scores (fan-out x2, fixed)."""
