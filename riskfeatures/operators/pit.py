@@ -82,15 +82,23 @@ def pit_merge(events: DataFrame, cutoffs: DataFrame, event_key: str, cutoff_key:
 
 
 def pit_merge_frames(ev: DataFrame, cu: DataFrame, carry: Sequence[str],
-                     bucket: str = "day") -> DataFrame:
+                     bucket: str = "day", last_ts: bool = True,
+                     keys: Sequence[str] = ("_k",)) -> DataFrame:
     """``pit_merge`` on canonical frames: ``ev(_k, _ts, _seq, _v)`` and
     ``cu(_k, _ts, *carry)``.  ``_k`` may be a struct (several event sources
-    scanned in one pass: key = (source, id))."""
-    ev = (ev.filter(F.col("_k").isNotNull() & F.col("_ts").isNotNull())
-          .select("_k", F.col("_ts").cast("timestamp_ntz").alias("_ts"), "_seq", "_v",
+    scanned in one pass: key = (source, id)).  ``last_ts=False`` skips the
+    last-event-timestamp output (one window function less).  ``keys`` names
+    the key columns when the key is composite (flat columns hash and sort
+    faster than a struct)."""
+    keys = list(keys)
+    key_ok = F.lit(True)
+    for k in keys:
+        key_ok = key_ok & F.col(k).isNotNull()
+    ev = (ev.filter(key_ok & F.col("_ts").isNotNull())
+          .select(*keys, F.col("_ts").cast("timestamp_ntz").alias("_ts"), "_seq", "_v",
                   F.date_trunc(bucket, F.col("_ts")).alias("_b"), F.lit(1).alias("_is_cut"),
                   *[F.lit(None).cast(cu.schema[c].dataType).alias(c) for c in carry]))
-    cu = cu.select("_k", F.col("_ts").cast("timestamp_ntz").alias("_ts"),
+    cu = cu.select(*keys, F.col("_ts").cast("timestamp_ntz").alias("_ts"),
                    F.lit(None).cast(ev.schema["_seq"].dataType).alias("_seq"),
                    F.lit(None).cast(ev.schema["_v"].dataType).alias("_v"),
                    F.date_trunc(bucket, F.col("_ts")).alias("_b"), F.lit(2).alias("_is_cut"), *carry)
@@ -98,28 +106,29 @@ def pit_merge_frames(ev: DataFrame, cu: DataFrame, carry: Sequence[str],
     is_ev = F.col("_is_cut") == 1
 
     # level 1: bucket summaries + exclusive prefix over the buckets of each key
-    summ = u.groupBy("_k", "_b").agg(
+    no_ts = F.lit(None).cast("timestamp_ntz")
+    summ = u.groupBy(*keys, "_b").agg(
         F.count_if(is_ev).alias("_n"),
-        F.max(F.when(is_ev, F.col("_ts"))).alias("_mx"),
+        (F.max(F.when(is_ev, F.col("_ts"))) if last_ts else F.first(no_ts)).alias("_mx"),
         F.max_by(F.when(is_ev, F.struct("_v")), F.when(is_ev, F.struct("_ts", "_seq"))).alias("_lv"))
-    wk = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     prior = summ.select(
-        "_k", "_b",
+        *keys, "_b",
         F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_pn"),
-        F.max("_mx").over(wk).alias("_pmx"),
+        (F.max("_mx").over(wk) if last_ts else no_ts).alias("_pmx"),
         F.last("_lv", ignorenulls=True).over(wk).alias("_plv"))
 
     # level 2: running scan inside (key, bucket); events before cutoffs at equal ts
-    wb = (Window.partitionBy("_k", "_b").orderBy("_ts", "_is_cut", "_seq")
+    wb = (Window.partitionBy(*keys, "_b").orderBy("_ts", "_is_cut", "_seq")
           .rowsBetween(Window.unboundedPreceding, 0))
     within = (u.select(
-        "_k", "_b", "_is_cut", *carry,
+        *keys, "_b", "_is_cut", *carry,
         F.count_if(is_ev).over(wb).alias("_wn"),
-        F.max(F.when(is_ev, F.col("_ts"))).over(wb).alias("_wmx"),
+        (F.max(F.when(is_ev, F.col("_ts"))).over(wb) if last_ts else no_ts).alias("_wmx"),
         F.last(F.when(is_ev, F.struct("_v")), ignorenulls=True).over(wb).alias("_wlv"))
         .filter(~is_ev))
 
-    j = within.join(prior, ["_k", "_b"], "left")
+    j = within.join(prior, [*keys, "_b"], "left")
     return j.select(
         *carry,
         (F.col("_wn") + F.coalesce(F.col("_pn"), F.lit(0))).cast("bigint").alias("pit_n"),

@@ -145,35 +145,37 @@ def history_pass(r, base: DataFrame) -> DataFrame:
 def parent_pass(r, base: DataFrame) -> DataFrame:
     """Parent (MA) revisions, grand-parent (KPI) revisions + latest state, and
     parent comments — three shared-key event sources scanned by ONE union-scan
-    (key = (source, id)), then pivoted back to one row per task."""
+    keyed by (source, id), then pivoted back to one row per task."""
     seq2 = lambda a, b: F.struct(F.col(a).cast("bigint").alias("s1"), b.cast("bigint").alias("s2"))
     vtype = "struct<is_overdue:boolean,status:string>"
     none_v = F.lit(None).cast(vtype)
-    ev = (r.major_activity_history.select(F.struct(F.lit("ma").alias("src"), F.col("id").cast("bigint").alias("k")).alias("_k"),
+    src = {"ma": 0, "kpi": 1, "cmk": 2}
+    ev = (r.major_activity_history.select(F.lit(src["ma"]).alias("_src"), F.col("id").cast("bigint").alias("_k"),
                                           F.col("history_date").alias("_ts"), seq2("history_id", F.lit(0)).alias("_seq"),
                                           none_v.alias("_v"))
           .unionByName(r.kpi_history.select(
-              F.struct(F.lit("kpi").alias("src"), F.col("id").cast("bigint").alias("k")).alias("_k"),
+              F.lit(src["kpi"]).alias("_src"), F.col("id").cast("bigint").alias("_k"),
               F.col("history_date").alias("_ts"), seq2("history_id", F.col("history_seq")).alias("_seq"),
               F.struct("is_overdue", "status").cast(vtype).alias("_v")))
           .unionByName(r.comment.filter(F.col("content_type_id") == CONTENT_TYPE["major_activity"]).select(
-              F.struct(F.lit("cmk").alias("src"), F.col("object_id").cast("bigint").alias("k")).alias("_k"),
+              F.lit(src["cmk"]).alias("_src"), F.col("object_id").cast("bigint").alias("_k"),
               F.col("created_date").alias("_ts"), seq2("id", F.lit(0)).alias("_seq"), none_v.alias("_v"))))
     cl = base.select("id", "major_activity_id", "kpi_id", F.expr(
         "stack(2, 'creation', creation_cutoff, 'halfway', halfway_cutoff)").alias("checkpoint", "cutoff_ts"))
     cu = (cl.select("id", "checkpoint", F.col("cutoff_ts").alias("_ts"), F.explode(F.array(
-        F.struct(F.lit("ma").alias("src"), F.col("major_activity_id").cast("bigint").alias("k")),
-        F.struct(F.lit("kpi").alias("src"), F.col("kpi_id").cast("bigint").alias("k")),
-        F.struct(F.lit("cmk").alias("src"), F.col("major_activity_id").cast("bigint").alias("k")))).alias("_k"))
-        .filter((F.col("_k.src") != "cmk") | (F.col("checkpoint") == "creation"))
-        .withColumn("src", F.col("_k.src")))
-    m = pit.pit_merge_frames(ev, cu, ["id", "checkpoint", "src"])
+        F.struct(F.lit(src["ma"]).alias("s"), F.col("major_activity_id").cast("bigint").alias("k")),
+        F.struct(F.lit(src["kpi"]).alias("s"), F.col("kpi_id").cast("bigint").alias("k")),
+        F.struct(F.lit(src["cmk"]).alias("s"), F.col("major_activity_id").cast("bigint").alias("k")))).alias("_sk"))
+        .filter((F.col("_sk.s") != src["cmk"]) | (F.col("checkpoint") == "creation"))
+        .select("id", "checkpoint", "_ts", F.col("_sk.s").alias("_src"), F.col("_sk.k").alias("_k"),
+                F.col("_sk.s").alias("src")))
+    m = pit.pit_merge_frames(ev, cu, ["id", "checkpoint", "src"], last_ts=False, keys=("_src", "_k"))
     out = []
-    for src in ("ma", "kpi", "cmk"):
+    for name, code in src.items():
         for n, _ in CUTS:
-            hit = (F.col("src") == src) & (F.col("checkpoint") == n)
-            out.append(F.max(F.when(hit, F.col("pit_n"))).alias(f"{src}_n_{n}"))
-            if src == "kpi":
+            hit = (F.col("src") == code) & (F.col("checkpoint") == n)
+            out.append(F.max(F.when(hit, F.col("pit_n"))).alias(f"{name}_n_{n}"))
+            if name == "kpi":
                 out.append(F.max_by(F.col("pit_last"), F.when(hit, F.lit(1))).alias(f"kpi_v_{n}"))
     return m.groupBy(F.col("id").alias("_tid")).agg(*out)
 
@@ -268,13 +270,15 @@ def leak_free_wide(r, as_of=AS_OF, impute: bool = True) -> DataFrame:
             .alias(f"avg_sub_status_changes_at_{n}"),
         ]
     out = w.select(*cols)
-    return impute_rates(out) if impute else out
+    return impute_rates(out, b) if impute else out
 
 
-def impute_rates(df: DataFrame) -> DataFrame:
+def impute_rates(df: DataFrame, label_src: DataFrame | None = None) -> DataFrame:
     """Fill missing expanding rates: label rates with the global label mean (a
-    1-row aggregate, broadcast — its size is fixed), revisions with 0."""
-    gm = df.agg(F.avg("calculated_overdue").alias("_gm"))
+    1-row aggregate, broadcast — its size is fixed), revisions with 0.
+    ``label_src`` (same rows, fewer joins) avoids re-running the wide plan for
+    the mean."""
+    gm = (label_src if label_src is not None else df).agg(F.avg("calculated_overdue").alias("_gm"))
     return (df.crossJoin(F.broadcast(gm))
             .withColumn("dept_past_overdue_rate", F.coalesce("dept_past_overdue_rate", "_gm"))
             .withColumn("emp_past_overdue_rate", F.coalesce("emp_past_overdue_rate", "_gm"))

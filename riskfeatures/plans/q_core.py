@@ -226,19 +226,20 @@ def _expanding_input(spark, sf):
 # ------------------------------------------------------------ wide tables ----
 @register("feat_leak_free_wide", round_cols=WIDE_DOUBLES, oracle=f"WITH {WIDE_CTES}\nSELECT * FROM wide")
 def feat_leak_free_wide(spark, sf):
-    """Full leak-free dual-cutoff feature table (PT18, O1)."""
-    return feat.leak_free_wide(roles(spark, sf))
+    """Full leak-free dual-cutoff feature table (PT18, O1); built once per session
+    and input folder, checkpointed, then shared by the analytics queries."""
+    return feat.feature_table(spark, sf)
 
 
 @register("feat_checkpoint_split", round_cols=CKPT_DOUBLES + ("subtask_completion_pct_at_halfway",),
           oracle=f"WITH {WIDE_CTES},\n{checkpoint_cte('halfway')}\nSELECT * FROM feat")
 def feat_checkpoint_split(spark, sf):
     """Halfway checkpoint dataset projected from the dual table."""
-    return feat.checkpoint_dataset(feat.leak_free_wide(roles(spark, sf)), "halfway")
+    return feat.checkpoint_dataset(feat.feature_table(spark, sf), "halfway")
 
 
 @register("feat_creation_dataset", round_cols=CKPT_DOUBLES,
           oracle=f"WITH {WIDE_CTES},\n{checkpoint_cte('creation')}\nSELECT * FROM feat")
 def feat_creation_dataset(spark, sf):
     """Creation checkpoint dataset (36 columns)."""
-    return feat.checkpoint_dataset(feat.leak_free_wide(roles(spark, sf)), "creation")
+    return feat.checkpoint_dataset(feat.feature_table(spark, sf), "creation")

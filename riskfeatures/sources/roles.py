@@ -65,13 +65,18 @@ def roles(spark: SparkSession, sf_dir: str, mode: str | None = None) -> SimpleNa
 def materialize_roles(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     """Write every role view as parquet under the shared checkpoint folder."""
     from ..session import ensure_checkpoint_dir
+    from concurrent.futures import ThreadPoolExecutor
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/roles-{uuid.uuid4().hex[:12]}"
-    out = {}
-    for name in ROLE_SQL:
+
+    def write(name: str) -> str:
         path = f"{root}/{name}"
         spark.table(name).write.mode("overwrite").parquet(path)
-        out[name] = spark.read.parquet(path)
-    return SimpleNamespace(**out, spark=spark)
+        return path
+    # independent jobs submitted concurrently from driver threads; Spark runs
+    # their tasks side by side on the executors
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        paths = dict(zip(ROLE_SQL, pool.map(write, ROLE_SQL)))
+    return SimpleNamespace(**{n: spark.read.parquet(p) for n, p in paths.items()}, spark=spark)
 
 
 def role_df(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
