@@ -30,9 +30,16 @@ def as_ts(x) -> Column:
 
 
 def floor_days(end, start) -> Column:
-    """floor((end - start) / 1 day) for dates or timestamps, as BIGINT."""
-    us = F.timestamp_diff("MICROSECOND", as_ts(start), as_ts(end))
-    return F.floor(us / F.lit(_DAY_US)).cast("bigint")
+    """floor((end - start) / 1 day) for dates or timestamps, as BIGINT.
+
+    Computed from calendar fields only (whole days between the dates, minus
+    one when end's time of day is earlier than start's), so the result never
+    depends on the session time zone or DST."""
+    e, s = as_ts(end), as_ts(start)
+    tod_e = e - F.to_date(e).cast("timestamp_ntz")
+    tod_s = s - F.to_date(s).cast("timestamp_ntz")
+    return (F.datediff(F.to_date(e), F.to_date(s))
+            - F.when(tod_e < tod_s, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
 def date_days(end, start) -> Column:
@@ -51,9 +58,9 @@ def midpoint_date(start, end) -> Column:
 
 
 def midpoint_fractional(start, end) -> Column:
-    """start + (end - start) / 2 with sub-day precision (pandas variant)."""
-    us = F.timestamp_diff("MICROSECOND", as_ts(start), as_ts(end))
-    return F.timestamp_add("MICROSECOND", (us / F.lit(2)).cast("bigint"), as_ts(start))
+    """start + (end - start) / 2 with sub-day precision (pandas variant);
+    timestamp_ntz interval arithmetic, independent of the session time zone."""
+    return as_ts(start) + (as_ts(end) - as_ts(start)) / F.lit(2)
 
 
 def halfway_cutoff(created, start, end) -> Column:

@@ -49,3 +49,13 @@ def test_every_query_has_oracle_or_is_model():
     q, o = E.queries(), E.oracle_sql()
     missing = sorted(set(q) - set(o))
     assert all(m.startswith(("ml_", "src_", "sink_")) for m in missing), missing
+
+
+@pytest.mark.parametrize("name", ["fn_temporal", "cut_midpoint", "pit_count_kpi", "win_expanding_dept"])
+def test_session_time_zone_does_not_matter(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query_matches_oracle(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
