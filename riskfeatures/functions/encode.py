@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalar import sql_round
+
 
 def one_hot(df: DataFrame, col: str, values: Sequence[str], prefix: str) -> DataFrame:
     """pandas get_dummies for a known vocabulary (sorted): prefix_value int columns."""
@@ -90,9 +92,9 @@ def qcut(df: DataFrame, col: str, q: int, out: str = "bucket", clip: tuple[float
         src = df.withColumn("_x", x)
     probs = [i / q for i in range(q + 1)]
     e = src.agg(F.array_distinct(F.transform(
-        F.percentile(F.col("_x"), F.array(*[F.lit(p) for p in probs])), lambda v: F.round(v, 9))).alias("_e"))
+        F.percentile(F.col("_x"), F.array(*[F.lit(p) for p in probs])), lambda v: sql_round(v, 9))).alias("_e"))
     j = src.crossJoin(F.broadcast(e))
-    idx = F.greatest(F.size(F.filter("_e", lambda v: v < F.round(F.col("_x"), 9))) - 1, F.lit(0))
+    idx = F.greatest(F.size(F.filter("_e", lambda v: v < sql_round(F.col("_x"), 9))) - 1, F.lit(0))
     return (j.withColumn(out, F.when(F.col("_x").isNotNull(), idx))
             .withColumn("bucket_lo", F.element_at("_e", F.col(out) + 1))
             .withColumn("bucket_hi", F.element_at("_e", F.col(out) + 2)))

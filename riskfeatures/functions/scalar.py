@@ -71,5 +71,15 @@ def bin_index(x, edges: Sequence[float], include_lowest: bool = False) -> Column
     return expr
 
 
+def sql_round(x, digits: int = 0) -> Column:
+    """Round a double the way SQL engines do on binary doubles: scale by
+    10^digits, round half away from zero, unscale.  (Spark's ``round`` on a
+    double rounds its shortest decimal text, which differs on values such as
+    4.0434375 whose binary product with 10^6 lies just below the tie.)"""
+    m = float(10 ** digits)
+    c = _c(x).cast("double")
+    return F.round(c * F.lit(m), 0) / F.lit(m) if digits else F.round(c, 0)
+
+
 def r6(x, digits: int = 6) -> Column:
-    return F.round(_c(x).cast("double"), digits)
+    return sql_round(x, digits)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AS_OF
+from ..functions.scalar import sql_round
 from ..functions.temporal import (as_ts, calendar_parts, date_days, floor_days,
                                   halfway_cutoff, lit_date, midpoint_date,
                                   midpoint_fractional)
@@ -57,7 +58,7 @@ def cutoff_audit(base: DataFrame) -> DataFrame:
     return base.agg(
         F.count(F.lit(1)).alias("n_tasks"),
         F.count_if(F.col("start_date") < F.to_date("created_date")).alias("n_retroactive"),
-        F.round(F.avg((F.col("start_date") < F.to_date("created_date")).cast("int")) * 100, 6)
+        sql_round(F.avg((F.col("start_date") < F.to_date("created_date")).cast("int")) * 100, 6)
         .alias("pct_retroactive"),
         F.count_if(mid < F.col("created_date")).alias("n_midpoint_before_creation"),
         F.min("creation_cutoff").alias("min_creation_cutoff"),

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sql_round
+
 
 def score_groups(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     return df.groupBy(F.col(score).cast("double").alias("score")).agg(
@@ -102,9 +104,9 @@ def threshold_metrics(df: DataFrame, threshold: float = 0.5, label: str = "label
     p = F.coalesce(F.try_divide(F.col("tp") * 1.0, F.col("tp") + F.col("fp")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp") * 1.0, F.col("tp") + F.col("fn")), F.lit(0.0))
     return c.select(F.lit(float(threshold)).alias("threshold"), "tn", "fp", "fn", "tp",
-                    F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"),
-                    F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 4).alias("f1"),
-                    F.round((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), 4)
+                    sql_round(p, 4).alias("precision"), sql_round(r, 4).alias("recall"),
+                    sql_round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 4).alias("f1"),
+                    sql_round((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), 4)
                     .alias("accuracy"))
 
 

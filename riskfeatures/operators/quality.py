@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sql_round
+
 
 def status_when(ok: Column, fail: str = "FAIL") -> Column:
     return F.when(ok, "PASS").otherwise(fail)
@@ -18,7 +20,7 @@ def status_when(ok: Column, fail: str = "FAIL") -> Column:
 
 def pct1(x: Column) -> Column:
     """'%.1f' of a percentage (PostgreSQL format('%.1f') rounds half away from zero)."""
-    return F.format_string("%.1f", F.round(x, 1))
+    return F.format_string("%.1f", sql_round(x, 1))
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:

@@ -62,13 +62,16 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFr
 def global_row_number(df: DataFrame, key: Sequence[str], order: Sequence[str],
                       out: str = "row_num") -> DataFrame:
     """Row number over the whole frame in (key, order) order without a
-    single-partition window: per-key counts -> exclusive offsets (a tiny
-    frame of distinct keys) -> row_number inside each key."""
+    single-partition window over the rows: per-key counts -> exclusive offsets
+    (a frame of distinct keys only) -> row_number inside each key.  Choose the
+    key so that its distinct count stays small (e.g. quarter, month, id DIV w).
+    The offsets are joined without a broadcast hint — their size grows with
+    the key space; AQE broadcasts them at run time when they are small."""
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     wk = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*key, F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*key).orderBy(*order)
     return (df.withColumn("_rn", F.row_number().over(w))
-            .join(F.broadcast(offs), list(key))
+            .join(offs, list(key))
             .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
             .drop("_off", "_rn"))

@@ -35,10 +35,14 @@ def register(name: str, oracle: str | None = None, round_cols: Sequence[str] = (
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column to ``digits`` the way SQL engines round binary
+    doubles (scale, round half away from zero, unscale) — Spark's decimal
+    rounding of the shortest text form differs on exact ``...5`` ties."""
+    from ..functions.scalar import sql_round
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            cols.append(sql_round(F.col(f.name), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

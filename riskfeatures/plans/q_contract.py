@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import CONTENT_TYPE
+from ..functions.scalar import sql_round
 from ..operators.windows import latest_per_key
 from ..sources.roles import roles
 from . import features as feat
@@ -64,7 +65,7 @@ def dq_schema_contract(spark, sf):
         row("no_duplicate_ids", F.col("dup_ids") == 0, F.col("dup_ids")),
         row("no_nulls_required", F.col("null_cells") == 0, F.col("null_cells")),
         row("binary_target", F.col("non_binary") == 0, F.col("non_binary")),
-        row("target_rate_band", F.col("rate").between(0.05, 0.95), F.round(F.col("rate") * 10000)),
+        row("target_rate_band", F.col("rate").between(0.05, 0.95), sql_round(F.col("rate") * 10000)),
         row("ordinal_range", F.col("bad_ordinal") == 0, F.col("bad_ordinal")),
     )).alias("r")).select("r.*")
     # column contract from the dataset's own schema (metadata rows)
