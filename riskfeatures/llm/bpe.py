@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 # The special token's text, and the borders that no merge crosses.
 SPECIAL = "<|endoftext|>"
 PIECES = r"(?U) ?\S+|\s+(?!\S)|\s"
@@ -115,13 +117,13 @@ def _decoder(path: str):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids`` (array of int), one row per document."""
     src = docs.select(F.col(id_col), split_pieces(F.coalesce(F.col(text_col), F.lit(""))).alias("pieces"))
-    return src.mapInArrow(_encoder(path), f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>")
+    return map_arrow(src, _encoder(path), f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """Adds ``decoded``: the text of ``ids``."""
     src = encoded.select(F.col(id_col), F.col("ids"))
-    return src.mapInArrow(_decoder(path), f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
+    return map_arrow(src, _decoder(path), f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,3 +57,17 @@ def key_column(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = "_" + name
     return name
+
+
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package sent to the executors (once per application)."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        name = os.path.join(tempfile.mkdtemp(), f"package-{uuid.uuid4().hex}")
+        sc.addPyFile(shutil.make_archive(name, "zip", top, __package__.split(".")[0]))
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(fn, schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .quality_rules import ALL_STOP_WORDS, TRAIL
 
 # HTML element names by role.
@@ -213,4 +214,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """``id_col``, ``url_col``, ``text`` and ``n_chars``, one row per page."""
     src = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
     kinds = [f.dataType.simpleString() for f in src.schema]
-    return src.mapInArrow(_extract, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return map_arrow(src, _extract, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")

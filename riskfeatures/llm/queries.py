@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, html_text, quality_rules, secret_scan, source_mixing
+from . import bpe, chat_format, html_text, jaccard_join, quality_rules, secret_scan, source_mixing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,7 +37,12 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op7_chat_format, op9_secret_scan)}
+def op10_ngram_join(spark, sf_dir):
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op7_chat_format, op9_secret_scan,
+                                  op10_ngram_join)}
 
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,

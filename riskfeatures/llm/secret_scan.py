@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 # The base patterns; of a match, what must reach the least length.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -190,4 +192,4 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (code points, end exclusive)."""
     src = docs.select(F.col(id_col), F.col(text_col))
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(_scan, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_arrow(src, _scan, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
