@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, html_text, jaccard_join, quality_rules, secret_scan, source_mixing
+from . import bpe, chat_format, exact_dedup, html_text, jaccard_join, quality_rules, secret_scan, source_mixing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -13,6 +13,10 @@ def vocabulary(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_dedup(spark, sf_dir):
+    return exact_dedup.duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_table(table(spark, sf_dir, "documents"))
 
@@ -41,10 +45,11 @@ def op10_ngram_join(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op7_chat_format, op9_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op7_chat_format, op9_secret_scan,
                                   op10_ngram_join)}
 
 ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_source_mixing": source_mixing.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
