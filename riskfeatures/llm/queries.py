@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, html_text, jaccard_join, quality_rules, secret_scan, source_mixing
+from . import bpe, brown_lm, chat_format, exact_dedup, html_text, jaccard_join, quality_rules, secret_scan, source_mixing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op7_chat_format(spark, sf_dir):
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op8_brown_lm(spark, sf_dir):
+    return brown_lm.scored(table(spark, sf_dir, "documents"), classes=64, share=1e-5, rounds=5)
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_ngram_join(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op7_chat_format, op9_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op7_chat_format, op8_brown_lm, op9_secret_scan,
                                   op10_ngram_join)}
 
 ORACLES = {

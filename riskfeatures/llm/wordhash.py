@@ -18,6 +18,8 @@ _BYTE[[32, 9, 10, 11, 12, 13]] = 0
 _BYTE[65:91] = _BYTE[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _RADIX = np.uint64(0x9E3779B97F4A7C13)  # 3 mod 8
 _POWERS = np.cumprod(np.full(256, _RADIX), dtype=np.uint64)
 
@@ -44,15 +46,17 @@ def parts(column: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, at)``: row ``i`` has the words ``hashes[at[i]:at[i + 1]]``; a null has none."""
+def word_hashes(column: pa.Array, tails: bool = False) -> tuple[np.ndarray, ...]:
+    """``(hashes, at)``: row ``i`` has the words ``hashes[at[i]:at[i + 1]]``; a null has none.
+    With ``tails`` also the last two bytes of every word as one number."""
     column = column.fill_null("")
     offs = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offs[0]:offs[-1]] if column.buffers()[2] else np.zeros(0, np.uint8)
     offs = offs - offs[0]
     n = len(data)
+    none = np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int64)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+        return none if tails else none[:2]
     blank = _BLANK[data]
     first = np.empty(n, bool)
     first[0], first[1:] = True, blank[:-1]
@@ -61,18 +65,20 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first &= ~blank
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+        return none if tails else none[:2]
     gaps = np.diff(np.append(starts, n))
     place = np.arange(starts[0], n) - np.repeat(starts, gaps)
     value = _BYTE[data[starts[0]:]]
     value *= _powers(int(gaps.max()))[place]
-    h = np.add.reduceat(value, starts - starts[0])
-    return mix(h), np.searchsorted(starts, offs)
-
-
-def row_of(at: np.ndarray) -> np.ndarray:
-    """Row number of every word."""
-    return np.repeat(np.arange(len(at) - 1), np.diff(at))
+    h = mix(np.add.reduceat(value, starts - starts[0]))
+    if not tails:
+        return h, np.searchsorted(starts, offs)
+    last = np.empty(n, bool)
+    last[-1], last[:-1] = True, blank[1:]
+    last[heads[heads > 0] - 1] = True
+    ends = np.flatnonzero(last & ~blank)
+    low = _LOWER[data]
+    return h, np.searchsorted(starts, offs), low[ends].astype(np.int64) * 256 + np.where(ends > starts, low[ends - 1], 0)
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
