@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, stored
-from .jaccard_join import SUB_BLOCKS, _lists
+from .jaccard_join import BLOCK_BITS, _lists
 from .wordhash import mix, parts, word_hashes
 
 SMOOTH = 0.1
@@ -284,7 +284,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     spark = docs.sparkSession
     number = F.monotonically_increasing_id()
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
-    rows = stored(docs.select((F.spark_partition_id().cast("long") * SUB_BLOCKS + number % SUB_BLOCKS).alias("block"), held.alias("held"),
+    rows = stored(docs.select(F.shiftright(number, BLOCK_BITS).alias("block"), held.alias("held"),
                               F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), "rows")
     bits = max(2, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
     sent = stored(map_arrow(rows.select("block", "held", "text"), partial(_requests, bits=bits),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown_lm, chat_format, exact_dedup, html_text, jaccard_join, quality_rules, secret_scan, source_mixing
+from . import bpe, brown_lm, chat_format, exact_dedup, html_text, jaccard_join, line_dedup, quality_rules, secret_scan, source_mixing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op5_html_text(spark, sf_dir):
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), percent=90)
+
+
 def op7_chat_format(spark, sf_dir):
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
@@ -49,12 +53,13 @@ def op10_ngram_join(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op7_chat_format, op8_brown_lm, op9_secret_scan,
-                                  op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op6_line_dedup,
+                                  op7_chat_format, op8_brown_lm, op9_secret_scan, op10_ngram_join)}
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_source_mixing": source_mixing.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
 }
