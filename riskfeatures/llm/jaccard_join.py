@@ -50,7 +50,7 @@ MAX_L = 4        # longest extension of a prefix
 SMALL = 64       # sets up to this size count all their shingles
 VERIFY = 8       # cost of verifying a candidate, in scanned postings
 FLUSH = 4 << 20  # shingles that a task gathers before it sends them
-SUB_BLOCKS = 4
+BLOCK_BITS = 11  # 2048 consecutive rows of a task are a block
 
 
 def _need(n: int, percent: int) -> int:
@@ -280,7 +280,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     rid, block = key_column(docs, "rid"), key_column(docs, "block")
     number = F.monotonically_increasing_id()
     rows = stored(docs.select(*[F.col(f"`{c}`") for c in docs.columns], number.alias(rid),
-                              (F.spark_partition_id().cast("long") * SUB_BLOCKS + number % SUB_BLOCKS).alias(block)), "rows")
+                              F.shiftright(number, BLOCK_BITS).alias(block)), "rows")
     sets = _sets(rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("doc_id"), F.col(block).alias("block"),
                              F.col(text_col).alias("text")), size, percent)
     shared = sets.where(F.size("tokens") > 0)
