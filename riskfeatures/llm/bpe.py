@@ -126,9 +126,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return map_arrow(src, _decoder(path), f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Number of tokens and digests of the ids and of the decoded text."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Number of tokens and digests of the ids and of the decoded text; with ``with_ids`` the ids too."""
     d = decode(encode(docs, path, id_col, text_col), path, id_col)
-    return d.select(F.col(id_col), F.size("ids").cast("long").alias("n_tokens"),
+    return d.select(F.col(id_col), *(["ids"] if with_ids else []), F.size("ids").cast("long").alias("n_tokens"),
                     F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                     F.sha2("decoded", 256).alias("decoded_sha256"))

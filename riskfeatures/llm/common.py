@@ -53,8 +53,9 @@ def _root(spark: SparkSession) -> str:
 
 
 def key_column(df: DataFrame, name: str) -> str:
-    """``name`` if ``df`` has no such column, else ``name`` with underscores before it."""
-    while name in df.columns:
+    """``name`` if ``df`` has no such column (in either case), else with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name = "_" + name
     return name
 

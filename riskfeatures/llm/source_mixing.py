@@ -120,13 +120,13 @@ def _key(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 def _taken(docs: DataFrame, plan: DataFrame, seed: int, id_col: str, source_col: str) -> tuple[DataFrame, str, str]:
     """``docs`` repeated once for each pass that takes them, with pass and key."""
-    epoch, key = key_column(docs, "epoch"), key_column(docs, "shuffle_key")
-    p = plan.select(F.col("source").alias("_mix_s"), F.col("passes").alias("_mix_n"), F.col("last_key").alias("_mix_k"))
-    last = F.when(_key(seed, F.col("_mix_n"), F.col(id_col)) <= F.col("_mix_k"), F.col("_mix_n")).otherwise(F.col("_mix_n") - 1)
-    out = docs.join(p, F.col(source_col).eqNullSafe(F.col("_mix_s"))).withColumn("_mix_last", last).where("_mix_last >= 0")
-    out = out.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_last"))))
+    epoch, key, s, n, k, last = (key_column(docs, x) for x in ("epoch", "shuffle_key", "mix_source", "mix_passes", "mix_key", "mix_last"))
+    p = plan.select(F.col("source").alias(s), F.col("passes").alias(n), F.col("last_key").alias(k))
+    until = F.when(_key(seed, F.col(n), F.col(id_col)) <= F.col(k), F.col(n)).otherwise(F.col(n) - 1)
+    out = docs.join(p, F.col(source_col).eqNullSafe(F.col(s))).withColumn(last, until).where(F.col(last) >= 0)
+    out = out.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col(last))))
     out = out.withColumn(key, _key(seed, F.col(epoch), F.col(id_col)))
-    return out.drop("_mix_s", "_mix_n", "_mix_k", "_mix_last"), epoch, key
+    return out.drop(s, n, k, last), epoch, key
 
 
 def mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
