@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+INF = float("inf")
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -46,31 +49,41 @@ def ordinal(x, mapping: Mapping[str, int], fallback: int | None = 1) -> Column:
 
 def right_closed_bin(x, edges: Sequence[float], labels: Sequence[str],
                      include_lowest: bool = False) -> Column:
-    """pandas ``cut`` semantics: (e[i], e[i+1]] -> labels[i]; NULL outside."""
-    c = _c(x)
-    expr = None
-    for i, lab in enumerate(labels):
-        lo, hi = edges[i], edges[i + 1]
-        cond = (c > lo) & (c <= hi)
-        if include_lowest and i == 0:
-            cond = (c >= lo) & (c <= hi)
-        expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
-    return expr
+    """pandas ``cut`` semantics: (e[i], e[i+1]] -> labels[i]; NULL outside.  An
+    infinite outer edge leaves that end open."""
+    return _cut(x, edges, labels, include_lowest)
 
 
 def bin_index(x, edges: Sequence[float], include_lowest: bool = False) -> Column:
     """0-based right-closed bin index (NULL outside) — doubles as a sort key."""
+    return _cut(x, edges, range(len(edges) - 1), include_lowest)
+
+
+def _cut(x, edges: Sequence[float], values: Sequence, include_lowest: bool) -> Column:
     c = _c(x)
     expr = None
-    for i in range(len(edges) - 1):
+    for i, v in enumerate(values):
         lo, hi = edges[i], edges[i + 1]
-        cond = (c > lo) & (c <= hi)
-        if include_lowest and i == 0:
-            cond = (c >= lo) & (c <= hi)
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+        cond = c.isNotNull()
+        if lo != -INF:
+            cond = cond & ((c >= lo) if include_lowest and i == 0 else (c > lo))
+        if hi != INF:
+            cond = cond & (c <= hi)
+        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
     return expr
 
 
+def bin_case_sql(col: str, edges: Sequence[float], labels: Sequence[str], index: bool = False) -> str:
+    """SQL text of ``right_closed_bin`` (or ``bin_index``)."""
+    parts = []
+    for i, lab in enumerate(labels):
+        cond = [f"{col} IS NOT NULL"]
+        cond += [f"{col} > {edges[i]}"] if edges[i] != -INF else []
+        cond += [f"{col} <= {edges[i + 1]}"] if edges[i + 1] != INF else []
+        parts.append(f"WHEN {' AND '.join(cond)} THEN " + (str(i) if index else f"'{lab}'"))
+    return "CASE " + " ".join(parts) + " END"
+
+
 def sql_round(x, digits: int = 0) -> Column:
     """Round a double the way SQL engines do on binary doubles: scale by
     10^digits, round half away from zero, unscale.  (Spark's ``round`` on a

@@ -98,7 +98,8 @@ def pit_merge_frames(ev: DataFrame, cu: DataFrame, carry: Sequence[str],
           .select(*keys, F.col("_ts").cast("timestamp_ntz").alias("_ts"), "_seq", "_v",
                   F.date_trunc(bucket, F.col("_ts")).alias("_b"), F.lit(1).alias("_is_cut"),
                   *[F.lit(None).cast(cu.schema[c].dataType).alias(c) for c in carry]))
-    cu = cu.select(*keys, F.col("_ts").cast("timestamp_ntz").alias("_ts"),
+    unkeyed = cu.filter(~key_ok).select(*carry)  # a cutoff without a key has no events
+    cu = cu.filter(key_ok).select(*keys, F.col("_ts").cast("timestamp_ntz").alias("_ts"),
                    F.lit(None).cast(ev.schema["_seq"].dataType).alias("_seq"),
                    F.lit(None).cast(ev.schema["_v"].dataType).alias("_v"),
                    F.date_trunc(bucket, F.col("_ts")).alias("_b"), F.lit(2).alias("_is_cut"), *carry)
@@ -129,19 +130,24 @@ def pit_merge_frames(ev: DataFrame, cu: DataFrame, carry: Sequence[str],
         .filter(~is_ev))
 
     j = within.join(prior, [*keys, "_b"], "left")
-    return j.select(
+    out = j.select(
         *carry,
         (F.col("_wn") + F.coalesce(F.col("_pn"), F.lit(0))).cast("bigint").alias("pit_n"),
         F.greatest("_wmx", "_pmx").alias("pit_last_ts"),
         F.coalesce(F.col("_wlv"), F.col("_plv"))["_v"].alias("pit_last"),
     )
+    kinds = {f.name: f.dataType for f in out.schema.fields}
+    return out.unionByName(unkeyed.select(
+        *carry, F.lit(0).cast("bigint").alias("pit_n"), F.lit(None).cast(kinds["pit_last_ts"]).alias("pit_last_ts"),
+        F.lit(None).cast(kinds["pit_last"]).alias("pit_last")))
 
 
 def churn_first_seen(history: DataFrame, key: str, ts: str, value: str,
                      seq: Sequence[str] = ()) -> DataFrame:
     """First occurrence of each (key, value): a partial aggregate, so COUNT
-    DISTINCT value as-of a cutoff becomes a PIT count over first-seen events."""
+    DISTINCT value as-of a cutoff becomes a PIT count over first-seen events.
+    A NULL value keeps its key but has no first time: it counts for nothing."""
     order = F.struct(F.col(ts), *[F.col(s) for s in seq])
     return (history.filter(F.col(key).isNotNull())
             .groupBy(key, value).agg(F.min(order).alias("_first"))
-            .select(key, value, F.col("_first")[ts].alias(ts)))
+            .select(key, value, F.when(F.col(value).isNotNull(), F.col("_first")[ts]).alias(ts)))

@@ -293,7 +293,21 @@ def checkpoint_dataset(wide: DataFrame, checkpoint: str) -> DataFrame:
     cols += [F.col(f"{f}_at_{checkpoint}").alias(f) for f in DUAL_FEATURES]
     if checkpoint == "halfway":
         cols += [F.col(src).alias(dst) for dst, src in HALFWAY_EXTRA]
-    return wide.select(*cols)
+    return zero_filled(wide.select(*cols))
+
+
+def zero_filled(df: DataFrame, keep=("id", "target_source")) -> DataFrame:
+    """Every column but ``keep`` as a number, NULL (also of text that is no number) as 0."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if f.name in keep:
+            out.append(c)
+        elif f.dataType.typeName() == "string":
+            out.append(F.coalesce(F.expr(f"try_cast(`{f.name}` AS double)"), F.lit(0.0)).alias(f.name))
+        else:
+            out.append(F.coalesce(c, F.lit(0).cast(f.dataType)).alias(f.name))
+    return df.select(*out)
 
 
 def checkpoint_long(wide: DataFrame) -> DataFrame:
@@ -310,15 +324,15 @@ _MEMO: dict = {}
 
 
 def feature_table(spark, sf_dir: str, as_of=AS_OF) -> DataFrame:
-    """The leak-free wide table, built once per session and input folder and
-    cut from its lineage with a reliable checkpoint in the cluster's shared
-    ``spark.checkpoint.dir`` (survives executor loss; downstream analytics
-    re-read it instead of re-running the PIT plan)."""
-    from ..session import cut_lineage
+    """The leak-free wide table, built once per application and input folder and
+    written as Parquet into the cluster's shared ``spark.checkpoint.dir``
+    (survives executor loss; downstream analytics read the columns they need
+    instead of re-running the PIT plan)."""
+    from ..session import stored_table
     from ..sources.roles import roles
-    key = (id(spark._jsparkSession), sf_dir, str(as_of))
+    key = (spark.sparkContext.applicationId, sf_dir, str(as_of))
     if key not in _MEMO:
-        _MEMO[key] = cut_lineage(leak_free_wide(roles(spark, sf_dir), as_of), spark)
+        _MEMO[key] = stored_table(leak_free_wide(roles(spark, sf_dir), as_of), "features")
     return _MEMO[key]
 
 

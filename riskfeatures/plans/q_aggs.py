@@ -212,9 +212,9 @@ def agg_segment_rates(spark, sf):
 
 @register("agg_pivot_rate", round_cols=("Same Day (0d)", "1-7 Days", "8-30 Days", ">30 Days"), oracle=feat_with("""
 , x AS (SELECT CASE WHEN num_revisions > -1 AND num_revisions <= 0 THEN '0 Revs' WHEN num_revisions > 0 AND num_revisions <= 2 THEN '1-2 Revs'
-  WHEN num_revisions > 2 AND num_revisions <= 5 THEN '3-5 Revs' WHEN num_revisions > 5 AND num_revisions <= 100 THEN '>5 Revs' END AS rev_bin,
+  WHEN num_revisions > 2 AND num_revisions <= 5 THEN '3-5 Revs' WHEN num_revisions > 5 THEN '>5 Revs' END AS rev_bin,
   CASE WHEN planned_duration > -1 AND planned_duration <= 0 THEN 'Same Day (0d)' WHEN planned_duration > 0 AND planned_duration <= 7 THEN '1-7 Days'
-  WHEN planned_duration > 7 AND planned_duration <= 30 THEN '8-30 Days' WHEN planned_duration > 30 AND planned_duration <= 365 THEN '>30 Days' END AS dur_bin,
+  WHEN planned_duration > 7 AND planned_duration <= 30 THEN '8-30 Days' WHEN planned_duration > 30 THEN '>30 Days' END AS dur_bin,
   calculated_overdue FROM feat)
 SELECT rev_bin, avg(calculated_overdue) FILTER (WHERE dur_bin = 'Same Day (0d)') AS "Same Day (0d)",
   avg(calculated_overdue) FILTER (WHERE dur_bin = '1-7 Days') AS "1-7 Days",
@@ -223,12 +223,12 @@ SELECT rev_bin, avg(calculated_overdue) FILTER (WHERE dur_bin = 'Same Day (0d)')
 FROM x WHERE rev_bin IS NOT NULL AND dur_bin IS NOT NULL GROUP BY 1""", "halfway"))
 def agg_pivot_rate(spark, sf):
     """Pivot mean label: revision bin x duration bin with fixed column order."""
-    from ..functions.scalar import right_closed_bin
+    from ..functions.scalar import INF, right_closed_bin
     f = _feat(spark, sf, "halfway")
     cols_order = ["Same Day (0d)", "1-7 Days", "8-30 Days", ">30 Days"]
-    x = f.select(right_closed_bin("num_revisions", (-1, 0, 2, 5, 100), ("0 Revs", "1-2 Revs", "3-5 Revs", ">5 Revs"))
+    x = f.select(right_closed_bin("num_revisions", (-1, 0, 2, 5, INF), ("0 Revs", "1-2 Revs", "3-5 Revs", ">5 Revs"))
                  .alias("rev_bin"),
-                 right_closed_bin("planned_duration", (-1, 0, 7, 30, 365), cols_order).alias("dur_bin"),
+                 right_closed_bin("planned_duration", (-1, 0, 7, 30, INF), cols_order).alias("dur_bin"),
                  "calculated_overdue").dropna(subset=["rev_bin", "dur_bin"])
     return x.groupBy("rev_bin").pivot("dur_bin", cols_order).avg("calculated_overdue")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as an
 from ..sources.roles import roles
 from . import features as feat
+from ..functions.scalar import INF, bin_case_sql
 from .catalog import register
 from .oracle_wide import feat_with
 
@@ -181,28 +182,22 @@ def an_target_source(spark, sf):
     return g.withColumn("pct", F.col("num_tasks") * 100.0 / F.sum("num_tasks").over(Window.partitionBy()))
 
 
+# Bin edges and labels; the outer ends are open, so that no row falls outside.
 _BIN_SPECS = {
-    "duration": ("planned_duration", (-1, 0, 7, 30, 365), ("Same Day (0d)", "1-7 Days", "8-30 Days", ">30 Days")),
-    "revisions": ("num_revisions", (-1, 0, 2, 5, 100), ("0 Revs", "1-2 Revs", "3-5 Revs", ">5 Revs")),
-    "halfway_completion": ("subtask_completion_pct_at_halfway", (-0.01, 0, 0.25, 0.5, 0.75, 1.0),
+    "duration": ("planned_duration", (-INF, -1, 0, 7, 30, INF), ("Negative", "Same Day (0d)", "1-7 Days", "8-30 Days", ">30 Days")),
+    "revisions": ("num_revisions", (-INF, 0, 2, 5, INF), ("0 Revs", "1-2 Revs", "3-5 Revs", ">5 Revs")),
+    "halfway_completion": ("subtask_completion_pct_at_halfway", (-INF, 0, 0.25, 0.5, 0.75, INF),
                            ("0% Done", "1-25%", "26-50%", "51-75%", "76-100%")),
-    "comments": ("task_comment_count", (-1, 0, 2, 100), ("0 Comments", "1-2 Comments", ">2 Comments")),
+    "comments": ("task_comment_count", (-INF, 0, 2, INF), ("0 Comments", "1-2 Comments", ">2 Comments")),
 }
-
-
-def _case_sql(col, edges, labels, idx=False):
-    parts = []
-    for i, lab in enumerate(labels):
-        v = str(i) if idx else f"'{lab}'"
-        parts.append(f"WHEN {col} > {edges[i]} AND {col} <= {edges[i + 1]} THEN {v}")
-    return "CASE " + " ".join(parts) + " END"
+_case_sql = bin_case_sql
 
 
 @register("bin_fixed", round_cols=("overdue_rate", "overdue_rate_pct"), oracle=feat_with(
     "SELECT dimension, bin, bin_order, count(calculated_overdue) AS num_tasks, avg(calculated_overdue) AS overdue_rate, "
     "avg(calculated_overdue) * 100 AS overdue_rate_pct FROM (" + " UNION ALL ".join(
         f"SELECT '{d}' AS dimension, {_case_sql(c, e, l)} AS bin, {_case_sql(c, e, l, True)} AS bin_order, calculated_overdue FROM feat"
-        for d, (c, e, l) in _BIN_SPECS.items()) + ") WHERE bin IS NOT NULL GROUP BY 1, 2, 3", "halfway"))
+        for d, (c, e, l) in _BIN_SPECS.items()) + ") GROUP BY 1, 2, 3", "halfway"))
 def bin_fixed(spark, sf):
     """Fixed-edge right-closed bins (pd.cut) for duration, revisions, halfway completion
     and comments -> rate, in one scan (D11, E10)."""
@@ -212,14 +207,14 @@ def bin_fixed(spark, sf):
                              bin_index(c, e).alias("bin_order"))
                     for d, (c, e, l) in _BIN_SPECS.items()])
     x = f.select(F.explode(arr).alias("_d"), "calculated_overdue").select("_d.*", "calculated_overdue")
-    return an.rate_by(x.filter(F.col("bin").isNotNull()), ["dimension", "bin", "bin_order"])
+    return an.rate_by(x, ["dimension", "bin", "bin_order"])
 
 
 _ACT_SPECS = {
-    "task_comments": ("task_comment_count", (-1, 0, 1, 3, 6, 100), ("0", "1", "2-3", "4-6", "6+")),
-    "sub_churn": ("avg_sub_status_changes", (-0.1, 0, 1, 2, 3, 10), ("0", "1", "2", "3", "3+")),
-    "ma_revisions": ("num_ma_revisions", (-1, 0, 5, 20, 50, 100, 10000), ("0", "1-5", "6-20", "21-50", "51-100", "100+")),
-    "kpi_revisions": ("num_kpi_revisions", (-1, 0, 1, 3, 5, 10, 1000), ("0", "1", "2-3", "4-5", "6-10", "10+")),
+    "task_comments": ("task_comment_count", (-INF, 0, 1, 3, 6, INF), ("0", "1", "2-3", "4-6", "6+")),
+    "sub_churn": ("avg_sub_status_changes", (-INF, 0, 1, 2, 3, INF), ("0", "1", "2", "3", "3+")),
+    "ma_revisions": ("num_ma_revisions", (-INF, 0, 5, 20, 50, 100, INF), ("0", "1-5", "6-20", "21-50", "51-100", "100+")),
+    "kpi_revisions": ("num_kpi_revisions", (-INF, 0, 1, 3, 5, 10, INF), ("0", "1", "2-3", "4-5", "6-10", "10+")),
 }
 
 
@@ -227,7 +222,7 @@ _ACT_SPECS = {
     "SELECT dimension, bin, bin_order, count(calculated_overdue) AS num_tasks, avg(calculated_overdue) AS overdue_rate, "
     "avg(calculated_overdue) * 100 AS overdue_rate_pct FROM (" + " UNION ALL ".join(
         f"SELECT '{d}' AS dimension, {_case_sql(c, e, l)} AS bin, {_case_sql(c, e, l, True)} AS bin_order, calculated_overdue FROM feat"
-        for d, (c, e, l) in _ACT_SPECS.items()) + ") WHERE bin IS NOT NULL GROUP BY 1, 2, 3", "halfway"))
+        for d, (c, e, l) in _ACT_SPECS.items()) + ") GROUP BY 1, 2, 3", "halfway"))
 def an_activity_bins(spark, sf):
     """Comment / churn / parent and KPI revision bins -> rate."""
     from ..functions.scalar import bin_index, right_closed_bin
@@ -236,7 +231,7 @@ def an_activity_bins(spark, sf):
                              bin_index(c, e).alias("bin_order"))
                     for d, (c, e, l) in _ACT_SPECS.items()])
     x = f.select(F.explode(arr).alias("_d"), "calculated_overdue").select("_d.*", "calculated_overdue")
-    return an.rate_by(x.filter(F.col("bin").isNotNull()), ["dimension", "bin", "bin_order"])
+    return an.rate_by(x, ["dimension", "bin", "bin_order"])
 
 
 @register("an_challenge_lift", round_cols=("pct_tasks_affected", "rate_present_pct", "rate_absent_pct", "lift"),

@@ -227,8 +227,9 @@ def _expanding_input(spark, sf):
 @register("feat_leak_free_wide", round_cols=WIDE_DOUBLES, oracle=f"WITH {WIDE_CTES}\nSELECT * FROM wide")
 def feat_leak_free_wide(spark, sf):
     """Full leak-free dual-cutoff feature table (PT18, O1); built once per session
-    and input folder, checkpointed, then shared by the analytics queries."""
-    return feat.feature_table(spark, sf)
+    and input folder, written as Parquet, then shared by the analytics queries;
+    ordered by id."""
+    return feat.feature_table(spark, sf).orderBy("id")
 
 
 @register("feat_checkpoint_split", round_cols=CKPT_DOUBLES + ("subtask_completion_pct_at_halfway",),

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..config import APPROVAL_ORDER, AS_OF, STATUS_ORDER
 from ..functions import encode as enc
-from ..functions.scalar import clip, clipped_ratio, ordinal, right_closed_bin, bin_index
+from ..functions.scalar import INF, bin_case_sql, clip, clipped_ratio, ordinal, right_closed_bin, bin_index
 from ..functions.temporal import calendar_parts, date_days, floor_days, lit_date
 from ..operators import aggs as ag
 from ..operators import analytics as an
 from ..operators import cutoffs as cut
 from ..operators import labels as lbl
 from ..operators import metrics as M
+from ..operators import ml
 from ..sources.roles import roles
 from .catalog import register
 from .oracle_wide import AS_OF_SQL, BASE_CTES, TWO_TIER, feat_with
@@ -242,9 +243,7 @@ def fn_clipped_ratio(spark, sf):
     return j.select("id", "kpi_id", clipped_ratio("achieved_kpi", "planned_kpi").alias("kpi_achievement"))
 
 
-_HALF_DROP = ("id", "target_source", "status_encoded", "approval_status_encoded", "lead_approval_status_encoded",
-              "ma_status_encoded", "ma_approval_status_encoded", "subtask_completion_pct", "subtask_overdue_rate",
-              "created_is_weekend", "created_is_friday")
+_HALF_DROP = ml.HALFWAY_DROP
 
 
 def _halfway_cols():
@@ -264,12 +263,7 @@ def _halfway_cols():
 def feat_preprocess(spark, sf):
     """Halfway model preprocessor: clip duration >= 0, parent revisions <= 78,
     revisions <= 9, intensity ratio, drop leaky / id columns (P16, P18, F8)."""
-    f = _feat(spark, sf, "halfway")
-    f = (f.withColumn("planned_duration", clip("planned_duration", lower=0))
-         .withColumn("num_ma_revisions", clip("num_ma_revisions", upper=78))
-         .withColumn("num_revisions", clip("num_revisions", upper=9)))
-    f = f.withColumn("duration_revision_intensity", F.col("num_revisions") / (F.col("planned_duration") + 1))
-    return f.drop(*_HALF_DROP)
+    return ml.preprocess_halfway(_feat(spark, sf, "halfway")).drop("id")
 
 
 @register("feat_cap_p99", oracle=feat_with("""SELECT id, num_ma_revisions, CAST(cap AS DOUBLE) AS cap_p99,
@@ -371,14 +365,10 @@ def ord_min_support(spark, sf):
     return g.filter(F.col("n_tasks") >= 50).orderBy(F.col("emp_rate").desc(), "assignee_id")
 
 
-_DAYS_EDGES = (-365, -1, 0, 30, 90, 180, 365, 2000)
+# Days left until an upstream end date; both ends are open.
+_DAYS_EDGES = (-INF, -1, 0, 30, 90, 180, 365, INF)
 _DAYS_LABELS = ("Past due", "Due today", "< 30 days", "30-90", "90-180", "180-365", "365+")
-
-
-def _case(col, edges, labels, idx=False):
-    return "CASE " + " ".join(
-        f"WHEN {col} > {edges[i]} AND {col} <= {edges[i + 1]} THEN {i if idx else repr(lab)}"
-        for i, lab in enumerate(labels)) + " END"
+_case = bin_case_sql
 
 
 @register("an_days_remaining", round_cols=("overdue_rate",), oracle=B + f""", x AS (SELECT b.calculated_overdue,

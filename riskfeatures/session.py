@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,10 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) do we create a scratch folder.
+    is.  Only when it is unset and the master is local (tests) a scratch folder is
+    made; a machine-local folder on a cluster would scatter the parts.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="rf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -55,3 +59,12 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def stored_table(df, name: str):
+    """``df`` written as Parquet into the shared folder and read back: cuts the
+    lineage, survives executor loss, and later scans read only their columns."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

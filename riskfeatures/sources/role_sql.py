@@ -59,7 +59,7 @@ SELECT r_regionkey AS id, r_name AS goal_name, CAST(1996 + r_regionkey AS INT) A
 SELECT r_regionkey AS goal_id, r_regionkey % 3 AS pillar_id FROM region UNION ALL SELECT r_regionkey, 3 FROM region WHERE r_regionkey % 2 = 0
 """,
     "milestone": """
-SELECT DISTINCT n_nationkey % 7 AS id, n_nationkey % 7 % 3 AS ksi_id, (n_nationkey % 7 % 2 = 0) AS is_overdue, DATE '1998-01-01' + CAST((n_nationkey % 7) * 90 AS INT) AS end_date FROM nation
+SELECT DISTINCT n_nationkey % 7 AS id, n_nationkey % 7 % 3 AS ksi_id, (n_nationkey % 7 % 2 = 0) AS is_overdue, DATE '1999-06-30' + CAST(CASE n_nationkey % 7 WHEN 0 THEN -545 WHEN 1 THEN 0 WHEN 2 THEN 15 WHEN 3 THEN 60 WHEN 4 THEN 120 WHEN 5 THEN 300 ELSE 800 END AS INT) AS end_date FROM nation
 """,
     "ksi": """
 SELECT DISTINCT n_nationkey % 3 AS id, (n_nationkey % 3 = 1) AS is_overdue, CASE n_nationkey % 3 WHEN 0 THEN 'ongoing' WHEN 1 THEN 'completed' ELSE 'not_started' END AS status FROM nation
@@ -97,19 +97,19 @@ SELECT event_id AS id, user_id AS object_id, CASE event_type WHEN 'view' THEN 24
 SELECT s_suppkey AS id, s_nationkey AS assigning_department_id, CAST((s_nationkey + s_suppkey) % 25 AS INT) AS assigned_department_id FROM supplier
 """,
     "task_challenge": """
-SELECT user_id AS task_id, CAST(event_id % 9 AS INT) AS challengegroup_id FROM events WHERE event_type = 'error' AND event_id % 7 = 0
+SELECT user_id AS task_id, CAST(event_id % 9 AS INT) AS challengegroup_id FROM events WHERE event_type = 'error'
 """,
     "subtask_challenge": """
-SELECT l_orderkey * 10 + l_linenumber AS subtask_id, CAST(l_partkey % 9 AS INT) AS challengegroup_id FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08
+SELECT l_orderkey * 10 + CASE WHEN l_partkey % 100 = 0 THEN l_linenumber ELSE 9 END AS subtask_id, CAST(l_partkey % 9 AS INT) AS challengegroup_id FROM lineitem
 """,
     "kpi_challenge": """
-SELECT CAST(user_id % 25 AS INT) AS kpi_id, CAST(event_id % 9 AS INT) AS challengegroup_id FROM events WHERE event_type = 'signup' AND user_id % 25 < 4
+SELECT CAST(user_id % 4 * 7 AS INT) AS kpi_id, CAST(event_id % 9 AS INT) AS challengegroup_id FROM events WHERE event_type = 'signup'
 """,
     "kpi_potential_challenge": """
-SELECT CAST(user_id % 25 AS INT) AS kpi_id, CAST(event_id % 9 AS INT) AS challengegroup_id FROM events WHERE event_type = 'purchase' AND user_id % 25 < 12
+SELECT CAST(user_id % 12 * 2 AS INT) AS kpi_id, CAST(event_id % 9 AS INT) AS challengegroup_id FROM events WHERE event_type = 'purchase'
 """,
     "challenge_group": """
-SELECT n_nationkey AS id, n_name AS challenge_group_name FROM nation WHERE n_nationkey < 9
+SELECT n_nationkey AS id, n_name AS challenge_group_name FROM nation
 """,
     "kpi_resource_type": """
 SELECT CAST(s_suppkey % 25 AS INT) AS kpi_id, CAST(s_suppkey % 4 AS INT) AS resourcetype_id FROM supplier

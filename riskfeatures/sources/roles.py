@@ -9,7 +9,6 @@ scans through the view definitions.
 from __future__ import annotations
 
 import os
-import uuid
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +19,7 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
 
-_REGISTERED: dict[int, str] = {}
-_MATERIALIZED: dict[tuple, SimpleNamespace] = {}
+_REGISTERED: dict[str, str] = {}
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
@@ -33,7 +31,7 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
 
 
 def register_roles(spark: SparkSession, sf_dir: str) -> None:
-    key = id(spark._jsparkSession)
+    key = spark.sparkContext.applicationId
     if _REGISTERED.get(key) == sf_dir:
         return
     register_tables(spark, sf_dir)
@@ -42,41 +40,11 @@ def register_roles(spark: SparkSession, sf_dir: str) -> None:
     _REGISTERED[key] = sf_dir
 
 
-def roles(spark: SparkSession, sf_dir: str, mode: str | None = None) -> SimpleNamespace:
-    """Namespace of role DataFrames for ``sf_dir``.
-
-    ``mode="tables"`` (default): the role views are derived once per session
-    and input folder and written as parquet into the cluster's shared
-    ``spark.checkpoint.dir`` — they play the part of the source tables the
-    reference reads, so every query scans them instead of re-deriving them
-    (e.g. ``sub_task`` is a GROUP BY over the line table).  Written files are
-    fault tolerant and cut the lineage.  ``mode="views"``: lazy views only.
-    """
-    mode = mode or os.environ.get("RF_ROLES", "tables")
+def roles(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
+    """Namespace of lazy role views for ``sf_dir``: filters and column pruning go
+    through the view definitions to the given files."""
     register_roles(spark, sf_dir)
-    if mode == "views":
-        return SimpleNamespace(**{n: spark.table(n) for n in ROLE_SQL}, spark=spark)
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _MATERIALIZED:
-        _MATERIALIZED[key] = materialize_roles(spark, sf_dir)
-    return _MATERIALIZED[key]
-
-
-def materialize_roles(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
-    """Write every role view as parquet under the shared checkpoint folder."""
-    from ..session import ensure_checkpoint_dir
-    from concurrent.futures import ThreadPoolExecutor
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/roles-{uuid.uuid4().hex[:12]}"
-
-    def write(name: str) -> str:
-        path = f"{root}/{name}"
-        spark.table(name).write.mode("overwrite").parquet(path)
-        return path
-    # independent jobs submitted concurrently from driver threads; Spark runs
-    # their tasks side by side on the executors
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        paths = dict(zip(ROLE_SQL, pool.map(write, ROLE_SQL)))
-    return SimpleNamespace(**{n: spark.read.parquet(p) for n, p in paths.items()}, spark=spark)
+    return SimpleNamespace(**{n: spark.table(n) for n in ROLE_SQL}, spark=spark)
 
 
 def role_df(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
