@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .scalar import sql_round
 
 
@@ -85,15 +86,13 @@ def qcut(df: DataFrame, col: str, q: int, out: str = "bucket", clip: tuple[float
     x = F.col(col).cast("double")
     src = df
     if clip:
-        b = df.agg(F.percentile(x, F.lit(clip[0])).alias("_clo"), F.percentile(x, F.lit(clip[1])).alias("_chi"))
-        src = df.crossJoin(F.broadcast(b)).withColumn(
-            "_x", F.when(x.isNull(), x).otherwise(F.least(F.greatest(x, F.col("_clo")), F.col("_chi"))))
+        lo, hi = (F.lit(v).cast("double") for v in exact_quantiles(df, [col], clip)[col])
+        src = df.withColumn("_x", F.when(x.isNull(), x).otherwise(F.least(F.greatest(x, lo), hi)))
     else:
         src = df.withColumn("_x", x)
     probs = [i / q for i in range(q + 1)]
-    e = src.agg(F.array_distinct(F.transform(
-        F.percentile(F.col("_x"), F.array(*[F.lit(p) for p in probs])), lambda v: sql_round(v, 9))).alias("_e"))
-    j = src.crossJoin(F.broadcast(e))
+    edges = exact_quantiles(src, ["_x"], probs)["_x"]
+    j = src.withColumn("_e", F.array_distinct(F.array(*[sql_round(F.lit(v).cast("double"), 9) for v in edges])))
     idx = F.greatest(F.size(F.filter("_e", lambda v: v < sql_round(F.col("_x"), 9))) - 1, F.lit(0))
     return (j.withColumn(out, F.when(F.col("_x").isNotNull(), idx))
             .withColumn("bucket_lo", F.element_at("_e", F.col(out) + 1))

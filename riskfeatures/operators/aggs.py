@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 
 def _stack(one: DataFrame, names: Sequence[str], fields: Sequence[str], key: str = "feature") -> DataFrame:
     """One-row frame with columns ``{name}|{field}`` -> long (key, fields...)."""
@@ -27,10 +29,10 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles=(0.25, 0.5, 0.75))
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
                  F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 F.max(x).alias(f"{c}|max"),
-                 F.percentile(x, F.array(*[F.lit(p) for p in percentiles])).alias(f"{c}|_p")]
+                 F.max(x).alias(f"{c}|max")]
+    q = exact_quantiles(df, cols, percentiles)
     one = df.agg(*aggs)
-    one = one.select("*", *[F.col(f"{c}|_p")[i].alias(f"{c}|{p}") for c in cols for i, p in enumerate(pn)])
+    one = one.select("*", *[F.lit(q[c][i]).cast("double").alias(f"{c}|{p}") for c in cols for i, p in enumerate(pn)])
     fields = ["count", "mean", "std", "min", *pn, "max"]
     return _stack(one, cols, fields)
 

@@ -14,7 +14,7 @@ from ..operators import labels as lbl
 from ..sources.roles import roles
 from . import features as feat
 from .catalog import register
-from .oracle_wide import AS_OF_SQL, BASE_CTES, TWO_TIER, feat_with
+from .oracle_wide import CREATION_FEATS, NUMERIC_FEATS, AS_OF_SQL, BASE_CTES, TWO_TIER, feat_with
 from .q_analytics import CHALLENGE_SQL, _challenge_flags, _feat
 
 B = f"WITH {BASE_CTES}\n"
@@ -242,8 +242,7 @@ def agg_crosstab(spark, sf):
     return b.groupBy("status").pivot("calculated_overdue", [0, 1]).count().fillna(0, ["0", "1"])
 
 
-_DESC_COLS = ("planned_duration", "creation_to_planned_start", "num_revisions", "num_subtasks",
-              "dept_past_overdue_rate", "revision_recency")
+_DESC_COLS = NUMERIC_FEATS
 
 
 @register("agg_describe", round_cols=("mean", "std", "min", "p25", "p50", "p75", "p90", "p95", "p99", "max"),
@@ -257,7 +256,8 @@ def agg_describe(spark, sf):
     return ag.describe(_feat(spark, sf, "halfway"), _DESC_COLS, (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
 
 
-_PROF_COLS = ("status", "approval_status", "weight_level", "start_date", "end_date", "actual_end_date",
+_PROF_COLS = ("id", "status", "approval_status", "lead_approval_status", "weight_level", "is_planned", "is_overdue", "risk_mapping",
+              "start_date", "end_date", "actual_end_date", "created_date", "updated_date", "major_activity_id",
               "position_id", "department_id", "derived_from_cross_department_assignment_id")
 
 
@@ -271,9 +271,7 @@ def agg_column_profile(spark, sf):
     return p.drop("dtype")
 
 
-_VAR_COLS = ("planned_duration", "num_revisions", "num_subtasks", "has_subtasks", "task_comment_count",
-             "is_cross_dept", "cross_dept_pair_exists", "avg_sub_status_changes", "num_kpi_revisions",
-             "kpi_is_overdue_flag", "created_is_weekend")
+_VAR_COLS = NUMERIC_FEATS
 
 
 @register("agg_variance", round_cols=("variance",), oracle=feat_with(" UNION ALL ".join(
@@ -338,14 +336,13 @@ def agg_text_stats(spark, sf):
 @register("dq_dataset_health", oracle=feat_with("""SELECT count(*) AS n_rows,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (id) FROM feat)) AS duplicate_rows_ex_id,
   count(*) - count(DISTINCT id) AS duplicate_ids,
-  CAST(""" + " + ".join(f"count(*) - count({c})" for c in ("dept_past_overdue_rate", "revision_frequency", "num_revisions", "target_source")) + """ AS BIGINT) AS total_missing
+  CAST(""" + " + ".join(f"count(*) - count({c})" for c in (*CREATION_FEATS, "id", "calculated_overdue", "target_source")) + """ AS BIGINT) AS total_missing
 FROM feat"""))
 def dq_dataset_health(spark, sf):
-    """Duplicate rows (ignoring id), duplicate ids and total missing cells."""
+    """Duplicate rows (ignoring id), duplicate ids and missing cells of all columns."""
     f = _feat(spark, sf)
     dup = f.drop("id").distinct().agg(F.count(F.lit(1)).alias("_d"))
-    miss = sum((F.count(F.lit(1)) - F.count(c)) for c in
-               ("dept_past_overdue_rate", "revision_frequency", "num_revisions", "target_source"))
+    miss = sum((F.count(F.lit(1)) - F.count(c)) for c in f.columns)
     one = f.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("_ids"),
                 miss.cast("bigint").alias("total_missing"))
     return one.crossJoin(dup).select("n_rows", (F.col("n_rows") - F.col("_d")).alias("duplicate_rows_ex_id"),

@@ -18,69 +18,66 @@ CREATION_CONTRACT = tuple(c.strip() for c in STATIC.split(",")) + DUAL
 DROPPED_FEATURES = ("num_challenges", "has_challenges", "has_subtask_challenge", "num_subtask_challenges",
                     "has_kpi_challenge", "num_kpi_challenges", "has_kpi_potential_challenge",
                     "num_kpi_potential_challenges", "position_id_encoded")
-NOT_NULL = ("id", "calculated_overdue", "target_source", "planned_duration", "dept_past_overdue_rate",
-            "num_revisions", "status_encoded")
+CONTRACT = {"creation": CREATION_CONTRACT, "halfway": CREATION_CONTRACT + ("days_since_update", "subtask_completion_pct_at_halfway")}
 
 
-def _contract_sql():
-    nn = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in NOT_NULL)
-    exp = ", ".join(f"('{c}')" for c in CREATION_CONTRACT)
+def _contract_sql(dataset: str) -> str:
+    contract = CONTRACT[dataset]
+    nn = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in contract)
+    exp = ", ".join(f"('{c}')" for c in contract)
     drop = ", ".join(f"('{c}')" for c in DROPPED_FEATURES)
     return feat_with(f"""
 , one AS (SELECT count(*) AS n, count(*) - count(DISTINCT id) AS dup_ids, CAST({nn} AS BIGINT) AS null_cells,
     count(*) FILTER (WHERE calculated_overdue NOT IN (0, 1)) AS non_binary, avg(calculated_overdue) AS rate,
     count(*) FILTER (WHERE status_encoded NOT IN (0, 1, 2, 3, 4)) AS bad_ordinal FROM feat),
-actual AS (SELECT * FROM (VALUES {exp}) v(c)),
+actual AS (SELECT unnest(json_keys(to_json(f))) AS c FROM (SELECT * FROM feat LIMIT 1) f),
 expected AS (SELECT * FROM (VALUES {exp}) v(c)),
 dropped AS (SELECT * FROM (VALUES {drop}) v(c))
 SELECT 'row_count' AS check_name, CASE WHEN n > 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(n AS BIGINT) AS value FROM one
 UNION ALL SELECT 'no_duplicate_ids', CASE WHEN dup_ids = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(dup_ids AS BIGINT) FROM one
-UNION ALL SELECT 'no_nulls_required', CASE WHEN null_cells = 0 THEN 'PASS' ELSE 'FAIL' END, null_cells FROM one
+UNION ALL SELECT 'no_nulls', CASE WHEN null_cells = 0 THEN 'PASS' ELSE 'FAIL' END, null_cells FROM one
 UNION ALL SELECT 'binary_target', CASE WHEN non_binary = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(non_binary AS BIGINT) FROM one
 UNION ALL SELECT 'target_rate_band', CASE WHEN rate BETWEEN 0.05 AND 0.95 THEN 'PASS' ELSE 'FAIL' END, CAST(round(rate * 10000) AS BIGINT) FROM one
 UNION ALL SELECT 'ordinal_range', CASE WHEN bad_ordinal = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(bad_ordinal AS BIGINT) FROM one
 UNION ALL SELECT 'missing_columns', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM (SELECT c FROM expected EXCEPT SELECT c FROM actual)
 UNION ALL SELECT 'unexpected_columns', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM (SELECT c FROM actual EXCEPT SELECT c FROM expected)
 UNION ALL SELECT 'dropped_features_absent', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM (SELECT c FROM dropped INTERSECT SELECT c FROM actual)
-UNION ALL SELECT 'challenge_columns_absent', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM actual WHERE c LIKE '%challenge%'""")
+UNION ALL SELECT 'challenge_columns_absent', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM actual WHERE c LIKE '%challenge%'""", dataset)
 
 
-@register("dq_schema_contract", oracle=_contract_sql())
-def dq_schema_contract(spark, sf):
-    """Dataset contract of the creation dataset: row count, duplicate ids,
-    required non-NULL cells, binary target, target-rate band, ordinal range,
-    and the column contract — exact set (U4 set differences), dropped features
-    absent, no column matching 'challenge' (F11) (Q22)."""
-    f = _feat(spark, sf)
+def _contract(f, contract):
     one = f.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("dup_ids"),
-                sum(F.count_if(F.col(c).isNull()) for c in NOT_NULL).cast("bigint").alias("null_cells"),
+                sum(F.count_if(F.col(c).isNull()) for c in f.columns).cast("bigint").alias("null_cells"),
                 F.count_if(~F.col("calculated_overdue").isin(0, 1)).alias("non_binary"),
                 F.avg("calculated_overdue").alias("rate"),
                 F.count_if(~F.col("status_encoded").isin(0, 1, 2, 3, 4)).alias("bad_ordinal"))
-    st = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
+    have = set(f.columns)
+    counts = {"missing_columns": len(set(contract) - have), "unexpected_columns": len(have - set(contract)),
+              "dropped_features_absent": len(have & set(DROPPED_FEATURES)),
+              "challenge_columns_absent": sum("challenge" in c for c in have)}
+
     def row(name, ok, v):
-        return F.struct(F.lit(name).alias("check_name"), st(ok).alias("status"), v.cast("bigint").alias("value"))
-    data = one.select(F.explode(F.array(
+        return F.struct(F.lit(name).alias("check_name"), F.when(ok, "PASS").otherwise("FAIL").alias("status"), v.cast("bigint").alias("value"))
+    return one.select(F.explode(F.array(
         row("row_count", F.col("n") > 0, F.col("n")),
         row("no_duplicate_ids", F.col("dup_ids") == 0, F.col("dup_ids")),
-        row("no_nulls_required", F.col("null_cells") == 0, F.col("null_cells")),
+        row("no_nulls", F.col("null_cells") == 0, F.col("null_cells")),
         row("binary_target", F.col("non_binary") == 0, F.col("non_binary")),
         row("target_rate_band", F.col("rate").between(0.05, 0.95), sql_round(F.col("rate") * 10000)),
         row("ordinal_range", F.col("bad_ordinal") == 0, F.col("bad_ordinal")),
+        *[row(k, F.lit(v == 0), F.lit(v)) for k, v in counts.items()],
     )).alias("r")).select("r.*")
-    # column contract from the dataset's own schema (metadata rows)
-    actual = spark.createDataFrame([(c,) for c in f.columns], "c string")
-    expected = spark.createDataFrame([(c,) for c in CREATION_CONTRACT], "c string")
-    dropped = spark.createDataFrame([(c,) for c in DROPPED_FEATURES], "c string")
-
-    def cnt(df, name):
-        return df.agg(F.count(F.lit(1)).alias("value")).select(
-            F.lit(name).alias("check_name"), st(F.col("value") == 0).alias("status"), "value")
-    cols = (cnt(expected.subtract(actual), "missing_columns")
-            .unionByName(cnt(actual.subtract(expected), "unexpected_columns"))
-            .unionByName(cnt(dropped.intersect(actual), "dropped_features_absent"))
-            .unionByName(cnt(actual.filter(F.col("c").contains("challenge")), "challenge_columns_absent")))
-    return data.unionByName(cols)
+
+
+@register("dq_schema_contract", oracle=" UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, * FROM (\n{_contract_sql(d)}\n)" for d in CONTRACT))
+def dq_schema_contract(spark, sf):
+    """Dataset contract of both checkpoint datasets: row count, duplicate ids, no
+    NULL in any column, binary target, target-rate band, ordinal range, and the
+    column contract — exact set (U4 set differences), dropped features absent,
+    no column matching 'challenge' (F11) (Q22)."""
+    a, b = (_contract(_feat(spark, sf, d), c).select(F.lit(d).alias("dataset"), "*") for d, c in CONTRACT.items())
+    return a.unionByName(b)
 
 
 @register("join_preagg", oracle="""SELECT t.id, CAST(coalesce(s.n, 0) AS BIGINT) AS num_subtasks,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import APPROVAL_ORDER, AS_OF, STATUS_ORDER
 from ..functions import encode as enc
+from ..functions.quantiles import exact_quantiles
 from ..functions.scalar import INF, bin_case_sql, clip, clipped_ratio, ordinal, right_closed_bin, bin_index
 from ..functions.temporal import calendar_parts, date_days, floor_days, lit_date
 from ..operators import aggs as ag
@@ -270,10 +271,10 @@ def feat_preprocess(spark, sf):
   CAST(least(num_ma_revisions, cap) AS DOUBLE) AS num_ma_revisions_capped
 FROM feat CROSS JOIN (SELECT quantile_cont(num_ma_revisions, 0.99) AS cap FROM feat)""", "halfway"))
 def feat_cap_p99(spark, sf):
-    """Quantile cap at the 99th percentile (1-row aggregate, broadcast)."""
+    """Quantile cap at the 99th percentile, found by narrowing intervals."""
     f = _feat(spark, sf, "halfway")
-    cap = f.agg(F.percentile(F.col("num_ma_revisions").cast("double"), F.lit(0.99)).alias("cap_p99"))
-    return (f.select("id", "num_ma_revisions").crossJoin(F.broadcast(cap))
+    (cap,) = exact_quantiles(f, ["num_ma_revisions"], [0.99])["num_ma_revisions"]
+    return (f.select("id", "num_ma_revisions", F.lit(cap).cast("double").alias("cap_p99"))
             .withColumn("num_ma_revisions_capped", F.least(F.col("num_ma_revisions").cast("double"), F.col("cap_p99"))))
 
 

@@ -8,17 +8,20 @@ from ..operators import stats as st
 from ..operators.aggs import _stack
 from ..sources.roles import roles
 from .catalog import register
-from .oracle_wide import feat_with
+from .oracle_wide import NUMERIC_FEATS, feat_with
 from .q_analytics import _feat
 from .q_pit import _LEAK_SQL, _leak_long
 
 # ---- fixed values: feature groups (signal-by-group report) ------------------
 FEATURE_GROUPS = {
-    "temporal": ("planned_duration", "creation_to_planned_start", "created_dow", "created_month",
-                 "created_quarter"),
+    "temporal": ("planned_duration", "creation_to_planned_start", "created_dow", "created_is_weekend", "created_is_friday",
+                 "created_month", "created_quarter", "days_since_update"),
+    "status": ("status_encoded", "approval_status_encoded", "lead_approval_status_encoded", "ma_status_encoded",
+               "ma_approval_status_encoded"),
     "history": ("num_revisions", "revision_frequency", "revision_recency", "avg_sub_status_changes"),
-    "subtask": ("num_subtasks", "has_subtasks", "subtask_completion_pct", "subtask_overdue_rate"),
-    "organisation": ("dept_past_overdue_rate", "emp_past_overdue_rate", "pos_past_overdue_rate",
+    "subtask": ("num_subtasks", "has_subtasks", "subtask_completion_pct", "subtask_overdue_rate",
+                "subtask_completion_pct_at_halfway"),
+    "organisation": ("dept_past_overdue_rate", "dept_avg_revisions", "emp_past_overdue_rate", "pos_past_overdue_rate",
                      "is_cross_dept", "cross_dept_pair_exists", "risk_mapping", "is_planned"),
     "upstream": ("num_ma_revisions", "kpi_is_overdue_flag", "kpi_status_ordinal", "num_kpi_revisions",
                  "task_comment_count"),
@@ -77,10 +80,7 @@ def st_corr_groups(spark, sf):
         F.count(F.lit(1)).alias("n_features")))
 
 
-_PAIR_COLS = ("planned_duration", "num_revisions", "revision_frequency", "num_subtasks",
-              "subtask_completion_pct", "dept_past_overdue_rate", "emp_past_overdue_rate",
-              "pos_past_overdue_rate", "num_ma_revisions", "num_kpi_revisions", "status_encoded",
-              "approval_status_encoded", "kpi_status_ordinal", "created_month", "created_quarter")
+_PAIR_COLS = NUMERIC_FEATS
 
 
 @register("st_high_corr_pairs", round_cols=("r",), oracle=feat_with("""
