@@ -30,48 +30,38 @@ def first_completed(task_history: DataFrame) -> DataFrame:
                        F.col("status") == "completed")
 
 
-def _open_past_due(status: Column, end_date: Column, as_of) -> Column:
-    return (~status.isin(*CLOSED_STATUSES)) & (end_date < lit_date(as_of))
+# Provenance names, in the order in which a completion date is sought.
+SOURCES = ("actual_end_date", "history_completion", "updated_date")
+
+
+def _overdue(status: Column, finished: Column, end_date: Column, as_of) -> Column:
+    """A completed task by its completion date, an open one by ``as_of``; NULL dates are not late."""
+    late = F.when(status == "completed", finished > end_date).when(~status.isin(*CLOSED_STATUSES), end_date < lit_date(as_of))
+    return F.coalesce(late, F.lit(False)).cast("int")
 
 
 def three_tier(status="status", actual_end="actual_end_date", end="end_date",
                updated="updated_date", first_done="first_completed_at",
                as_of=AS_OF) -> tuple[Column, Column]:
-    """Return (calculated_overdue INT, target_source STRING) columns."""
-    st, ae, ed = F.col(status), F.col(actual_end), F.col(end)
-    fc, up = F.col(first_done), F.to_date(F.col(updated))
-    done = st == "completed"
-    label = (F.when(done & ae.isNotNull() & (ae > ed), 1)
-             .when(done & ae.isNull() & fc.isNotNull() & (fc > ed), 1)
-             .when(done & ae.isNull() & fc.isNull() & (up > ed), 1)
-             .when(_open_past_due(st, ed, as_of), 1)
-             .otherwise(0)).cast("int")
-    source = (F.when(done & ae.isNotNull(), "actual_end_date")
-              .when(done & fc.isNotNull(), "history_completion")
-              .when(done, "updated_date")
-              .when(_open_past_due(st, ed, as_of), "open_task")
-              .otherwise("status_based"))
+    """Return (calculated_overdue INT, target_source STRING) columns: the completion
+    date is the first known of the three dates, its name the provenance."""
+    dates = [F.col(actual_end), F.col(first_done), F.to_date(F.col(updated))]
+    used = F.coalesce(*[F.when(d.isNotNull(), F.lit(n)) for d, n in zip(dates, SOURCES)], F.lit(SOURCES[-1]))
+    label = _overdue(F.col(status), F.coalesce(*dates), F.col(end), as_of)
+    source = F.when(F.col(status) == "completed", used).when(label == 1, "open_task").otherwise("status_based")
     return label, source
 
 
 def two_tier(status="status", actual_end="actual_end_date", end="end_date",
              updated="updated_date", as_of=AS_OF) -> Column:
     """Label used inside the expanding aggregates (no history tier)."""
-    st, ae, ed, up = F.col(status), F.col(actual_end), F.col(end), F.to_date(F.col(updated))
-    done = st == "completed"
-    return (F.when(done & ae.isNotNull() & (ae > ed), 1)
-            .when(done & ae.isNull() & (up > ed), 1)
-            .when(_open_past_due(st, ed, as_of), 1)
-            .otherwise(0)).cast("int")
+    return _overdue(F.col(status), F.coalesce(F.col(actual_end), F.to_date(F.col(updated))), F.col(end), as_of)
 
 
 def v1_label(status="status", actual_end="actual_end_date", end="end_date",
              as_of=AS_OF) -> Column:
     """Earliest label: late completion by actual end date, or open past end."""
-    st, ae, ed = F.col(status), F.col(actual_end), F.col(end)
-    return (F.when((st == "completed") & (ae > ed), 1)
-            .when(_open_past_due(st, ed, as_of), 1)
-            .otherwise(0)).cast("int")
+    return _overdue(F.col(status), F.col(actual_end), F.col(end), as_of)
 
 
 def with_three_tier(base: DataFrame, task_history: DataFrame, as_of=AS_OF) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import stats as st
 from ..operators.aggs import _stack
 from ..sources.roles import roles
 from .catalog import register
-from .oracle_wide import NUMERIC_FEATS, feat_with
+from .oracle_wide import NUMERIC_FEATS, TWO_TIER, feat_with
 from .q_analytics import _feat
 from .q_pit import _LEAK_SQL, _leak_long
 
@@ -145,15 +145,12 @@ def st_chi2(spark, sf):
     return out
 
 
-_SIG_SQL = """WITH b AS (SELECT b0.id, CAST(CASE
-      WHEN b0.status = 'completed' AND b0.actual_end_date IS NOT NULL AND b0.actual_end_date > b0.end_date THEN 1
-      WHEN b0.status = 'completed' AND b0.actual_end_date IS NULL AND CAST(b0.updated_date AS DATE) > b0.end_date THEN 1
-      WHEN b0.status NOT IN ('completed','terminated','archived') AND b0.end_date < DATE '1999-06-30' THEN 1 ELSE 0 END AS DOUBLE) AS y,
+_SIG_SQL = f"""WITH b AS (SELECT t.id, CAST({TWO_TIER} AS DOUBLE) AS y,
     CAST(m.is_overdue AS DOUBLE) AS milestone_is_overdue, CAST(ks.is_overdue AS DOUBLE) AS ksi_is_overdue,
     ks.status AS ksi_status, g.goal_name
-  FROM task b0 LEFT JOIN major_activity ma ON ma.id = b0.major_activity_id LEFT JOIN kpi k ON k.id = ma.kpi_id
+  FROM task t LEFT JOIN major_activity ma ON ma.id = t.major_activity_id LEFT JOIN kpi k ON k.id = ma.kpi_id
   LEFT JOIN milestone m ON m.id = k.milestone_id LEFT JOIN ksi ks ON ks.id = m.ksi_id LEFT JOIN goal g ON g.id = k.goal_id
-  WHERE b0.start_date IS NOT NULL AND b0.end_date IS NOT NULL),
+  WHERE t.start_date IS NOT NULL AND t.end_date IS NOT NULL),
 s AS (
   SELECT 'milestone_is_overdue' AS feature, 'numeric' AS type, avg(CASE WHEN milestone_is_overdue IS NULL THEN 1.0 ELSE 0.0 END) AS null_rate, abs(corr(milestone_is_overdue, y)) AS strength FROM b
   UNION ALL SELECT 'ksi_is_overdue', 'numeric', avg(CASE WHEN ksi_is_overdue IS NULL THEN 1.0 ELSE 0.0 END), abs(corr(ksi_is_overdue, y)) FROM b
