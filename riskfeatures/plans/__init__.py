@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_core", "q_pit", "q_analytics", "q_aggs", "q_quality", "q_ml", "q_stats", "q_encode", "q_sources", "q_models", "q_current", "q_contract")
+_MODULES = ("q_core", "q_pit", "q_analytics", "q_aggs", "q_quality", "q_ml", "q_stats", "q_encode", "q_sources", "q_models", "q_current", "q_contract", "q_more")
 
 
 def load_all() -> None:

@@ -106,3 +106,15 @@ def schema_rows(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
 def normalise_timestamps(df: DataFrame, col: str, out: str) -> DataFrame:
     """Strings -> timestamp_ntz; unparseable values become NULL (never fail)."""
     return df.withColumn(out, F.expr(f"try_cast(`{col}` AS timestamp_ntz)"))
+
+
+def load_summary_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """An analysis summary with its schema."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """The saved model, or None when there is none at ``path``."""
+    from pyspark.ml import PipelineModel
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return PipelineModel.load(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
