@@ -34,12 +34,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the cluster's shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but columnar: later scans read only
-    the columns they need.  ``drop_stored`` removes an application's tables.
+    the columns they need.  ``forget`` removes tables, ``drop_stored`` all of an
+    application's.
     """
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote, once nothing unwritten depends on them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_stored(spark: SparkSession) -> None:

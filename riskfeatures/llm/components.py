@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,18 +21,21 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        hook = stored(hook, "hooks")
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+        near = hook = stored(near, "hooks")
         for _ in range(2):
             up = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
             hook = hook.join(up, "to").select("node", F.col("next").alias("to"))
         hook = stored(hook, "hooks")
         if labels is None:
-            labels = hook.withColumnRenamed("to", "comp")
+            now = stored(hook.withColumnRenamed("to", "comp"), "labels")
         else:
-            labels = labels.join(hook.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        labels = stored(labels, "labels")
+            now = stored(labels.join(hook.withColumnRenamed("node", "comp"), "comp", "left").select(
+                "node", F.coalesce("to", "comp").alias("comp")), "labels")
+            forget(labels)
         ab = edges.join(hook.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(
             hook.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = stored(ab.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        rest = stored(ab.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        forget(edges, near, hook)
+        labels, edges = now, rest
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -16,8 +16,9 @@ shingles for every ``l``.  The plan:
 3. Adaptive length.  Per node the estimated candidate cost (sum of posting-list
    lengths for scanning, divided by ``l`` for verification) picks ``l`` in 1..4:
    a longer prefix, that many more shared shingles before a pair is verified.
-4. Hubs first.  Every node is verified against the hub it shares most prefix
-   shingles with; linked nodes form components.  Then all remaining candidates
+4. Hubs first.  Every node is verified against the hub of its size that it shares
+   most prefix shingles with, and once more those left over among themselves; linked
+   nodes form components.  Then all remaining candidates
    in different components are paired by prefix, size and position filters and
    verified.  Pairs inside a component are never enumerated, so a group of near
    copies costs its size, not its square; no link between components is lost.
@@ -35,6 +36,7 @@ result; other columns take no part, and ``drop_near_copies`` keeps them all.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import partial
 
 import numpy as np
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_column, map_arrow, stored
+from .common import forget, key_column, map_arrow, stored
 from .components import components
 from .wordhash import parts, shingle_sets
 
@@ -50,6 +52,7 @@ MAX_L = 4        # longest extension of a prefix
 SMALL = 64       # sets up to this size count all their shingles
 VERIFY = 8       # cost of verifying a candidate, in scanned postings
 FLUSH = 4 << 20  # shingles that a task gathers before it sends them
+BITS = [f"bits{i}" for i in range(4)]
 BLOCK_BITS = 11  # 2048 consecutive rows of a task are a block
 
 
@@ -185,8 +188,15 @@ def _prefixes(batches, size: int, percent: int):
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                     pa.array([p[0].view(np.int64) for p in posts], pa.list_(pa.int64())),
                     pa.array([p[1] for p in posts], pa.list_(pa.int32())),
+                    pa.array([_parities(x) if len(p[0]) else None for x, p in zip(sets, posts)], pa.list_(pa.int64())),
                     pa.array([x.tobytes() if len(p[0]) else None for x, p in zip(sets, posts)], pa.binary())],
-                    names=["rid", "doc_id", "n", "fp", "tokens", "places", "members"])
+                    names=["rid", "doc_id", "n", "fp", "tokens", "places", "parities", "members"])
+
+
+def _parities(s: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the number of members that fall on it: two sets
+    differ in at least as many members as their bits differ."""
+    return np.packbits(np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
 
 
 def _posting(s: np.ndarray, table: np.ndarray, freq: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,30 +250,47 @@ def _sets(rows: DataFrame, size: int, percent: int) -> DataFrame:
         rows.select("block", F.lit(1).alias("kind"), empty[0].alias("tokens"), empty[1].alias("freq"), "rid", "doc_id", "text"))
     out = map_arrow(
         mixed.repartition("block").sortWithinPartitions("block", "kind"), partial(_prefixes, size=size, percent=percent),
-        f"rid long, doc_id {kind}, n long, fp binary, tokens array<long>, places array<int>, members binary")
+        f"rid long, doc_id {kind}, n long, fp binary, tokens array<long>, places array<int>, parities array<long>, members binary")
     return stored(out, "sets")
 
 
-def _candidates(posts: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
-    """Step 4: pairs of nodes in different components that pass every filter."""
-    if comps is not None:
-        posts = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        posts = posts.withColumn("comp", F.col("node"))
+def _stars(posts: DataFrame) -> DataFrame:
+    """Every node with the hub it shares most prefix shingles with; a shingle's hub in
+    a size class is the node whose prefix is the most common there."""
+    hubs = posts.groupBy("token", "size").agg(F.max(F.struct("score", -F.col("node"))).alias("h")).select(
+        "token", "size", (-F.col("h.col2")).alias("b"))
+    near = posts.join(hubs, ["token", "size"]).where("node <> b").groupBy("node", "b").agg(F.count("*").alias("c"))
+    return near.groupBy("node").agg(F.max(F.struct("c", -F.col("b"))).alias("h")).select(
+        F.col("node").alias("a"), (-F.col("h.col2")).alias("b"))
+
+
+def _candidates(posts: DataFrame, prefixes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Step 4: pairs of nodes in different components that pass every filter.
+
+    The first shingle that two similar sets share lies in both shortest prefixes and
+    leaves enough of either set behind it, and their parity bits differ in no more
+    places than the sets may; pairs that share such a shingle must then
+    share ``l`` shingles of their longer prefixes, and one more for each by which
+    the overlap they need exceeds the one their prefixes were made for."""
+    posts = posts.where("level = 1").select("token", "node", "n", "place", *BITS).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     groups = posts.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
         F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.comp").alias("major"))
     posts = posts.join(groups, "token").withColumn("minor", F.col("comp") != F.col("major"))
     x, y = posts.where("minor").alias("x"), posts.alias("y")
-    l = F.least("x.l", "y.l")  # noqa: E741
-    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
-    total = F.col("x.n") + F.col("y.n")
+    overlap = f"({percent} * (a_.n + b_.n) + {99 + percent}) div {100 + percent}"
+    differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
                    & (~F.col("y.minor") | (F.col("x.node") < F.col("y.node")))
-                   & (F.greatest("x.level", "y.level") <= l)
                    & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-                   & ((100 + percent) * (rest + l) >= percent * total))
-    return (pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), l.alias("l"))
-                 .groupBy("a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l")).where("c >= l").select("a", "b"))
+                   & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n")))
+                   & (F.expr(differ) <= F.col("x.n") + F.col("y.n") - 2 * F.expr(overlap.replace("a_", "x").replace("b_", "y"))))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    side = lambda v: prefixes.select(F.col("node").alias(v), F.struct("n", "need", "l", "prefix").alias(f"{v}_"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("l", F.least("a_.l", "b_.l"))
+    within = lambda v: F.transform(F.filter(F.col(f"{v}_.prefix"), lambda t: t["level"] <= F.col("l")), lambda t: t["token"])
+    enough = F.col("l") + F.greatest(F.lit(0), F.expr(overlap) - F.greatest("a_.need", "b_.need"))
+    return both.where(F.size(F.array_intersect(within("a"), within("b"))) >= enough).select("a", "b")
 
 
 def _choose(costs: list[Column]) -> Column:
@@ -286,41 +313,47 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     shared = sets.where(F.size("tokens") > 0)
     nodes = stored(shared.groupBy("fp", "n").agg(F.min("rid").alias("node")), "nodes")
     own = shared.join(nodes.select("node"), F.col("rid") == F.col("node"))
-    posts = own.select("node", "n", F.arrays_zip(F.col("tokens"), F.col("places")).alias("p")).select(
-        "node", "n", F.explode("p").alias("p")).select("node", "n", F.col("p.tokens").alias("token"), F.col("p.places").cast("long").alias("place"))
-    lists = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    bits = [F.col("parities")[i].alias(f"bits{i}") for i in range(4)]
+    posts = own.select("node", "n", *bits, F.explode(F.arrays_zip(F.col("tokens"), F.col("places"))).alias("p")).select(
+        "node", "n", *BITS, F.col("p.tokens").alias("token"), F.col("p.places").cast("long").alias("place"))
+    # sets of one size class are near enough in size to be similar
+    posts = posts.withColumn("size", F.floor(F.log("n") / math.log(100 / percent)))
+    near = posts.groupBy("token", "size").agg(F.count("*").alias("near"))
+    lists = near.groupBy("token").agg(F.sum("near").alias("df")).where("df > 1")
     need = F.expr(f"(n * {percent} + 99) div 100")
-    posts = posts.join(lists, "token").withColumn("need", need)
+    posts = posts.join(lists, "token").join(near, ["token", "size"]).withColumn("need", need)
     posts = posts.withColumn("level", F.greatest(F.lit(1), F.col("place") - (F.col("n") - F.col("need") + 1) + 2))
     node = Window.partitionBy("node")
     sums = [F.sum(F.when(F.col("level") <= i, F.col("df") - 1).otherwise(0)).over(node) for i in range(1, MAX_L + 1)]
     far = F.lit(1e30)
     costs = [F.when(F.col("need") >= i, F.col(f"s{i}") * (1 + VERIFY / i)).otherwise(far) for i in range(1, MAX_L + 1)]
-    posts = posts.select("*", *[c.alias(f"s{i}") for i, c in enumerate(sums, 1)])
+    posts = posts.select("*", *[c.alias(f"s{i}") for i, c in enumerate(sums, 1)], F.sum("near").over(node).alias("score"))
     posts = posts.withColumn("l", _choose(costs).cast("long")).where("level <= l")
-    posts = stored(posts.select("node", "n", "token", "place", "level", "l", F.col(f"s{MAX_L}").alias("score")), "postings")
+    posts = stored(posts.select("node", "n", "need", "size", *BITS, "token", "place", "level", "l", "score"), "postings")
     members = shared.select(F.col("rid").alias("node"), "members")
 
-    hub = posts.groupBy("token").agg(F.max(F.struct("score", -F.col("node"), "n")).alias("h")).select(
-        "token", (-F.col("h.col2")).alias("b"), F.col("h.n").alias("m"))
-    star = (posts.join(hub, "token").where("node <> b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-                 .groupBy("node", "b").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", -F.col("b"))).alias("h"))
-                 .select(F.col("node").alias("a"), (-F.col("h.col2")).alias("b")))
-    links = _verify(star, members, percent)
-    comps = components(links)
-    more = _verify(_candidates(posts, comps, percent), members, percent)
+    links = _verify(_stars(posts), members, percent)
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    again = _verify(_stars(posts.join(linked, "node", "left_anti")), members, percent)
+    comps = components(links.union(again))
+    prefixes = stored(posts.groupBy("node").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("l").alias("l"),
+                                                F.collect_list(F.struct("level", "token")).alias("prefix")), "prefixes")
+    more = _verify(_candidates(posts, prefixes, comps, percent), members, percent)
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     of_set = nodes.join(comps, "node", "left").select("fp", "n", F.coalesce("comp", "node").alias("comp"))
     alone = sets.where(F.size("tokens") == 0).select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("rid").alias("comp"))
     linked = shared.select("rid", "doc_id", "n", "fp").join(of_set, ["fp", "n"]).select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), "comp")
-    return rows, stored(alone.union(linked), "similar")
+    result = stored(alone.union(linked), "similar")
+    forget(sets, nodes, posts, prefixes, links, again, more)
+    return rows, result
 
 
 def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its id, ``n_shingles`` and ``component_id``: the smallest id
     reachable over links (``100 * intersection >= percent * union``)."""
-    _, result = similar(docs, size, percent, id_col, text_col)
+    rows, result = similar(docs.select(id_col, text_col), size, percent, id_col, text_col)
+    forget(rows)
     ids = result.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return result.join(ids, "comp").select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
 
@@ -329,5 +362,6 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     """``docs`` with one row of each component: that of the smallest id."""
     rows, result = similar(docs, size, percent, id_col, text_col)
     rid = rows.columns[len(docs.columns)]
-    first = result.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f")).select(F.col("f.rid").alias("_keep"))
-    return rows.join(first, F.col(rid) == F.col("_keep"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = key_column(rows, "keep")
+    first = result.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f")).select(F.col("f.rid").alias(keep))
+    return rows.join(first, F.col(rid) == F.col(keep), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
