@@ -180,8 +180,9 @@ def parent_pass(r, base: DataFrame) -> DataFrame:
     return m.groupBy(F.col("id").alias("_tid")).agg(*out)
 
 
-def leak_free_wide(r, as_of=AS_OF, impute: bool = True) -> DataFrame:
-    """Dual-cutoff feature table (one row per dated task)."""
+def leak_free_wide(r, as_of=AS_OF, impute: bool = True, store=None) -> DataFrame:
+    """Dual-cutoff feature table (one row per dated task).  ``store`` (a function of
+    a frame and a name) writes the labelled base once: seven branches read it."""
     base = cut.base_tasks(r.task, as_of)
     hp = history_pass(r, base)
     ma = r.major_activity.select(F.col("id").alias("_maid"), F.col("status").alias("ma_status"),
@@ -197,6 +198,9 @@ def leak_free_wide(r, as_of=AS_OF, impute: bool = True) -> DataFrame:
          .join(pos, base["position_id"] == pos["_posid"], "left")
          .join(cda, base["derived_from_cross_department_assignment_id"] == cda["_cdaid"], "left"))
 
+    if store is not None:
+        b = base = store(b, "labelled-base")
+
     # expanding group rates over the same rows (two-level windows)
     raw = b.select("id", "created_date", "position_id",
                    F.coalesce("_posdept", "department_id").alias("dept_id"), F.col("_puser").alias("assignee_id"),
@@ -332,7 +336,7 @@ def feature_table(spark, sf_dir: str, as_of=AS_OF) -> DataFrame:
     from ..sources.roles import roles
     key = (spark.sparkContext.applicationId, sf_dir, str(as_of))
     if key not in _MEMO:
-        _MEMO[key] = stored_table(leak_free_wide(roles(spark, sf_dir), as_of), "features")
+        _MEMO[key] = stored_table(leak_free_wide(roles(spark, sf_dir), as_of, store=stored_table), "features")
     return _MEMO[key]
 
 
