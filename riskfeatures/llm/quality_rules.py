@@ -110,12 +110,15 @@ def measures(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     cover = F.aggregate(
         F.transform("_at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), k + 1) - p, F.lit(WINDOW)))),
         F.lit(0), lambda a, x: a + x)
-    return df.select(
+    df = df.select(
         *names, "n_words", "word_chars", "n_symbols", "n_stop",
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # a generator of one row: a filter on the measures is not pushed below it, where
+    # each of its columns would be evaluated inside the lambdas of the next
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
