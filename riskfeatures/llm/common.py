@@ -53,9 +53,9 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(table: DataFrame, rows: int = 200_000) -> DataFrame:
+def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A stored table of narrow rows, to be broadcast if it has at most ``rows`` of
-    them (some ten megabytes) and to be joined by shuffle otherwise."""
+    them (some fifty megabytes) and to be joined by shuffle otherwise."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
