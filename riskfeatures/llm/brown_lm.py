@@ -8,14 +8,19 @@ their training counts, packed by hash range, and get back the corpus count of
 every word but those counted once; so each document sees the exact count of each
 of its words, and neither the vocabulary nor the counts are ever gathered.
 
-Classes.  A word with at least ``share`` of all training tokens is a symbol of
-its own (at most ``1 / share`` of them, whatever the corpus); every other word is
-a symbol of its spelling (last two characters).  Exchange clustering assigns the
-symbols to classes: the most frequent ones start a class each, then in every
-round the symbols' counts with the classes before and after them are summed over
-all training texts, and each symbol of one half moves to the class that raises
-the bigram likelihood most.  Rows are per symbol and class, a bounded model;
-class tables are what the driver holds.
+Classes.  A word counted ``least`` times or more in training is a symbol of its
+own, whatever the corpus; every rarer word is a symbol of its spelling (last two
+characters).  Exchange clustering assigns the symbols to classes: the most
+frequent ones start a class each, then in every round blocks send the counts of
+their symbols with the classes before and after them to the symbols' hash ranges,
+and get class numbers back.  A range sums the counts of its symbols and moves each
+symbol of one part of the hash space to the class that raises the bigram
+likelihood most: in the first round all of them, then a half.  Symbols that move
+at the same time do not see each other's moves; a round that lowers the likelihood
+is undone and the parts are halved.  Rounds end when moving every part once raises
+the likelihood by less than ``bound`` (natural logarithm a training token).
+Symbols' classes stay in the ranges' replies; the driver holds class tables and
+the symbols that start a class.
 
 Defined results: a null or empty text is the end mark alone; a null id counts as
 the empty id (held out); repeated rows each get a row; without training texts
@@ -31,14 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import forget, map_arrow, stored
 from .jaccard_join import BLOCK_BITS, _lists
 from .wordhash import mix, parts, word_hashes
 
 SMOOTH = 0.1
 SPELLINGS = 1024          # symbols of rare words
 FLUSH = 4 << 20           # words that a task gathers before it sends them
-GROUP = 256               # symbols in a row of context counts
+LEAST = 5                 # training count from which a word is a symbol of its own
+BOUND = 0.005             # likelihood gain a token, of moving every part once, below which rounds end
+DENSE = 1 << 24           # context counts up to which a block's are counted in place
+
+
+_SPELLED = mix(np.arange(SPELLINGS, dtype=np.uint64) + np.uint64(0x5BD1E995))  # keys of the spellings' symbols, among the words' hashes
+_BY_KEY = np.argsort(_SPELLED)
 
 
 def _requests(batches, bits: int):
@@ -88,10 +99,10 @@ def _spelling(tail: np.ndarray) -> np.ndarray:
     return (mix(tail.astype(np.uint64) + np.uint64(1)) % np.uint64(SPELLINGS)).astype(np.int64)
 
 
-def _counts(batches, least: float):
+def _counts(batches, least: float, classes: int):
     """Rows come sorted by range.  Kind 0: a block's words with their corpus counts
-    (words counted once are left out); kind 1: the range's frequent words; kind 2:
-    types by spelling of its other words."""
+    (words counted once are left out); kind 1: the most frequent words of the range,
+    after the number of its symbols; kind 2: types by spelling of its other words."""
     now, rows = None, []
 
     def reply():
@@ -102,7 +113,9 @@ def _counts(batches, least: float):
         often = (c >= least) & (c > 1)
         types = np.bincount(spell[(c > 0) & ~often], minlength=SPELLINGS)
         kinds, blocks = [1, 2], [0, 0]
-        out, n = [u[often].view(np.int64), np.arange(SPELLINGS)], [c[often], types]
+        top = np.flatnonzero(often)
+        top = top[np.lexsort((u[top], -c[top]))[:classes]]
+        out, n = [np.append(np.uint64(0), u[top]).view(np.int64), np.arange(SPELLINGS)], [np.append(often.sum(), c[top]), types]
         at = 0
         for block, own, *_ in rows:
             k = inv[at:at + len(own)]
@@ -129,11 +142,16 @@ def _counts(batches, least: float):
         yield reply()
 
 
-def _symbols(batches, frequent):
+def _keys(words: np.ndarray) -> np.ndarray:
+    """Keys of a block's symbols, in order; symbol ``i + 1`` has key ``i``."""
+    return np.unique(np.concatenate([words, _SPELLED]))
+
+
+def _symbols(batches, least: float, n_docs: int):
     """Rows come sorted by block, a block's counts before its documents.  Per
-    document: tokens, known tokens, sum of log10(count + 0.1) and its symbols."""
-    words, n_docs = frequent.value
-    now, got, table, count, symbol = None, [], np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int32)
+    document: tokens, known tokens, sum of log10(count + 0.1) and its symbols,
+    numbered within the block."""
+    now, got, table, count, keys = None, [], np.zeros(0, np.uint64), np.zeros(0), None
     for b in batches:
         col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
         blocks, kinds = col["block"].to_numpy(zero_copy_only=False), col["kind"].to_numpy(zero_copy_only=False)
@@ -141,20 +159,23 @@ def _symbols(batches, frequent):
         edges = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])]))
         for s, e in zip(edges, np.append(edges[1:], len(blocks))):
             if blocks[s] != now:
-                now, got, table, count, symbol = blocks[s], [], np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int32)
+                now, got, table, count, keys = blocks[s], [], np.zeros(0, np.uint64), np.zeros(0), None
             if kinds[s] == 0:
                 got += list(zip(hs[s:e], cs[s:e]))
                 continue
-            if got:
-                table, count = np.concatenate([x[0] for x in got]).view(np.uint64), np.concatenate([x[1] for x in got])
-                by = np.argsort(table, kind="stable")
-                table, count, got = table[by], count[by], []
-                at = np.minimum(np.searchsorted(words, table), max(0, len(words) - 1))
-                symbol = np.where(words[at] == table, 1 + at, 0).astype(np.int32) if len(words) else np.zeros(len(table), np.int32)
+            if keys is None:
+                if got:
+                    table, count = np.concatenate([x[0] for x in got]).view(np.uint64), np.concatenate([x[1] for x in got])
+                    table, first = np.unique(table, return_index=True)
+                    count, got = count[first], []
+                often = (count >= least) & (count > 1)
+                keys = _keys(table[often])
+                symbol = np.where(often, 1 + np.searchsorted(keys, table), 0).astype(np.int32)
+                spelled = (1 + np.searchsorted(keys, _SPELLED)).astype(np.int32)
             text = col["text"].slice(s, e - s)
             for start, stop in parts(text):
                 h, at, tail = word_hashes(text.slice(start, stop - start), tails=True)
-                sym = (1 + len(words) + _spelling(tail)).astype(np.int32)
+                sym = spelled[_spelling(tail)]
                 c = np.ones(len(h))
                 if len(table):
                     k = np.minimum(np.searchsorted(table, h), len(table) - 1)
@@ -168,8 +189,9 @@ def _symbols(batches, frequent):
                 lo = s + start
                 yield pa.RecordBatch.from_arrays(
                     [col["doc_id"].slice(lo, stop - start), col["held"].slice(lo, stop - start), pa.array(np.diff(at) + 1), pa.array(known),
-                     pa.array(logs), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sym))],
-                    names=["doc_id", "held", "n_tokens", "n_known", "logs", "symbols"])
+                     pa.array(logs), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sym)),
+                     col["block"].slice(lo, stop - start)],
+                    names=["doc_id", "held", "n_tokens", "n_known", "logs", "symbols", "block"])
 
 
 def _pairs(b: pa.RecordBatch):
@@ -187,173 +209,304 @@ def _pairs(b: pa.RecordBatch):
     return before, now, lens + 1
 
 
-def _contexts(batches, model, classes: int):
-    """Per group of symbols the counts of classes before and after each."""
-    cls = model.value
-    n = len(cls)
-    left, right = np.zeros(n * classes, np.int64), np.zeros(n * classes, np.int64)
-    for b in batches:
-        p, q, _ = _pairs(b)
-        for at in range(0, len(p), 1 << 20):
-            x, y = p[at:at + (1 << 20)], q[at:at + (1 << 20)]
-            right += np.bincount(x * classes + cls[y], minlength=n * classes)
-            left += np.bincount(y * classes + cls[x], minlength=n * classes)
-    both = np.concatenate([left.reshape(n, classes), right.reshape(n, classes)], 1)
-    some = [g for g in range(0, n, GROUP) if both[g:g + GROUP].any()]
-    yield pa.RecordBatch.from_arrays([pa.array([g // GROUP for g in some], pa.int32()),
-                                      pa.array([both[g:g + GROUP].tobytes() for g in some], pa.binary())], names=["g", "counts"])
-
-
-def _summed(batches):
-    """Rows come sorted by group."""
-    now, total = None, None
+def _first(batches, least: float, start: dict):
+    """A block's words that are symbols, with the classes that they start in."""
+    top = np.array(sorted(start), np.uint64)
+    to = np.array([start[int(x)] for x in top], np.uint16)
     for b in batches:
-        for g, c in zip(b.column(0).to_pylist(), b.column(1)):
-            c = np.frombuffer(c.as_buffer(), np.int64)
-            if g != now:
-                if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "counts"])
-                now, total = g, np.zeros(len(c), np.int64)
-            total += c
-    if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "counts"])
-
-
-def _class_counts(batches, model, classes: int):
-    """Class bigram counts of the groups of a task."""
-    cls, total = model.value, np.zeros((classes, classes), np.int64)
+        got = []
+        for block, h, c in zip(b.column(0).to_pylist(), _lists(b.column(1), np.int64), _lists(b.column(2), np.int64)):
+            h = h[(c >= least) & (c > 1)].view(np.uint64)
+            cls = np.ones(len(h), np.uint16)
+            if len(top):
+                k = np.minimum(np.searchsorted(top, h), len(top) - 1)
+                cls = np.where(top[k] == h, to[k], cls)
+            got.append((block, h.tobytes(), cls.tobytes()))
+        yield _packed(got, ("block", "keys", "classes"))
+
+
+def _packed(rows: list[tuple], names: tuple) -> pa.RecordBatch:
+    kinds = [pa.int32() if n == "bucket" else pa.int64() if n == "block" else pa.binary() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
+
+
+def _with_classes(batches):
+    """Rows come sorted by block, its replies before its documents: per run of
+    documents its block, the block's keys, the classes of its symbols and the rows."""
+    now, got, keys, cls = None, [], None, None
     for b in batches:
-        for g, c in zip(b.column(0).to_pylist(), b.column(1)):
-            c = np.frombuffer(c.as_buffer(), np.int64).reshape(-1, 2 * classes)
-            np.add.at(total, cls[g * GROUP:g * GROUP + len(c)], c[:, classes:])
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+        names = b.schema.names
+        blocks, kinds = b.column(names.index("block")).to_numpy(zero_copy_only=False), b.column(names.index("kind")).to_numpy(zero_copy_only=False)
+        ks, cs = b.column(names.index("keys")), b.column(names.index("classes"))
+        edges = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])]))
+        for s, e in zip(edges, np.append(edges[1:], len(blocks))):
+            if blocks[s] != now:
+                now, got, keys = blocks[s], [], None
+            if kinds[s] == 0:
+                got += [(np.frombuffer(ks[i].as_buffer(), np.uint64), np.frombuffer(cs[i].as_buffer(), np.uint16)) for i in range(s, e)]
+                continue
+            if keys is None:
+                keys, first = np.unique(np.concatenate([x[0] for x in got] + [_SPELLED]), return_index=True)
+                cls = np.concatenate([x[1] for x in got] + [np.ones(SPELLINGS, np.uint16)])[first]
+                cls, got = np.append(0, cls).astype(np.int64), []
+            yield int(now), keys, cls, b.slice(s, e - s)
+
+
+def _tally(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes below ``size``, in order, and their numbers."""
+    if size > DENSE:
+        return np.unique(codes, return_counts=True)
+    n = np.bincount(codes, minlength=1)
+    at = np.flatnonzero(n)
+    return at, n[at]
 
 
-def _moves(batches, model, table: np.ndarray, half: int, classes: int):
-    """The best class of every movable symbol."""
-    cls = model.value
+def _contexts(batches, classes: int, bits: int):
+    """Per block and range the keys of its symbols, their classes, and the counts of
+    classes before (``0..``) and after (``classes..``) each; range -1 has the task's
+    class bigram counts."""
+    total, held = np.zeros(classes * classes, np.int64), []
+    names = ("bucket", "block", "keys", "classes", "sizes", "cols", "counts")
+
+    def flush():
+        block, keys, cls, _ = held[0]
+        p, q = np.concatenate([x[3][0] for x in held]), np.concatenate([x[3][1] for x in held])
+        total[:] += np.bincount(cls[p] * classes + cls[q], minlength=classes * classes)
+        size = (len(keys) + 1) * 2 * classes
+        at, n = _tally(np.concatenate([q * 2 * classes + cls[p], p * 2 * classes + classes + cls[q]]), size)
+        own = at >= 2 * classes  # not the end mark
+        at, n = at[own] - 2 * classes, n[own].astype(np.uint32)
+        sizes = np.bincount(at // (2 * classes), minlength=len(keys))
+        cols, ends = (at % (2 * classes)).astype(np.uint16), np.append(0, np.cumsum(sizes))
+        cut = np.append(0, np.cumsum(np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)))
+        rows = []
+        for g in np.flatnonzero(np.diff(cut)):
+            s, e = cut[g], cut[g + 1]
+            x, y = ends[s], ends[e]
+            rows.append((int(g), block, keys[s:e].tobytes(), cls[1 + s:1 + e].astype(np.uint16).tobytes(), sizes[s:e].astype(np.uint32).tobytes(),
+                         cols[x:y].tobytes(), n[x:y].tobytes()))
+        held.clear()
+        return _packed(rows, names)
+
+    for block, keys, cls, b in _with_classes(batches):
+        if held and (held[0][0] != block or sum(len(x[3][0]) for x in held) > FLUSH):
+            yield flush()
+        held.append((block, keys, cls, _pairs(b)[:2]))
+    if held:
+        yield flush()
+    yield _packed([(-1, -1, b"", b"", b"", b"", total.tobytes())], names)
+
+
+def _gains(own: np.ndarray, sym: np.ndarray, col: np.ndarray, v: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Likelihood of every symbol (of class ``own``) in every class, but for a term
+    that is the same for all; entries ``(sym, col, v)`` sorted by symbol.  The
+    symbol's own counts are taken out of ``table`` first."""
+    classes = len(table)
     phi = lambda x: x * np.log(np.maximum(x, 1))
-    out, inn = table.sum(1), table.sum(0)
-    for b in batches:
-        got, to = [], []
-        for g, c in zip(b.column(0).to_pylist(), b.column(1)):
-            c = np.frombuffer(c.as_buffer(), np.int64).reshape(-1, 2 * classes)
-            for i, row in enumerate(c):
-                s = g * GROUP + i
-                if s == 0 or (half >= 0 and s % 2 != half) or not row.any():
-                    continue
-                l, r, a = row[:classes], row[classes:], cls[s]
-                m, o, n = table.copy(), out.copy(), inn.copy()
-                m[a] -= r
-                m[:, a] -= l
-                m = np.maximum(m, 0)
-                o[a] -= r.sum()
-                n[a] -= l.sum()
-                gain = (phi(m + r) - phi(m)).sum(1) + (phi(m + l[:, None]) - phi(m)).sum(0)
-                gain -= phi(o + r.sum()) - phi(o) + phi(n + l.sum()) - phi(n)
-                gain[0] = -np.inf  # the end mark's own class
-                best = int(np.argmax(gain))
-                if gain[best] > gain[a] + 1e-6 or a == 0:
-                    got.append(s)
-                    to.append(best)
-        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), pa.array(to, pa.int32())], names=["symbol", "to"])
-
-
-def _scores(batches, model, classes: int):
-    cls, step, emit, base = model.value
+    n, after, k = len(own), col >= classes, col % classes
+    side = np.zeros((2, n, classes))
+    side[after.astype(np.int64), sym, k] = v
+    base = np.where(after[:, None], table.T[k], table[k]).astype(np.float64)
+    base[np.arange(len(sym)), own[sym]] -= v
+    same = np.flatnonzero(k == own[sym])  # cells that the other side's counts are in, too
+    base[same] -= side[1 - after[same].astype(np.int64), sym[same]]
+    base = np.maximum(base, 0)
+    delta = phi(base + v[:, None]) - phi(base)
+    gain = np.zeros((n, classes))
+    head = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
+    gain[sym[head]] = np.add.reduceat(delta, head, 0)
+    for s, margin in ((1, table.sum(1)), (0, table.sum(0))):
+        size = side[s].sum(1)
+        m = np.repeat(margin[None].astype(np.float64), n, 0)
+        m[np.arange(n), own] -= size
+        gain -= phi(m + size[:, None]) - phi(m)
+    return gain
+
+
+def _moves(batches, table: np.ndarray, part: int, of: int, rare: np.ndarray):
+    """Rows come sorted by range.  Every block gets the new classes of its symbols;
+    block -1 the range's types by class."""
+    classes = len(table)
+    now, rows = None, []
+
+    def reply():
+        keys, first, inv = np.unique(np.concatenate([r[1] for r in rows]), return_index=True, return_inverse=True)
+        cls = np.concatenate([r[2] for r in rows])[first].astype(np.int64)
+        code = np.repeat(inv, np.concatenate([r[3] for r in rows])) * 2 * classes + np.concatenate([r[4] for r in rows])
+        by = np.argsort(code, kind="stable")
+        code, v = code[by], np.concatenate([r[5] for r in rows])[by].astype(np.int64)
+        head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        v = np.add.reduceat(v, head) if len(head) else v
+        sym, col = code[head] // (2 * classes), code[head] % (2 * classes)
+        may = (keys[sym] & np.uint64(of - 1)) == part
+        sym, col, v = sym[may], col[may], v[may]
+        moved, at = cls.copy(), 0
+        while at < len(sym):
+            end = int(np.searchsorted(sym, sym[min(at + (1 << 14), len(sym) - 1)], "right"))
+            some, k = np.unique(sym[at:end], return_inverse=True)
+            gain = _gains(cls[some], k, col[at:end], v[at:end], table)
+            gain[:, 0] = -np.inf  # the end mark's own class
+            best = gain.argmax(1)
+            better = gain[np.arange(len(some)), best] > gain[np.arange(len(some)), cls[some]] + 1e-6
+            moved[some[better]] = best[better]
+            at = end
+        types = np.ones(len(keys), np.int64)
+        k = np.minimum(np.searchsorted(_SPELLED[_BY_KEY], keys), SPELLINGS - 1)
+        spelled = _SPELLED[_BY_KEY[k]] == keys
+        types[spelled] = rare[_BY_KEY[k[spelled]]]
+        of_class = np.zeros(classes, np.int64)
+        np.add.at(of_class, moved, types)
+        out, start = [(-1, b"", of_class.tobytes())], 0
+        for block, own, *_ in rows:
+            k = inv[start:start + len(own)]
+            start += len(own)
+            out.append((block, own.tobytes(), moved[k].astype(np.uint16).tobytes()))
+        return _packed(out, ("block", "keys", "classes"))
+
     for b in batches:
+        buckets, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for i, bucket in enumerate(buckets):
+            if rows and bucket != now:
+                yield reply()
+                rows = []
+            now = bucket
+            rows.append((blocks[i], *(np.frombuffer(b.column(j)[i].as_buffer(), kind) for j, kind in
+                                      ((2, np.uint64), (3, np.uint16), (4, np.uint32), (5, np.uint16), (6, np.uint32)))))
+    if rows:
+        yield reply()
+
+
+def _total(df: DataFrame, name: str, size: int) -> np.ndarray:
+    """Sum of a column of packed counts."""
+    def added(batches):
+        out = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                out += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["counts"])
+    got = map_arrow(df.select(name).repartition(16), added, "counts binary").collect()
+    return sum((np.frombuffer(bytes(c), np.int64) for (c,) in got), np.zeros(size, np.int64))
+
+
+def _scores(batches, step: np.ndarray, emit: np.ndarray, base: float, classes: int):
+    for _, _, cls, b in _with_classes(batches):
         p, q, lens = _pairs(b)
         row = np.repeat(np.arange(len(lens)), lens)
         a, c = cls[p], cls[q]
         trans = np.bincount(row, step[a * classes + c] - emit[c], len(lens))
-        logs = b.column(4).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[:4], pa.array(logs - base * lens), pa.array(logs + trans)],
-            names=[*b.schema.names[:4], "base_score", "score"])
+        col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        logs = col["logs"].to_numpy(zero_copy_only=False)
+        names = ["doc_id", "held", "n_tokens", "n_known"]
+        yield pa.RecordBatch.from_arrays([*(col[n] for n in names), pa.array(logs - base * lens), pa.array(logs + trans)],
+                                         names=[*names, "base_score", "score"])
+
+
+def _by_block(rows: DataFrame, replies: DataFrame, *cols: str) -> DataFrame:
+    """Documents behind the replies of their block."""
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in cols]
+    both = replies.where("block >= 0").select("block", F.lit(0).alias("kind"), "keys", "classes", *none).union(
+        rows.select("block", F.lit(1).alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("classes"), *cols))
+    return both.repartition("block").sortWithinPartitions("block", "kind")
 
 
 class BrownModel:
-    """Fitted classes and probabilities; ``rows`` are the scored documents' symbols."""
+    """Fitted classes and probabilities; ``rows`` are the scored documents' symbols,
+    ``replies`` the classes of every block's symbols, ``likelihoods`` the training
+    log-likelihood of the classes a token, at the start and after every round."""
 
-    def __init__(self, rows, cls, step, emit, total, types):
-        self.rows, self.cls, self.step, self.emit, self.total, self.types = rows, cls, step, emit, total, types
+    def __init__(self, rows, replies, step, emit, total, types, likelihoods):
+        self.rows, self.replies, self.step, self.emit, self.total, self.types = rows, replies, step, emit, total, types
+        self.likelihoods = likelihoods
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, share: float = 1e-5, rounds: int = 5) -> BrownModel:
-    """Train on the documents whose ``crc32(id) mod 10`` is not 0."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, share: float | None = None,
+        rounds: int | None = None, least: int = LEAST, bound: float = BOUND) -> BrownModel:
+    """Train on the documents whose ``crc32(id) mod 10`` is not 0.  ``share`` lowers
+    ``least`` where that share of the training tokens is less; ``rounds`` is a limit."""
     number = F.monotonically_increasing_id()
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
-    rows = stored(docs.select(F.shiftright(number, BLOCK_BITS).alias("block"), held.alias("held"),
-                              F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), "rows")
-    bits = max(2, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
-    sent = stored(map_arrow(rows.select("block", "held", "text"), partial(_requests, bits=bits),
+    texts = stored(docs.select(F.shiftright(number, BLOCK_BITS).alias("block"), held.alias("held"),
+                               F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), "rows")
+    bits = max(2, (4 * texts.rdd.getNumPartitions() - 1).bit_length())
+    sent = stored(map_arrow(texts.select("block", "held", "text"), partial(_requests, bits=bits),
                             "bucket int, block long, words array<long>, counts array<long>, spelling array<int>"), "word-counts")
     total, n_docs = sent.where("bucket = -1").agg(F.coalesce(F.sum(F.col("counts")[0]), F.lit(0)),
                                                   F.coalesce(F.sum(F.col("spelling")[0]), F.lit(0))).first()
-    counts = stored(map_arrow(sent.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket"), partial(_counts, least=share * total),
+    least = least if share is None else min(least, share * total)
+    counts = stored(map_arrow(sent.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket"),
+                              partial(_counts, least=least, classes=classes),
                               "kind int, block long, words array<long>, counts array<long>"), "word-totals")
-    often = counts.where("kind = 1").select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts").toPandas()
-    words = often["words"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(words)
-    words, own = words[by], often["counts"].to_numpy(np.int64)[by]
-    spelled = counts.where("kind = 2").select(F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect()
+    forget(sent)
+    n_words = counts.where("kind = 1").agg(F.coalesce(F.sum(F.col("counts")[0]), F.lit(0))).first()[0]
+    top = (counts.where("kind = 1").select(F.explode(F.slice(F.arrays_zip("words", "counts"), 2, classes)).alias("x"))
+           .orderBy(F.desc("x.counts"), "x.words").limit(max(0, classes - 2)).select("x.words").collect())
+    start = {int(np.int64(w).view(np.uint64)): 2 + i for i, (w,) in enumerate(top)}
     rare = np.zeros(SPELLINGS, np.int64)
-    for i, c in spelled:
+    for i, c in counts.where("kind = 2").select(F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect():
         rare[i] = c
-    types = np.concatenate([[1 if n_docs else 0], np.ones(len(words), np.int64), rare])
+    types = n_words + int(rare.sum()) + (n_docs > 0)
 
     none = lambda kind: F.lit(None).cast(kind)
-    id_kind = rows.schema["doc_id"].dataType.simpleString()
+    id_kind = texts.schema["doc_id"].dataType.simpleString()
     empty = F.array().cast("array<long>")
     mixed = counts.where("kind = 0").select("block", "kind", "words", "counts", none("boolean").alias("held"), none(id_kind).alias("doc_id"),
                                             none("string").alias("text")).union(
-        rows.select("block", F.lit(1).alias("kind"), empty.alias("words"), empty.alias("counts"), "held", "doc_id", "text"))
-    frequent = spark.sparkContext.broadcast((words, n_docs))
-    rows = stored(map_arrow(mixed.repartition("block").sortWithinPartitions("block", "kind"), partial(_symbols, frequent=frequent),
-                            f"doc_id {id_kind}, held boolean, n_tokens long, n_known long, logs double, symbols array<int>"), "symbols")
-
-    n = len(types)
-    size = np.concatenate([[0], own, np.zeros(SPELLINGS, np.int64)])
-    cls = np.full(n, 1, np.int32)
-    cls[0] = 0
-    top = np.argsort(-size[1:len(words) + 1], kind="stable")[:classes - 2] + 1
-    cls[top] = np.arange(2, 2 + len(top))
-    train = rows.where("not held").select("symbols")
-
-    def contexts():
-        model = spark.sparkContext.broadcast(cls)
-        got = map_arrow(train, partial(_contexts, model=model, classes=classes), "g int, counts binary")
-        got = stored(map_arrow(got.repartition("g").sortWithinPartitions("g"), _summed, "g int, counts binary"), "contexts")
-        table = np.zeros((classes, classes), np.int64)
-        for (c,) in map_arrow(got, partial(_class_counts, model=model, classes=classes), "counts binary").collect():
-            table += np.frombuffer(c, np.int64).reshape(classes, classes)
-        return got, model, table
-
-    for i in range(rounds):
-        got, model, table = contexts()
-        moved = map_arrow(got, partial(_moves, model=model, table=table, half=-1 if i == 0 else i % 2, classes=classes),
-                          "symbol int, to int").toPandas()
-        cls = cls.copy()
-        cls[moved["symbol"].to_numpy(np.int64)] = moved["to"].to_numpy(np.int32)
-    _, _, table = contexts()
+        texts.select("block", F.lit(1).alias("kind"), empty.alias("words"), empty.alias("counts"), "held", "doc_id", "text"))
+    rows = stored(map_arrow(mixed.repartition("block").sortWithinPartitions("block", "kind"), partial(_symbols, least=least, n_docs=n_docs),
+                            f"doc_id {id_kind}, held boolean, n_tokens long, n_known long, logs double, symbols array<int>, block long"), "symbols")
+    replies = stored(map_arrow(counts.where("kind = 0").select("block", "words", "counts"), partial(_first, least=least, start=start),
+                               "block long, keys binary, classes binary"), "classes")
+    forget(texts, counts)
+
+    of_class = np.zeros(classes, np.int64)
+    of_class[2:2 + len(start)] = 1
+    of_class[1] = n_words - len(start) + rare.sum()
+    phi = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    seen, gains, best, part, of = [], [], None, 0, 1
+    while True:
+        got = stored(map_arrow(_by_block(rows.where("not held"), replies, "symbols"), partial(_contexts, classes=classes, bits=bits),
+                               "bucket int, block long, keys binary, classes binary, sizes binary, cols binary, counts binary"), "contexts")
+        table = _total(got.where("bucket = -1"), "counts", classes * classes).reshape(classes, classes)
+        now = (phi(table) - phi(table.sum(1)) - phi(table.sum(0))) / max(1, total)
+        seen.append(now)
+        if best is None or now >= best[0]:
+            gains += [now - best[0]] if best else []
+            if best:
+                forget(best[1], best[4])
+            best = now, replies, table, of_class, got
+            part = (part + 1) % of
+            if of == 1 and gains:
+                of, part, gains = 2, 0, []
+        else:
+            forget(replies, got)
+            of, part, gains = 2 * of, 0, []
+        _, replies, table, of_class, got = best
+        if len(seen) - 1 == rounds or total == 0 or len(gains) >= of and sum(gains[-of:]) < bound:
+            break
+        replies = stored(map_arrow(got.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket"),
+                                   partial(_moves, table=table, part=part, of=of, rare=rare),
+                                   "block long, keys binary, classes binary"), "classes")
+        of_class = _total(replies.where("block = -1"), "classes", classes)
+    forget(got)
+    of_class = of_class.copy()
+    of_class[0] += n_docs > 0
     step = np.log10((table + SMOOTH) / (table.sum(1, keepdims=True) + SMOOTH * classes)).ravel()
-    of_class = np.bincount(cls, types, classes)
     emit = np.log10(table.sum(0) + SMOOTH * (of_class + 1))
-    return BrownModel(rows, cls, step, emit, total, int(types.sum()))
+    return BrownModel(rows, replies, step, emit, total, types, seen)
 
 
 def score(model: BrownModel, classes: int = 64) -> DataFrame:
     """Per document the unigram base score and the class model's score (log10)."""
-    sc = model.rows.sparkSession.sparkContext
     base = float(np.log10(model.total + SMOOTH * (model.types + 1)))
-    b = sc.broadcast((model.cls, model.step, model.emit, base))
     kind = model.rows.schema["doc_id"].dataType.simpleString()
-    out = map_arrow(model.rows, partial(_scores, model=b, classes=classes),
+    cols = ("doc_id", "held", "n_tokens", "n_known", "logs", "symbols")
+    out = map_arrow(_by_block(model.rows, model.replies, *cols),
+                    partial(_scores, step=model.step, emit=model.emit, base=base, classes=classes),
                     f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
                       "base_score", "score")
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, share: float = 1e-5, rounds: int = 5) -> DataFrame:
-    return score(fit(docs, id_col, text_col, classes, share, rounds), classes).withColumnRenamed("doc_id", id_col)
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, share: float | None = None,
+           rounds: int | None = None, least: int = LEAST, bound: float = BOUND) -> DataFrame:
+    return score(fit(docs, id_col, text_col, classes, share, rounds, least, bound), classes).withColumnRenamed("doc_id", id_col)

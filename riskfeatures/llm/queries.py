@@ -42,7 +42,7 @@ def op7_chat_format(spark, sf_dir):
 
 
 def op8_brown_lm(spark, sf_dir):
-    return brown_lm.scored(table(spark, sf_dir, "documents"), classes=64, share=1e-5, rounds=5)
+    return brown_lm.scored(table(spark, sf_dir, "documents"), classes=64)
 
 
 def op9_secret_scan(spark, sf_dir):

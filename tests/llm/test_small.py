@@ -234,6 +234,58 @@ def test_brown_learns_classes(spark):
     assert abs(total.sum(1) - 1).max() < 1e-9
 
 
+def test_brown_moves_match_brute_force():
+    import numpy as np
+    rng, classes = np.random.default_rng(5), 5
+    words = rng.integers(1, 30, 4000)
+    cls = rng.integers(1, classes, 30)
+    cls[0] = 0
+    before, now = np.append(0, words), np.append(words, 0)
+    table = np.zeros((classes, classes), np.int64)
+    np.add.at(table, (cls[before], cls[now]), 1)
+    phi = lambda x: x * np.log(np.maximum(x, 1))
+    for w in range(1, 30):
+        left, right = np.bincount(cls[before[now == w]], minlength=classes), np.bincount(cls[now[before == w]], minlength=classes)
+        rest = table.copy()
+        rest[cls[w]] -= right
+        rest[:, cls[w]] -= left
+        rest = np.maximum(rest, 0)
+        out, inn = table.sum(1), table.sum(0)
+        out[cls[w]] -= right.sum()
+        inn[cls[w]] -= left.sum()
+        want = (phi(rest + right) - phi(rest)).sum(1) + (phi(rest + left[:, None]) - phi(rest)).sum(0)
+        want -= phi(out + right.sum()) - phi(out) + phi(inn + left.sum()) - phi(inn)
+        both = np.append(left, right)
+        col = np.flatnonzero(both)
+        got = brown_lm._gains(cls[w:w + 1], np.zeros(len(col), np.int64), col, both[col], table)
+        assert abs(got[0] - want).max() < 1e-6
+    codes = rng.integers(0, 900, 5000)
+    for a, b in zip(brown_lm._tally(codes, 900), brown_lm._tally(codes, brown_lm.DENSE + 1)):
+        assert (a == b).all()
+
+
+def test_brown_clusters_every_word_above_the_count(spark):
+    """Words far below any share of a large corpus, all with the same last two
+    characters, get classes of their own from the words around them."""
+    import random
+    rng = random.Random(2)
+    near = {f"{k}{i}xx": k for k in "ab" for i in range(300)}
+    docs = [(i, " ".join(f"{near[w]}left {w} {near[w]}right" for w in rng.sample(sorted(near), 20))) for i in range(600)]
+    docs += [(1000 + i, "f " * 7000) for i in range(600)]  # a word has about 5e-6 of the tokens
+    model = brown_lm.fit(spark.createDataFrame(docs, "doc_id long, text string"), classes=8)
+    classes = {}
+    import numpy as np
+    for r in model.replies.where("block >= 0").collect():
+        classes.update(zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["classes"], np.uint16).tolist()))
+    import pyarrow as pa
+    from riskfeatures.llm.wordhash import word_hashes
+    of = {w: classes[int(word_hashes(pa.array([w]))[0][0])] for w in near}
+    a, b = ({of[w] for w in near if near[w] == k} for k in "ab")
+    assert not a & b
+    best = max(model.likelihoods)
+    assert best > model.likelihoods[0] and best - model.likelihoods[-3] < brown_lm.BOUND
+
+
 def tlv(tag, *parts):
     body = b"".join(parts)
     n = len(body)
