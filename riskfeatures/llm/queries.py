@@ -34,7 +34,7 @@ def op5_html_text(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
-    return line_dedup.line_report(table(spark, sf_dir, "documents"), percent=90)
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), percent=80)
 
 
 def op7_chat_format(spark, sf_dir):

@@ -188,6 +188,18 @@ def test_lines_sql(spark):
     assert by_spark(line_dedup.line_report(docs)) == by_sql(docs, line_dedup.ORACLE)
 
 
+def test_line_with_one_of_ten_words_replaced_goes(spark, tmp_path):
+    import corpus_pipeline
+    from riskfeatures.llm import queries
+    line = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, line), (2, line.replace("five", "other") + "\nkept")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_line_dedup(spark, str(tmp_path))
+    assert by_spark(got) == by_sql(docs, queries.ORACLES["op6_line_dedup"])
+    assert sorted(r.text for r in got.collect()) == ["kept", line]
+    assert sorted(t for _, t in rows_of(corpus_pipeline.lines(spark, docs, str(tmp_path)))) == ["kept", line]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "ho"), (1, 2, "bob", "ho"), (1, None, "ann", None), (1, 700, None, "x"),
             (None, 1, "user", "q"), (None, 2, "", "r"), (2, 0, "system", "only")]
