@@ -6,6 +6,12 @@ when the bytes parse as what they claim to be: ASN.1 key encodings whose nested
 lengths add up, length-prefixed private-key containers, and signed tokens whose
 header is a JSON object that names an algorithm.
 
+Base64 may be wrapped: lines that follow each other, also by escaped line ends, are
+joined (the first of at least 40 characters), and a DER key ends where its length
+says.  A key may start behind '/', '_' or '-' of its run.  PEM may have header
+lines; an encrypted PEM body counts if its headers name a cipher and it decodes to
+whole cipher blocks.
+
 Runs inside ``mapInArrow`` over whole texts: no shuffle, one pass, memory bound
 by one Arrow batch.  Defined results: a null text counts as empty (no spans,
 digest of the empty string); null ids are carried; repeated rows each get a
@@ -16,7 +22,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 
@@ -35,13 +43,17 @@ KINDS = ("assign", "access", "hex", "signed_token", "der_key", "key_container",
 
 _KEYWORDS = ("passw", "secret", "token", "api")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}")
+_NEXT = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/_-]+)")
+_PAD = re.compile(r"={0,2}")
+_INNER = re.compile(r"(?<=[/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)")
 _LONG_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s|\\[nr])*(?:[A-Za-z0-9-]+:[^\n\\]*(?:\r?\n|(?:\\r)?\\n)[ \t]*)*)([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
 # Object identifiers (DER bytes) of key algorithms: RSA, EC, Ed25519, X25519, DSA.
 _KEY_OIDS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b6570"),
              bytes.fromhex("2b656e"), bytes.fromhex("2a8648ce380401"))
 _CONTAINER = b"openssh-key-v1\x00"
+_CONTAINER_B64 = "b3BlbnNzaC1rZXktdjEA"
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -106,6 +118,67 @@ def is_key_container(data: bytes) -> bool:
     return at + 8 <= len(data) and 1 <= int.from_bytes(data[at:at + 4], "big") <= 16
 
 
+def _container_end(data: bytes) -> int | None:
+    """Where the fields of a key container end, if they fit."""
+    at = len(_CONTAINER)
+    n = 3
+    for i in range(2):
+        for _ in range(n):
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at:at + 4], "big")
+        if i == 0:
+            n, at = int.from_bytes(data[at:at + 4], "big") + 1, at + 4  # public keys and the private part
+    return at if at <= len(data) else None
+
+
+def _base64_spans(text: str) -> list[tuple[int, int, str]]:
+    out, pos = [], 0
+    while m := _RUN.search(text, pos):
+        lines, pos = [m.span()], m.end()
+        while n := _NEXT.match(text, pos):
+            lines.append(n.span(1))
+            pos = n.end()
+        joined = "".join(text[s:e] for s, e in lines)
+        ends = list(itertools.accumulate(e - s for s, e in lines))
+        done = 0
+        for i, (s, e) in enumerate(lines):
+            if e - s < 40:
+                continue
+            head = ends[i] - (e - s)
+            for p in [head, *(x.start() for x in _INNER.finditer(joined, head, ends[i]) if x.start() > head)]:
+                if p < done:
+                    continue
+                if "M" == joined[p] and "A" <= joined[p + 1:p + 2] <= "P":
+                    size, kind = _der_size(_b64(joined[p:p + 8])), "der_key"
+                elif joined.startswith(_CONTAINER_B64, p):
+                    data, kind = _b64(joined[p:p + (len(joined) - p) // 4 * 4]), "key_container"
+                    size = _container_end(data) if data and is_key_container(data) else None
+                else:
+                    continue
+                stop = p + -(-4 * size // 3) if size else 0
+                last = bisect.bisect_left(ends, stop)
+                if not size or last == len(ends) or ends[last] != stop:
+                    if kind == "der_key":
+                        continue
+                    stop, last = ends[i], i  # the rest of the line, as it is
+                data = _b64(joined[p:stop])
+                if data is not None and (is_der_key(data) if kind == "der_key" else is_key_container(data)):
+                    out.append((s + p - head, _PAD.match(text, lines[last][1]).end(), kind))
+                    done = stop
+    return out
+
+
+def _der_size(head: bytes | None) -> int | None:
+    """Bytes of the DER sequence that starts with ``head``."""
+    if head is None or len(head) < 6 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F
+    if not head[1] & 0x80:
+        return 2 + head[1]
+    return 2 + k + int.from_bytes(head[2:2 + k], "big") if 1 <= k <= 4 else None
+
+
 def _b64(s: str) -> bytes | None:
     s = s.rstrip("=").replace("-", "+").replace("_", "/")
     if len(s) % 4 == 1:
@@ -147,16 +220,10 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "signed_token") for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            data = _b64(re.sub(r"\\[nr]|\s", "", m[2]))
-            if data and (is_der_key(data) or is_key_container(data) or m[1].startswith("ENCRYPTED") and _tlv(data, 0, len(data))):
+            data = _b64(re.sub(r"\\[nr]|\s", "", m[3]))
+            if data and (is_der_key(data) or "DEK-Info:" in m[2] and len(data) >= 32 and len(data) % 8 == 0 or is_key_container(data) or m[1].startswith("ENCRYPTED") and _tlv(data, 0, len(data))):
                 out.append((m.start(), m.end(), "pem"))
-    for m in _RUN.finditer(text):
-        data = _b64(m[0])
-        if data is not None:
-            if is_der_key(data):
-                out.append((m.start(), m.end(), "der_key"))
-            elif is_key_container(data):
-                out.append((m.start(), m.end(), "key_container"))
+    out += _base64_spans(text)
     for m in _LONG_HEX.finditer(text):
         data = bytes.fromhex(m[0])
         if is_der_key(data):

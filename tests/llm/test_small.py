@@ -328,6 +328,32 @@ def test_secrets(spark, odd, empty):
     assert secret_scan.secret_spans(empty).count() == 0
 
 
+def test_wrapped_prefixed_and_headed_keys():
+    import os
+    der = tlv(0x30, *[tlv(2, b"\x00"), tlv(2, b"\x01" * 64), tlv(2, b"\x03")], *[tlv(2, b"\x05" * 32)] * 6)
+    key = base64.b64encode(der).decode()
+    fields = b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b""))
+    box = base64.b64encode(b"openssh-key-v1\0" + fields + b"\0\0\0\1" + b"".join(
+        len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 136))).decode()
+    one = lambda t: [x for x in secret_scan.structural_spans(t) if x[2] in ("der_key", "key_container")]
+    for body, kind in ((key, "der_key"), (box, "key_container")):
+        for width in (64, 76):
+            for end in ("\n", "\r\n", "\\n", "\n    "):
+                wrapped = end.join(body[i:i + width] for i in range(0, len(body), width))
+                for before, after in (("", ""), ("key:\n", "\nend of it"), ("word\n", "\nword\n"), ("/etc/keys/", ""), ("key_", " x"), ("é-", "\n")):
+                    text = before + wrapped + after
+                    assert one(text) == [(len(before), len(before) + len(wrapped), kind)], (kind, width, end, before, after)
+        assert one(f"/etc/keys/{body}") == [(10, 10 + len(body), kind)]
+    assert [x[2] for x in one(key + "\n" + key)] == ["der_key", "der_key"]
+    assert one(key[:-9] + "\nword") == [] and one("\n".join(["M" + "A" * 63] * 50)) == []
+    secret = base64.b64encode(os.urandom(608)).decode()
+    body = "\n".join(secret[i:i + 64] for i in range(0, len(secret), 64))
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n%s\n-----END RSA PRIVATE KEY-----"
+    for text in (pem % body, (pem % body).replace("\n", "\\n")):
+        assert (0, len(text), "pem") in secret_scan.structural_spans(text)
+    assert "pem" not in {x[2] for x in secret_scan.structural_spans(pem % "no key at all")}
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, t in rows:
