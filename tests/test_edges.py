@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from tests.scales import SF_MID, SF_SMALL
 from riskfeatures import session
 from riskfeatures.functions.quantiles import exact_quantiles
 from riskfeatures.functions.scalar import INF, bin_index

@@ -5,7 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from tests.scales import SF_SMALL
 from riskfeatures.plans import load_all
 from riskfeatures.plans.catalog import ORACLES, QUERIES
 

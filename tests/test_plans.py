@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.scales import SF_SMALL
 from riskfeatures.operators.windows import expanding_mean
 from riskfeatures.plans import features as feat
 from riskfeatures.sources.roles import roles
