@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, brown_lm, chat_format, exact_dedup, html_text, jaccard_join, line_dedup, quality_rules, secret_scan, source_mixing
+from . import (bpe, brown_lm, cap_filters, chat_format, exact_dedup, html_text, jaccard_join, line_dedup, periodic_runs, prefix_trie, quality_rules,
+               secret_scan, source_mixing)
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,8 +54,20 @@ def op10_ngram_join(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op11_cap_filters(spark, sf_dir):
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_source_mixing, op4_bpe, op5_html_text, op6_line_dedup,
-                                  op7_chat_format, op8_brown_lm, op9_secret_scan, op10_ngram_join)}
+                                  op7_chat_format, op8_brown_lm, op9_secret_scan, op10_ngram_join, op11_cap_filters, op12_periodic_runs, op13_prefix_trie)}
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -62,4 +75,5 @@ ORACLES = {
     "op3_source_mixing": source_mixing.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
