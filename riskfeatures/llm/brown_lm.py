@@ -10,17 +10,16 @@ of its words, and neither the vocabulary nor the counts are ever gathered.
 
 Classes.  A word counted ``least`` times or more in training is a symbol of its
 own, whatever the corpus; every rarer word is a symbol of its spelling (last two
-characters).  Exchange clustering assigns the symbols to classes: the most
-frequent ones start a class each, then in every round blocks send the counts of
-their symbols with the classes before and after them to the symbols' hash ranges,
-and get class numbers back.  A range sums the counts of its symbols and moves each
-symbol of one part of the hash space to the class that raises the bigram
-likelihood most: in the first round all of them, then a half.  Symbols that move
-at the same time do not see each other's moves; a round that lowers the likelihood
-is undone and the parts are halved.  Rounds end when moving every part once raises
-the likelihood by less than ``bound`` (natural logarithm a training token).
-Symbols' classes stay in the ranges' replies; the driver holds class tables and
-the symbols that start a class.
+characters).  Blocks send the bigram counts of their symbols once to the symbols' hash
+ranges, which keep the corpus's sums (a symbol's neighbours with their counts, on
+either side): rounds read only those.  Exchange clustering: the most frequent symbols
+start a class each, all others one; in every round the ranges ask each other for the
+classes of their symbols' neighbours, the class bigrams are summed, and the symbols of
+one of ``PARTS`` parts of the hash space move each to the class that raises the bigram
+likelihood most.  Symbols that move at the same time do not see each other's moves,
+which is why a round moves a part only.  ``SWEEPS`` sweeps move every symbol as many
+times, whatever the corpus.  Assignments stay distributed; the driver holds class
+tables and the symbols that start a class.
 
 Defined results: a null or empty text is the end mark alone; a null id counts as
 the empty id (held out); repeated rows each get a row; without training texts
@@ -33,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,9 @@ SMOOTH = 0.1
 SPELLINGS = 1024          # symbols of rare words
 FLUSH = 4 << 20           # words that a task gathers before it sends them
 LEAST = 5                 # training count from which a word is a symbol of its own
-BOUND = 0.005             # likelihood gain a token, of moving every part once, below which rounds end
-DENSE = 1 << 24           # context counts up to which a block's are counted in place
+PARTS, SWEEPS = 4, 3      # a round moves one part of the symbols; a sweep moves all
+RANGE = 1 << 20           # training tokens to a range of symbols
+BEFORE = np.uint32(1 << 31)  # marks a neighbour before the symbol, not after it
 
 
 _SPELLED = mix(np.arange(SPELLINGS, dtype=np.uint64) + np.uint64(0x5BD1E995))  # keys of the spellings' symbols, among the words' hashes
@@ -209,20 +210,15 @@ def _pairs(b: pa.RecordBatch):
     return before, now, lens + 1
 
 
-def _first(batches, least: float, start: dict):
-    """A block's words that are symbols, with the classes that they start in."""
-    top = np.array(sorted(start), np.uint64)
-    to = np.array([start[int(x)] for x in top], np.uint16)
+def _block_keys(batches, least: float, bits: int):
+    """A block's words that are symbols, by range."""
     for b in batches:
-        got = []
+        rows = []
         for block, h, c in zip(b.column(0).to_pylist(), _lists(b.column(1), np.int64), _lists(b.column(2), np.int64)):
-            h = h[(c >= least) & (c > 1)].view(np.uint64)
-            cls = np.ones(len(h), np.uint16)
-            if len(top):
-                k = np.minimum(np.searchsorted(top, h), len(top) - 1)
-                cls = np.where(top[k] == h, to[k], cls)
-            got.append((block, h.tobytes(), cls.tobytes()))
-        yield _packed(got, ("block", "keys", "classes"))
+            h = np.sort(h[(c >= least) & (c > 1)].view(np.uint64))
+            if len(h):
+                rows.append((int(h[0] >> np.uint64(64 - bits)), block, h.tobytes(), np.ones(len(h), np.uint16).tobytes()))
+        yield _packed(rows, ("bucket", "block", "keys", "classes"))
 
 
 def _packed(rows: list[tuple], names: tuple) -> pa.RecordBatch:
@@ -230,9 +226,10 @@ def _packed(rows: list[tuple], names: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
 
 
-def _with_classes(batches):
+def _with_classes(batches, spelled: np.ndarray | None = None):
     """Rows come sorted by block, its replies before its documents: per run of
     documents its block, the block's keys, the classes of its symbols and the rows."""
+    spelled = np.ones(SPELLINGS, np.uint16) if spelled is None else spelled
     now, got, keys, cls = None, [], None, None
     for b in batches:
         names = b.schema.names
@@ -247,54 +244,139 @@ def _with_classes(batches):
                 continue
             if keys is None:
                 keys, first = np.unique(np.concatenate([x[0] for x in got] + [_SPELLED]), return_index=True)
-                cls = np.concatenate([x[1] for x in got] + [np.ones(SPELLINGS, np.uint16)])[first]
+                cls = np.concatenate([x[1] for x in got] + [spelled])[first]
                 cls, got = np.append(0, cls).astype(np.int64), []
             yield int(now), keys, cls, b.slice(s, e - s)
 
 
-def _tally(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes below ``size``, in order, and their numbers."""
-    if size > DENSE:
-        return np.unique(codes, return_counts=True)
-    n = np.bincount(codes, minlength=1)
-    at = np.flatnonzero(n)
-    return at, n[at]
+def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, in order, and their sums."""
+    by = np.argsort(code, kind="stable")
+    code, n = code[by], n[by]
+    head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[head], np.add.reduceat(n, head) if len(head) else n
+
+
+BIGRAMS = ("bucket", "keys", "others", "own", "other", "counts")
+BIGRAM_ROWS = "bucket int, keys binary, others binary, own binary, other binary, counts binary"
 
 
-def _contexts(batches, classes: int, bits: int):
-    """Per block and range the keys of its symbols, their classes, and the counts of
-    classes before (``0..``) and after (``classes..``) each; range -1 has the task's
-    class bigram counts."""
-    total, held = np.zeros(classes * classes, np.int64), []
-    names = ("bucket", "block", "keys", "classes", "sizes", "cols", "counts")
+def _bigrams(batches, bits: int):
+    """Per block and range the keys of the range's symbols there and of their neighbours, and
+    per pair the symbol, the neighbour (from 1; 0 is the end mark; ``BEFORE`` set on those before) and the count."""
+    held = []
 
     def flush():
-        block, keys, cls, _ = held[0]
-        p, q = np.concatenate([x[3][0] for x in held]), np.concatenate([x[3][1] for x in held])
-        total[:] += np.bincount(cls[p] * classes + cls[q], minlength=classes * classes)
-        size = (len(keys) + 1) * 2 * classes
-        at, n = _tally(np.concatenate([q * 2 * classes + cls[p], p * 2 * classes + classes + cls[q]]), size)
-        own = at >= 2 * classes  # not the end mark
-        at, n = at[own] - 2 * classes, n[own].astype(np.uint32)
-        sizes = np.bincount(at // (2 * classes), minlength=len(keys))
-        cols, ends = (at % (2 * classes)).astype(np.uint16), np.append(0, np.cumsum(sizes))
-        cut = np.append(0, np.cumsum(np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)))
+        keys = held[0][1]
+        k = len(keys) + 1
+        code, n = _summed(np.concatenate([x[2][0] * k + x[2][1] for x in held]), np.ones(sum(len(x[2][0]) for x in held), np.int64))
+        p, q = code // k, code % k
+        own, other, n = np.concatenate([p, q]), np.concatenate([q, p + (k << 1)]), np.concatenate([n, n])
+        by = np.argsort(own, kind="stable")
+        own, other, n = own[by], other[by], n[by]
+        cut = np.searchsorted(own, np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) + 1)
+        cut = np.concatenate([[np.searchsorted(own, 1)], cut, [len(own)]])
         rows = []
         for g in np.flatnonzero(np.diff(cut)):
-            s, e = cut[g], cut[g + 1]
-            x, y = ends[s], ends[e]
-            rows.append((int(g), block, keys[s:e].tobytes(), cls[1 + s:1 + e].astype(np.uint16).tobytes(), sizes[s:e].astype(np.uint32).tobytes(),
-                         cols[x:y].tobytes(), n[x:y].tobytes()))
+            x, y = cut[g], cut[g + 1]
+            mine, at = np.unique(own[x:y], return_inverse=True)
+            before = other[x:y] >= k << 1
+            o = np.where(before, other[x:y] - (k << 1), other[x:y])
+            theirs = np.unique(o[o > 0])
+            to = np.where(o > 0, np.searchsorted(theirs, o) + 1, 0).astype(np.uint32) | np.where(before, BEFORE, np.uint32(0))
+            rows.append((int(g), keys[mine - 1].tobytes(), keys[theirs - 1].tobytes(), at.astype(np.uint32).tobytes(), to.tobytes(),
+                         n[x:y].astype(np.uint32).tobytes()))
         held.clear()
-        return _packed(rows, names)
+        return _packed(rows, BIGRAMS)
 
-    for block, keys, cls, b in _with_classes(batches):
-        if held and (held[0][0] != block or sum(len(x[3][0]) for x in held) > FLUSH):
+    for block, keys, _, b in _with_classes(batches):
+        if held and (held[0][0] != block or sum(len(x[2][0]) for x in held) > FLUSH):
             yield flush()
-        held.append((block, keys, cls, _pairs(b)[:2]))
+        held.append((block, keys, _pairs(b)[:2]))
     if held:
         yield flush()
-    yield _packed([(-1, -1, b"", b"", b"", b"", total.tobytes())], names)
+
+
+def _blobs(b: pa.RecordBatch, i: int, **kinds) -> list[np.ndarray]:
+    """Row ``i``'s packed columns as arrays."""
+    return [np.frombuffer(b.column(b.schema.names.index(c))[i].as_buffer(), k) for c, k in kinds.items()]
+
+
+_PAYLOAD = {"keys": np.uint64, "others": np.uint64, "own": np.uint32, "other": np.uint32, "counts": np.int64}
+
+
+def _merged(batches):
+    """Rows come sorted by range: one row per range with the sums over all blocks."""
+    now, rows = None, []
+
+    def reply():
+        keys, others = (np.unique(np.concatenate([r[i] for r in rows])) for i in (0, 1))
+        width = np.int64(2 * (len(others) + 1))
+        codes = []
+        for k, o, own, other, _ in rows:
+            side, place = (other & BEFORE > 0).astype(np.int64), (other & ~BEFORE).astype(np.int64)
+            place = np.append(0, np.searchsorted(others, o) + 1)[place]
+            codes.append(np.searchsorted(keys, k)[own] * width + side * (width // 2) + place)
+        code, n = _summed(np.concatenate(codes), np.concatenate([r[4] for r in rows]).astype(np.int64))
+        side = code % width // (width // 2)
+        other = (code % (width // 2)).astype(np.uint32) | np.where(side > 0, BEFORE, np.uint32(0))
+        return _packed([(now, keys.tobytes(), others.tobytes(), (code // width).astype(np.uint32).tobytes(), other.tobytes(), n.tobytes())], BIGRAMS)
+
+    for b in batches:
+        for i, bucket in enumerate(b.column(0).to_pylist()):
+            if rows and bucket != now:
+                yield reply()
+                rows = []
+            now = bucket
+            rows.append(_blobs(b, i, **(_PAYLOAD | {"counts": np.uint32})))
+    if rows:
+        yield reply()
+
+
+def _neighbours(batches, bits: int):
+    """Which keys every range asks every other one for."""
+    for b in batches:
+        rows = []
+        for i, frm in enumerate(b.column(0).to_pylist()):
+            (keys,) = _blobs(b, i, others=np.uint64)
+            cut = np.searchsorted(_range_of(keys, bits), np.arange((1 << bits) + 1))
+            rows += [(h, frm, keys[cut[h]:cut[h + 1]].tobytes()) for h in np.flatnonzero(np.diff(cut)).tolist()]
+        yield _packed(rows, ("bucket", "block", "keys"))
+
+
+def _answers(batches, out: tuple):
+    """Requests beside their range's symbols: the classes of the keys asked for (1: not a symbol)."""
+    for b in batches:
+        rows, froms = [], b.column(b.schema.names.index("bucket")).to_pylist()
+        for i, to in enumerate(b.column(b.schema.names.index("block")).to_pylist()):
+            asked, keys, cls = _blobs(b, i, keys=np.uint64, symbols=np.uint64, classes=np.uint16)
+            k = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+            got = np.where(keys[k] == asked, cls[k], 1).astype(np.uint16) if len(keys) else np.ones(len(asked), np.uint16)
+            row = {"block": to, "bucket": froms[i], "keys": asked.tobytes(), "classes": got.tobytes()}
+            rows.append(tuple(row[c] for c in out))
+        yield _packed(rows, out)
+
+
+def _tables(batches, classes: int):
+    """Ranges beside the answers to them: the classes of all neighbours (first the end
+    mark's) and the range's share of the class bigrams."""
+    for b in batches:
+        rows = []
+        for i, bucket in enumerate(b.column(0).to_pylist()):
+            own, other, n, mine = _blobs(b, i, own=np.uint32, other=np.uint32, counts=np.int64, classes=np.uint16)
+            told = sorted((k["part"], k["classes"]) for k in b.column(b.schema.names.index("told"))[i].as_py() or ())
+            theirs = np.concatenate([np.zeros(1, np.uint16), *(np.frombuffer(c, np.uint16) for _, c in told)])
+            place, after = (other & ~BEFORE).astype(np.int64), other & BEFORE == 0
+            code = mine[own].astype(np.int64) * classes + theirs[place]
+            table = np.bincount(code[after], n[after], classes * classes)
+            first = ~after & (place == 0)  # what follows the end mark is counted here, the end mark having no range
+            table[:classes] += np.bincount(mine[own[first]], n[first], classes)
+            rows.append((bucket, theirs.tobytes(), np.rint(table).astype(np.int64).tobytes()))
+        yield _packed(rows, ("bucket", "theirs", "table"))
 
 
 def _gains(own: np.ndarray, sym: np.ndarray, col: np.ndarray, v: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -323,60 +405,64 @@ def _gains(own: np.ndarray, sym: np.ndarray, col: np.ndarray, v: np.ndarray, tab
     return gain
 
 
-def _moves(batches, table: np.ndarray, part: int, of: int, rare: np.ndarray):
-    """Rows come sorted by range.  Every block gets the new classes of its symbols;
-    block -1 the range's types by class."""
+def _moves(batches, table: np.ndarray, part: int, of: int):
+    """Ranges beside their own and their neighbours' classes: the classes after one part's moves."""
     classes = len(table)
-    now, rows = None, []
-
-    def reply():
-        keys, first, inv = np.unique(np.concatenate([r[1] for r in rows]), return_index=True, return_inverse=True)
-        cls = np.concatenate([r[2] for r in rows])[first].astype(np.int64)
-        code = np.repeat(inv, np.concatenate([r[3] for r in rows])) * 2 * classes + np.concatenate([r[4] for r in rows])
-        by = np.argsort(code, kind="stable")
-        code, v = code[by], np.concatenate([r[5] for r in rows])[by].astype(np.int64)
-        head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-        v = np.add.reduceat(v, head) if len(head) else v
-        sym, col = code[head] // (2 * classes), code[head] % (2 * classes)
-        may = (keys[sym] & np.uint64(of - 1)) == part
-        sym, col, v = sym[may], col[may], v[may]
-        moved, at = cls.copy(), 0
-        while at < len(sym):
-            end = int(np.searchsorted(sym, sym[min(at + (1 << 14), len(sym) - 1)], "right"))
-            some, k = np.unique(sym[at:end], return_inverse=True)
-            gain = _gains(cls[some], k, col[at:end], v[at:end], table)
-            gain[:, 0] = -np.inf  # the end mark's own class
-            best = gain.argmax(1)
-            better = gain[np.arange(len(some)), best] > gain[np.arange(len(some)), cls[some]] + 1e-6
-            moved[some[better]] = best[better]
-            at = end
-        types = np.ones(len(keys), np.int64)
-        k = np.minimum(np.searchsorted(_SPELLED[_BY_KEY], keys), SPELLINGS - 1)
-        spelled = _SPELLED[_BY_KEY[k]] == keys
-        types[spelled] = rare[_BY_KEY[k[spelled]]]
-        of_class = np.zeros(classes, np.int64)
-        np.add.at(of_class, moved, types)
-        out, start = [(-1, b"", of_class.tobytes())], 0
-        for block, own, *_ in rows:
-            k = inv[start:start + len(own)]
-            start += len(own)
-            out.append((block, own.tobytes(), moved[k].astype(np.uint16).tobytes()))
-        return _packed(out, ("block", "keys", "classes"))
-
     for b in batches:
-        buckets, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, bucket in enumerate(buckets):
-            if rows and bucket != now:
-                yield reply()
-                rows = []
-            now = bucket
-            rows.append((blocks[i], *(np.frombuffer(b.column(j)[i].as_buffer(), kind) for j, kind in
-                                      ((2, np.uint64), (3, np.uint16), (4, np.uint32), (5, np.uint16), (6, np.uint32)))))
-    if rows:
-        yield reply()
+        rows = []
+        for i, bucket in enumerate(b.column(0).to_pylist()):
+            keys, own, other, n, cls, theirs = _blobs(b, i, keys=np.uint64, own=np.uint32, other=np.uint32, counts=np.int64, classes=np.uint16,
+                                                      theirs=np.uint16)
+            may = (mix(keys) & np.uint64(of - 1) == part)[own]
+            own, other, n, moved = own[may].astype(np.int64), other[may], n[may], cls.astype(np.int64)
+            col = theirs[(other & ~BEFORE).astype(np.int64)] + np.where(other & BEFORE == 0, classes, 0)
+            code, n = _summed(own * 2 * classes + col, n)
+            sym, col = code // (2 * classes), code % (2 * classes)
+            at = 0
+            while at < len(sym):
+                end = int(np.searchsorted(sym, sym[min(at + (1 << 14), len(sym) - 1)], "right"))
+                some, k = np.unique(sym[at:end], return_inverse=True)
+                gain = _gains(moved[some], k, col[at:end], n[at:end], table)
+                gain[:, 0] = -np.inf  # the end mark's own class
+                best = gain.argmax(1)
+                better = gain[np.arange(len(some)), best] > gain[np.arange(len(some)), moved[some]] + 1e-6
+                moved[some[better]] = best[better]
+                at = end
+            rows.append((bucket, keys.tobytes(), moved.astype(np.uint16).tobytes()))
+        yield _packed(rows, ("bucket", "symbols", "classes"))
+
+
+def _started(batches, start: dict):
+    top = np.array(sorted(start), np.uint64)
+    to = np.array([start[int(x)] for x in top], np.uint16)
+    for b in batches:
+        rows = []
+        for i, bucket in enumerate(b.column(0).to_pylist()):
+            (keys,) = _blobs(b, i, keys=np.uint64)
+            cls = np.ones(len(keys), np.uint16)
+            if len(top):
+                k = np.minimum(np.searchsorted(top, keys), len(top) - 1)
+                cls = np.where(top[k] == keys, to[k], cls)
+            rows.append((bucket, keys.tobytes(), cls.astype(np.uint16).tobytes()))
+        yield _packed(rows, ("bucket", "symbols", "classes"))
 
 
-def _total(df: DataFrame, name: str, size: int) -> np.ndarray:
+def _types(batches, classes: int, rare: np.ndarray):
+    """Word types by class, and the classes of the spellings' symbols (0: none)."""
+    of_class, spelled = np.zeros(classes, np.int64), np.zeros(SPELLINGS, np.int64)
+    for b in batches:
+        for i in range(len(b)):
+            keys, cls = _blobs(b, i, symbols=np.uint64, classes=np.uint16)
+            k = np.minimum(np.searchsorted(_SPELLED[_BY_KEY], keys), SPELLINGS - 1)
+            is_spelled = _SPELLED[_BY_KEY[k]] == keys
+            types = np.ones(len(keys), np.int64)
+            types[is_spelled] = rare[_BY_KEY[k[is_spelled]]]
+            np.add.at(of_class, cls, types)
+            spelled[_BY_KEY[k[is_spelled]]] = cls[is_spelled]
+    yield pa.RecordBatch.from_arrays([pa.array([np.append(of_class, spelled).tobytes()], pa.binary())], names=["counts"])
+
+
+def _total(df: DataFrame, name: str, size: int, rows: int) -> np.ndarray:
     """Sum of a column of packed counts."""
     def added(batches):
         out = np.zeros(size, np.int64)
@@ -384,12 +470,12 @@ def _total(df: DataFrame, name: str, size: int) -> np.ndarray:
             for x in b.column(0):
                 out += np.frombuffer(x.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["counts"])
-    got = map_arrow(df.select(name).repartition(16), added, "counts binary").collect()
+    got = map_arrow(df.select(name).repartition(max(1, min(16, rows // 8))), added, "counts binary").collect()
     return sum((np.frombuffer(bytes(c), np.int64) for (c,) in got), np.zeros(size, np.int64))
 
 
-def _scores(batches, step: np.ndarray, emit: np.ndarray, base: float, classes: int):
-    for _, _, cls, b in _with_classes(batches):
+def _scores(batches, step: np.ndarray, emit: np.ndarray, base: float, classes: int, spelled: np.ndarray):
+    for _, _, cls, b in _with_classes(batches, spelled):
         p, q, lens = _pairs(b)
         row = np.repeat(np.arange(len(lens)), lens)
         a, c = cls[p], cls[q]
@@ -411,18 +497,17 @@ def _by_block(rows: DataFrame, replies: DataFrame, *cols: str) -> DataFrame:
 
 class BrownModel:
     """Fitted classes and probabilities; ``rows`` are the scored documents' symbols,
-    ``replies`` the classes of every block's symbols, ``likelihoods`` the training
-    log-likelihood of the classes a token, at the start and after every round."""
+    ``replies`` the classes of every block's words, ``spelled`` those of the spellings,
+    ``likelihoods`` the training log-likelihood of the classes a token, at the start and after every round."""
 
-    def __init__(self, rows, replies, step, emit, total, types, likelihoods):
-        self.rows, self.replies, self.step, self.emit, self.total, self.types = rows, replies, step, emit, total, types
+    def __init__(self, rows, replies, spelled, step, emit, total, types, likelihoods):
+        self.rows, self.replies, self.spelled, self.step, self.emit, self.total, self.types = rows, replies, spelled, step, emit, total, types
         self.likelihoods = likelihoods
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, share: float | None = None,
-        rounds: int | None = None, least: int = LEAST, bound: float = BOUND) -> BrownModel:
-    """Train on the documents whose ``crc32(id) mod 10`` is not 0.  ``share`` lowers
-    ``least`` where that share of the training tokens is less; ``rounds`` is a limit."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, least: int = LEAST,
+        sweeps: int = SWEEPS, parts: int = PARTS) -> BrownModel:
+    """Train on the documents whose ``crc32(id) mod 10`` is not 0."""
     number = F.monotonically_increasing_id()
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     texts = stored(docs.select(F.shiftright(number, BLOCK_BITS).alias("block"), held.alias("held"),
@@ -432,7 +517,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
                             "bucket int, block long, words array<long>, counts array<long>, spelling array<int>"), "word-counts")
     total, n_docs = sent.where("bucket = -1").agg(F.coalesce(F.sum(F.col("counts")[0]), F.lit(0)),
                                                   F.coalesce(F.sum(F.col("spelling")[0]), F.lit(0))).first()
-    least = least if share is None else min(least, share * total)
     counts = stored(map_arrow(sent.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket"),
                               partial(_counts, least=least, classes=classes),
                               "kind int, block long, words array<long>, counts array<long>"), "word-totals")
@@ -454,45 +538,56 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
         texts.select("block", F.lit(1).alias("kind"), empty.alias("words"), empty.alias("counts"), "held", "doc_id", "text"))
     rows = stored(map_arrow(mixed.repartition("block").sortWithinPartitions("block", "kind"), partial(_symbols, least=least, n_docs=n_docs),
                             f"doc_id {id_kind}, held boolean, n_tokens long, n_known long, logs double, symbols array<int>, block long"), "symbols")
-    replies = stored(map_arrow(counts.where("kind = 0").select("block", "words", "counts"), partial(_first, least=least, start=start),
-                               "block long, keys binary, classes binary"), "classes")
+    # ranges of symbols: no finer than those of the word counts, so a block's words of one row are in one
+    bits = min(bits, max(1, (total // RANGE).bit_length()))
+    asked = stored(map_arrow(counts.where("kind = 0").select("block", "words", "counts"), partial(_block_keys, least=least, bits=bits),
+                             "bucket int, block long, keys binary, classes binary"), "block-keys")
     forget(texts, counts)
-
-    of_class = np.zeros(classes, np.int64)
-    of_class[2:2 + len(start)] = 1
-    of_class[1] = n_words - len(start) + rare.sum()
-    phi = lambda x: (x * np.log(np.maximum(x, 1))).sum()
-    seen, gains, best, part, of = [], [], None, 0, 1
-    while True:
-        got = stored(map_arrow(_by_block(rows.where("not held"), replies, "symbols"), partial(_contexts, classes=classes, bits=bits),
-                               "bucket int, block long, keys binary, classes binary, sizes binary, cols binary, counts binary"), "contexts")
-        table = _total(got.where("bucket = -1"), "counts", classes * classes).reshape(classes, classes)
-        now = (phi(table) - phi(table.sum(1)) - phi(table.sum(0))) / max(1, total)
-        seen.append(now)
-        if best is None or now >= best[0]:
-            gains += [now - best[0]] if best else []
-            if best:
-                forget(best[1], best[4])
-            best = now, replies, table, of_class, got
-            part = (part + 1) % of
-            if of == 1 and gains:
-                of, part, gains = 2, 0, []
-        else:
-            forget(replies, got)
-            of, part, gains = 2 * of, 0, []
-        _, replies, table, of_class, got = best
-        if len(seen) - 1 == rounds or total == 0 or len(gains) >= of and sum(gains[-of:]) < bound:
-            break
-        replies = stored(map_arrow(got.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket"),
-                                   partial(_moves, table=table, part=part, of=of, rare=rare),
-                                   "block long, keys binary, classes binary"), "classes")
-        of_class = _total(replies.where("block = -1"), "classes", classes)
-    forget(got)
-    of_class = of_class.copy()
+    cls, table, of_class, spelled, seen = _clustered(rows, asked, classes, bits, start, rare, total, sweeps, parts)
+    replies = stored(map_arrow(asked.select("bucket", "block", "keys").repartition("bucket").join(cls, "bucket"),
+                               partial(_answers, out=("block", "keys", "classes")), "block long, keys binary, classes binary"), "classes")
+    forget(asked, cls)
     of_class[0] += n_docs > 0
     step = np.log10((table + SMOOTH) / (table.sum(1, keepdims=True) + SMOOTH * classes)).ravel()
     emit = np.log10(table.sum(0) + SMOOTH * (of_class + 1))
-    return BrownModel(rows, replies, step, emit, total, types, seen)
+    return BrownModel(rows, replies, spelled, step, emit, total, types, seen)
+
+
+def _clustered(rows, asked, classes, bits, start, rare, total, sweeps, parts):
+    """Exchange clustering: the symbols' classes by range, the class bigrams, types by class,
+    the spellings' classes and the likelihoods."""
+    ranges = 1 << bits
+    sent = stored(map_arrow(_by_block(rows.where("not held"), asked, "symbols"), partial(_bigrams, bits=bits), BIGRAM_ROWS), "block-bigrams")
+    bigrams = stored(map_arrow(sent.repartition(ranges, "bucket").sortWithinPartitions("bucket"), _merged, BIGRAM_ROWS), "bigrams")
+    forget(sent)
+    wanted = stored(map_arrow(bigrams.select("bucket", "others"), partial(_neighbours, bits=bits), "bucket int, block long, keys binary"), "neighbours")
+    cls = stored(map_arrow(bigrams.select("bucket", "keys"), partial(_started, start=start), "bucket int, symbols binary, classes binary"), "symbol-classes")
+    # read in every round; recomputed from the stored tables when an executor is lost
+    bigrams_, wanted_ = (x.repartition(ranges, "bucket").persist(StorageLevel.DISK_ONLY) for x in (bigrams.drop("others"), wanted))
+    phi = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    seen, alone = [], rows.where("not held and n_tokens = 1").count()  # texts that are an end mark after the last one's
+    for k in range(sweeps * parts + 1 if total else 1):
+        told = map_arrow(wanted_.join(cls, "bucket"), partial(_answers, out=("block", "bucket", "classes")), "block long, bucket int, classes binary")
+        told = told.groupBy(F.col("block").cast("int").alias("to")).agg(
+            F.collect_list(F.struct(F.col("bucket").alias("part"), "classes")).alias("told")).withColumnRenamed("to", "bucket")
+        both = bigrams_.join(cls.select("bucket", "classes"), "bucket").join(told, "bucket", "left")
+        got = stored(map_arrow(both, partial(_tables, classes=classes), "bucket int, theirs binary, table binary"), "neighbour-classes")
+        table = _total(got, "table", classes * classes, ranges).reshape(classes, classes)
+        table[0, 0] += alone
+        seen.append((phi(table) - phi(table.sum(1)) - phi(table.sum(0))) / max(1, total))
+        if k == sweeps * parts or not total:
+            forget(got)
+            break
+        both = bigrams_.join(cls.select("bucket", "classes"), "bucket").join(got.select("bucket", "theirs"), "bucket")
+        after = stored(map_arrow(both, partial(_moves, table=table, part=k % parts, of=parts), "bucket int, symbols binary, classes binary"), "symbol-classes")
+        forget(got, cls)
+        cls = after
+    sums = _total(map_arrow(cls.select("symbols", "classes"), partial(_types, classes=classes, rare=rare), "counts binary"), "counts", classes + SPELLINGS, ranges)
+    of_class, spelled = sums[:classes].copy(), np.maximum(sums[classes:], 1).astype(np.uint16)
+    bigrams_.unpersist()
+    wanted_.unpersist()
+    forget(bigrams, wanted)
+    return cls, table, of_class, spelled, seen
 
 
 def score(model: BrownModel, classes: int = 64) -> DataFrame:
@@ -501,12 +596,12 @@ def score(model: BrownModel, classes: int = 64) -> DataFrame:
     kind = model.rows.schema["doc_id"].dataType.simpleString()
     cols = ("doc_id", "held", "n_tokens", "n_known", "logs", "symbols")
     out = map_arrow(_by_block(model.rows, model.replies, *cols),
-                    partial(_scores, step=model.step, emit=model.emit, base=base, classes=classes),
+                    partial(_scores, step=model.step, emit=model.emit, base=base, classes=classes, spelled=model.spelled),
                     f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
                       "base_score", "score")
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, share: float | None = None,
-           rounds: int | None = None, least: int = LEAST, bound: float = BOUND) -> DataFrame:
-    return score(fit(docs, id_col, text_col, classes, share, rounds, least, bound), classes).withColumnRenamed("doc_id", id_col)
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, least: int = LEAST,
+           sweeps: int = SWEEPS, parts: int = PARTS) -> DataFrame:
+    return score(fit(docs, id_col, text_col, classes, least, sweeps, parts), classes).withColumnRenamed("doc_id", id_col)
