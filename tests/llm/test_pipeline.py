@@ -13,6 +13,10 @@ def test_stages(spark, tmp_path):
     lines = [" ".join(rng.choice(vocab) for _ in range(25)) for _ in range(60)]
     rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.2 else " ".join(rng.choice(vocab) for _ in range(25)) for _ in range(4)),
              "en", f"s{i % 3}", 0) for i in range(60)]
+    for i in range(60, 75):  # lines that differ in two words of 25: between 0.8 and 0.9
+        w = lines[i - 60].split()
+        w[rng.randrange(12)], w[12 + rng.randrange(12)] = f"new{i}", f"other{i}"
+        rows.append((i, "\n".join([" ".join(w)] + [" ".join(rng.choice(vocab) for _ in range(25)) for _ in range(3)]), "en", f"s{i % 3}", 0))
     rows += [(100 + i, rows[i][1] + " added", "en", "s0", 0) for i in range(5)] + [(200, "### junk | " * 40, "en", "s1", 0), (201, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
@@ -25,7 +29,8 @@ def test_stages(spark, tmp_path):
         seen.append((name, rows_of(before), docs))
     (_, raw, kept), (_, a, deduped), (_, b, single), (_, c, mixed), (_, d, coded) = seen
     assert {i for i, _ in raw} - {r.doc_id for r in kept.collect()} == {200, 201}
-    gone = brute_lines(a, 90)
+    gone = brute_lines(a, 80)
+    assert gone != brute_lines(a, 90)
     assert collections.Counter(rows_of(deduped)) == collections.Counter(
         (i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[(i, t)])) for i, t in a)
     assert {r.doc_id for r in single.collect()} == {x for _, _, x in brute_components(b, 5, 80)}
