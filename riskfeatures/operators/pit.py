@@ -11,27 +11,22 @@ Two physical shapes, chosen by the cardinality of the join key:
 ``pit_merge``
     Many cutoff rows share a key (all tasks of one KPI).  An equi join would
     emit events x cutoffs pairs — quadratic on a hot key.  Instead events and
-    cutoffs are unioned and scanned once in time order, in two levels so that
-    no window partition holds a whole key:
-
-    1. per (key, day) bucket summaries (count, max ts, latest value) — a
-       partial aggregate — then a running prefix over the days of each key
-       (rows = distinct days, tiny even for a hot key);
-    2. a running scan inside each (key, day) over events and cutoffs, events
-       sorting before cutoffs at equal timestamps because the predicate is
-       ``ts <= cutoff``;
-
-    and the two levels are added.  Output: one row per cutoff row with the
-    event count, last event timestamp and latest value(s) as of the cutoff.
+    cutoffs are unioned and scanned once in time order by ``ranges.scan``, events
+    sorting before cutoffs at equal timestamps because the predicate is ``ts <=
+    cutoff``; no task holds a whole key or a whole day of one.  Output: one row per
+    cutoff row with the event count, last event timestamp and latest value(s) as of
+    the cutoff.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import scan
+
 
 def pit_join_agg(events: DataFrame, entities: DataFrame, on: Column | list,
                  group_cols: Sequence[str], aggs: Sequence[Column],
@@ -65,8 +60,7 @@ def latest_upto(value: Column, ts: str, seq: Sequence[str], cutoff: str | Column
 
 def pit_merge(events: DataFrame, cutoffs: DataFrame, event_key: str, cutoff_key: str,
               event_ts: str, cutoff_ts: str, seq: Sequence[str] = (),
-              values: Sequence[str] = (), carry: Sequence[str] = (),
-              bucket: str = "day") -> DataFrame:
+              values: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """As-of scan of shared-key events for many cutoffs (see module doc).
 
     Returns ``carry`` columns of ``cutoffs`` plus ``pit_n`` (events with
@@ -78,11 +72,10 @@ def pit_merge(events: DataFrame, cutoffs: DataFrame, event_key: str, cutoff_key:
     ev = events.select(F.col(event_key).alias("_k"), F.col(event_ts).alias("_ts"),
                        F.struct(*seqs).alias("_seq"), vals.alias("_v"))
     cu = cutoffs.select(F.col(cutoff_key).alias("_k"), F.col(cutoff_ts).alias("_ts"), *carry)
-    return pit_merge_frames(ev, cu, carry, bucket)
+    return pit_merge_frames(ev, cu, carry)
 
 
-def pit_merge_frames(ev: DataFrame, cu: DataFrame, carry: Sequence[str],
-                     bucket: str = "day", last_ts: bool = True,
+def pit_merge_frames(ev: DataFrame, cu: DataFrame, carry: Sequence[str], last_ts: bool = True,
                      keys: Sequence[str] = ("_k",)) -> DataFrame:
     """``pit_merge`` on canonical frames: ``ev(_k, _ts, _seq, _v)`` and
     ``cu(_k, _ts, *carry)``.  ``_k`` may be a struct (several event sources
@@ -95,47 +88,21 @@ def pit_merge_frames(ev: DataFrame, cu: DataFrame, carry: Sequence[str],
     for k in keys:
         key_ok = key_ok & F.col(k).isNotNull()
     ev = (ev.filter(key_ok & F.col("_ts").isNotNull())
-          .select(*keys, F.col("_ts").cast("timestamp_ntz").alias("_ts"), "_seq", "_v",
-                  F.date_trunc(bucket, F.col("_ts")).alias("_b"), F.lit(1).alias("_is_cut"),
+          .select(*keys, F.col("_ts").cast("timestamp_ntz").alias("_ts"), "_seq", "_v", F.lit(1).alias("_is_cut"),
                   *[F.lit(None).cast(cu.schema[c].dataType).alias(c) for c in carry]))
     unkeyed = cu.filter(~key_ok).select(*carry)  # a cutoff without a key has no events
     cu = cu.filter(key_ok).select(*keys, F.col("_ts").cast("timestamp_ntz").alias("_ts"),
                    F.lit(None).cast(ev.schema["_seq"].dataType).alias("_seq"),
-                   F.lit(None).cast(ev.schema["_v"].dataType).alias("_v"),
-                   F.date_trunc(bucket, F.col("_ts")).alias("_b"), F.lit(2).alias("_is_cut"), *carry)
+                   F.lit(None).cast(ev.schema["_v"].dataType).alias("_v"), F.lit(2).alias("_is_cut"), *carry)
     u = ev.unionByName(cu)
     is_ev = F.col("_is_cut") == 1
 
-    # level 1: bucket summaries + exclusive prefix over the buckets of each key
-    no_ts = F.lit(None).cast("timestamp_ntz")
-    summ = u.groupBy(*keys, "_b").agg(
-        F.count_if(is_ev).alias("_n"),
-        (F.max(F.when(is_ev, F.col("_ts"))) if last_ts else F.first(no_ts)).alias("_mx"),
-        F.max_by(F.when(is_ev, F.struct("_v")), F.when(is_ev, F.struct("_ts", "_seq"))).alias("_lv"))
-    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prior = summ.select(
-        *keys, "_b",
-        F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_pn"),
-        (F.max("_mx").over(wk) if last_ts else no_ts).alias("_pmx"),
-        F.last("_lv", ignorenulls=True).over(wk).alias("_plv"))
-
-    # level 2: running scan inside (key, bucket); events before cutoffs at equal ts
-    wb = (Window.partitionBy(*keys, "_b").orderBy("_ts", "_is_cut", "_seq")
-          .rowsBetween(Window.unboundedPreceding, 0))
-    within = (u.select(
-        *keys, "_b", "_is_cut", *carry,
-        F.count_if(is_ev).over(wb).alias("_wn"),
-        (F.max(F.when(is_ev, F.col("_ts"))).over(wb) if last_ts else no_ts).alias("_wmx"),
-        F.last(F.when(is_ev, F.struct("_v")), ignorenulls=True).over(wb).alias("_wlv"))
-        .filter(~is_ev))
-
-    j = within.join(prior, [*keys, "_b"], "left")
-    out = j.select(
-        *carry,
-        (F.col("_wn") + F.coalesce(F.col("_pn"), F.lit(0))).cast("bigint").alias("pit_n"),
-        F.greatest("_wmx", "_pmx").alias("pit_last_ts"),
-        F.coalesce(F.col("_wlv"), F.col("_plv"))["_v"].alias("pit_last"),
-    )
+    running = {"_n": ("sum", F.when(is_ev, 1).otherwise(0).cast("bigint")), "_lv": ("last", F.when(is_ev, F.struct("_v")))}
+    if last_ts:
+        running["_mx"] = ("max", F.when(is_ev, F.col("_ts")))
+    got = scan(u, keys, ["_ts", "_is_cut", "_seq"], running, name="pit").filter(~is_ev)
+    last = F.col("_mx") if last_ts else F.lit(None).cast("timestamp_ntz")
+    out = got.select(*carry, F.col("_n").cast("bigint").alias("pit_n"), last.alias("pit_last_ts"), F.col("_lv")["_v"].alias("pit_last"))
     kinds = {f.name: f.dataType for f in out.schema.fields}
     return out.unionByName(unkeyed.select(
         *carry, F.lit(0).cast("bigint").alias("pit_n"), F.lit(None).cast(kinds["pit_last_ts"]).alias("pit_last_ts"),

@@ -1,12 +1,7 @@
-"""Window operators that stay distributed on low-cardinality keys.
-
-``expanding_mean`` is ``AVG(v) OVER (PARTITION BY g ORDER BY ts, tie ROWS
-BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)`` computed in two levels: a plain
-window would put a whole department (a third of all rows, say) into one
-task.  Level 1 aggregates per (group, day) and takes an exclusive prefix over
-days (rows = days per group); level 2 runs the self-excluding window inside
-(group, day).  NULL groups are kept and matched null-safely, like SQL
-``PARTITION BY``.
+"""Window operators that stay distributed on low-cardinality keys: running values
+come from ``ranges.scan``, so neither a department with a third of all rows nor one
+bulk-import day of it lands in one task.  NULL groups are kept and matched
+null-safely, like SQL ``PARTITION BY``.
 """
 
 from __future__ import annotations
@@ -16,39 +11,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import scan
+
 
 def expanding_mean(df: DataFrame, group: str, ts: str, tie: str, values: Sequence[str],
                    out: Sequence[str] | None = None, keep: Sequence[str] = ("id",),
-                   with_count: str | None = None, bucket: str = "day") -> DataFrame:
-    """Self-excluding expanding mean of ``values`` per ``group`` in (ts, tie) order."""
+                   with_count: str | None = None) -> DataFrame:
+    """Self-excluding expanding mean of ``values`` per ``group`` in (ts, tie) order:
+    ``AVG(v) OVER (PARTITION BY g ORDER BY ts, tie ROWS BETWEEN UNBOUNDED PRECEDING
+    AND 1 PRECEDING)``, and the number of earlier rows."""
     out = list(out or [f"{v}_expanding_mean" for v in values])
-    d = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    sums = [F.sum(F.col(v).cast("double")).alias(f"_s{i}") for i, v in enumerate(values)]
-    cnts = [F.count(F.col(v)).alias(f"_c{i}") for i, v in enumerate(values)]
-    daily = d.groupBy(group, "_b").agg(*sums, *cnts, F.count(F.lit(1)).alias("_rows"))
-    wd = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prior = daily.select(
-        F.col(group).alias("_g"), F.col("_b").alias("_pb"),
-        *[F.coalesce(F.sum(f"_s{i}").over(wd), F.lit(0.0)).alias(f"_ps{i}") for i in range(len(values))],
-        *[F.coalesce(F.sum(f"_c{i}").over(wd), F.lit(0)).alias(f"_pc{i}") for i in range(len(values))],
-        F.coalesce(F.sum("_rows").over(wd), F.lit(0)).alias("_prows"))
-    wi = (Window.partitionBy(group, "_b").orderBy(ts, tie)
-          .rowsBetween(Window.unboundedPreceding, -1))
-    within = d.select(
-        *keep, group, "_b",
-        *[F.coalesce(F.sum(F.col(v).cast("double")).over(wi), F.lit(0.0)).alias(f"_ws{i}")
-          for i, v in enumerate(values)],
-        *[F.count(F.col(v)).over(wi).alias(f"_wc{i}") for i, v in enumerate(values)],
-        F.count(F.lit(1)).over(wi).alias("_wrows"))
-    j = within.join(prior, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_pb")),
-                    "inner")
+    needed = dict.fromkeys([*keep, group, ts, tie, *values])
+    running = {"_rows": ("sum", F.lit(1).cast("bigint"))}
+    for i, v in enumerate(values):
+        running[f"_s{i}"] = ("sum", F.col(v).cast("double"))
+        running[f"_c{i}"] = ("sum", F.when(F.col(v).isNotNull(), 1).otherwise(0).cast("bigint"))
+    got = scan(df.select(*needed), [group], [ts, tie], running, inclusive=False, name="expanding")
     cols = [F.col(k) for k in keep]
-    for i, o in enumerate(out):
-        n = F.col(f"_pc{i}") + F.col(f"_wc{i}")
-        cols.append(F.when(n > 0, (F.col(f"_ps{i}") + F.col(f"_ws{i}")) / n).alias(o))
+    cols += [F.when(F.col(f"_c{i}") > 0, F.col(f"_s{i}") / F.col(f"_c{i}")).alias(o) for i, o in enumerate(out)]
     if with_count:
-        cols.append((F.col("_prows") + F.col("_wrows")).cast("bigint").alias(with_count))
-    return j.select(*cols)
+        cols.append(F.col("_rows").cast("bigint").alias(with_count))
+    return got.select(*cols)
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
@@ -59,19 +42,6 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def global_row_number(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                      out: str = "row_num") -> DataFrame:
-    """Row number over the whole frame in (key, order) order without a
-    single-partition window over the rows: per-key counts -> exclusive offsets
-    (a frame of distinct keys only) -> row_number inside each key.  Choose the
-    key so that its distinct count stays small (e.g. quarter, month, id DIV w).
-    The offsets are joined without a broadcast hint — their size grows with
-    the key space; AQE broadcasts them at run time when they are small."""
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    wk = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*key, F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(*key).orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(w))
-            .join(offs, list(key))
-            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_off", "_rn"))
+def global_row_number(df: DataFrame, order: Sequence[str], out: str = "row_num") -> DataFrame:
+    """Row number over the whole frame, in ``order``."""
+    return scan(df, [], list(order), {out: ("sum", F.lit(1).cast("bigint"))}, name="numbered").drop("part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import GAUGE_BANDS, RISK_BADGE
@@ -141,8 +142,9 @@ def ml_split_stratified(spark, sf):
     """Exact stratified 70/15/15 split in portable md5 order; per-split class
     counts, rank range and an id checksum pin the exact membership (M1)."""
     sp = M.stratified_split(_scored(spark, sf), "id", "label")
-    return sp.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.min("rk").alias("min_rank"),
-                                            F.max("rk").alias("max_rank"), F.sum("id").cast("bigint").alias("id_checksum"))
+    n = sp.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("id").cast("bigint").alias("id_checksum"))
+    upto = F.sum("n_rows").over(Window.partitionBy("label").orderBy(F.array_position(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("split"))))
+    return n.select("split", "label", "n_rows", (upto - F.col("n_rows") + 1).alias("min_rank"), upto.alias("max_rank"), "id_checksum")
 
 
 @register("ml_kfold", oracle="""SELECT fold, label, count(*) AS n_rows, CAST(sum(id) AS BIGINT) AS id_checksum FROM (
@@ -165,11 +167,10 @@ def ml_kfold(spark, sf):
 s AS (SELECT *, CASE WHEN rn <= CAST(floor(n * 0.70) AS BIGINT) THEN 'train' WHEN rn <= CAST(floor(n * 0.85) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM o)
 SELECT split, count(*) AS n_rows, CAST(sum(calculated_overdue) AS BIGINT) AS n_overdue, CAST(sum(id) AS BIGINT) AS id_checksum FROM s GROUP BY 1""", "halfway"))
 def ml_split_time(spark, sf):
-    """Chronological 70/15/15 split on (quarter, month, id) via per-key offsets,
-    no single-partition window (M2, W6)."""
+    """Chronological 70/15/15 split on (quarter, month, id) by range partitions with
+    offsets, no single-partition window (M2, W6)."""
     f = _feat(spark, sf, "halfway")
-    rn = global_row_number(f.withColumn("_ib", F.floor(F.col("id") / 4096)),
-                           ["created_quarter", "created_month", "_ib"], ["id"], "rn")
+    rn = global_row_number(f.select("id", "created_quarter", "created_month", "calculated_overdue"), ["created_quarter", "created_month", "id"], "rn")
     n = f.agg(F.count(F.lit(1)).alias("n"))
     s = rn.crossJoin(F.broadcast(n)).withColumn(
         "split", F.when(F.col("rn") <= F.floor(F.col("n") * 0.70), "train")

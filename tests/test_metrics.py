@@ -35,7 +35,7 @@ def test_ap_auc_bruteforce(spark):
     df = spark.createDataFrame(rows, "id int, label int, score double")
     y = [r[1] for r in rows]
     s = [r[2] for r in rows]
-    cum = M.cumulative(df, buckets=16)
+    cum = M.cumulative(df)
     assert abs(M.average_precision(cum).first()[0] - _ap(y, s)) < 1e-9
     assert abs(M.roc_auc(cum).first()[0] - _auc(y, s)) < 1e-9
 

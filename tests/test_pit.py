@@ -35,15 +35,6 @@ def test_pit_merge_equals_bruteforce(spark):
             assert got[cid] == exp, (seed, cid)
 
 
-def test_pit_merge_hour_buckets_same_answer(spark):
-    ev, cu = _rand_events(7)
-    e = spark.createDataFrame(ev, "k int, ts timestamp_ntz, seq int, v string")
-    c = spark.createDataFrame(cu, "cid int, k int, cts timestamp_ntz")
-    a = pit.pit_merge(e, c, "k", "k", "ts", "cts", seq=["seq"], carry=["cid"], bucket="day")
-    b = pit.pit_merge(e, c, "k", "k", "ts", "cts", seq=["seq"], carry=["cid"], bucket="hour")
-    assert sorted(a.select("cid", "pit_n").collect()) == sorted(b.select("cid", "pit_n").collect())
-
-
 def test_expanding_mean_equals_plain_window(spark):
     rnd = random.Random(5)
     t0 = dt.datetime(2021, 3, 1)
@@ -65,7 +56,7 @@ def test_expanding_mean_equals_plain_window(spark):
 def test_global_row_number(spark):
     rows = [(i, i % 4, (i * 7) % 13) for i in range(100)]
     df = spark.createDataFrame(rows, "id int, q int, m int")
-    got = sorted((r.row_num, r.id) for r in global_row_number(df, ["q", "m"], ["id"]).collect())
+    got = sorted((r.row_num, r.id) for r in global_row_number(df, ["q", "m", "id"]).collect())
     exp = [(n + 1, r[0]) for n, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2], r[0])))]
     assert got == exp
 
