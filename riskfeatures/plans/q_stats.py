@@ -8,6 +8,8 @@ from ..operators import stats as st
 from ..operators.aggs import _stack
 from ..sources.roles import roles
 from .catalog import register
+from .curated import FEATURE_VERDICTS, LEAK_REGISTER
+from .oracle_curated import CURATED_VERDICTS_SQL, LEAK_REGISTER_SQL
 from .oracle_wide import NUMERIC_FEATS, TWO_TIER, feat_with
 from .q_analytics import _feat
 from .q_pit import _LEAK_SQL, _leak_long
@@ -29,21 +31,8 @@ FEATURE_GROUPS = {
 ALL_FEATS = tuple(c for g in FEATURE_GROUPS.values() for c in g)
 BINARY_FEATS = ("has_subtasks", "is_cross_dept", "cross_dept_pair_exists", "is_planned",
                 "kpi_is_overdue_flag", "created_is_weekend", "created_is_friday")
-
-# ---- fixed values: curated verdicts and leakage register --------------------
-VERDICT_MAP = {
-    "emp_past_overdue_rate": "USE", "pos_past_overdue_rate": "USE", "dept_past_overdue_rate": "USE",
-    "planned_duration": "USE", "creation_to_planned_start": "USE", "num_revisions": "USE",
-    "revision_frequency": "USE", "kpi_is_overdue_flag": "USE",
-}
-LEAK_REGISTER = {
-    "status_encoded": "LEAKAGE RISK", "ma_status_encoded": "CAUTION", "dept_past_overdue_rate": "CAUTION",
-    "emp_past_overdue_rate": "CAUTION", "pos_past_overdue_rate": "CAUTION", "revision_recency": "CAUTION",
-    "subtask_completion_pct": "CAUTION", "subtask_overdue_rate": "CAUTION", "num_revisions": "CAUTION",
-    "kpi_is_overdue_flag": "SAFE", "planned_duration": "SAFE", "creation_to_planned_start": "SAFE",
-    "risk_mapping": "SAFE", "task_comment_count": "CAUTION", "num_subtasks": "CAUTION",
-    "num_ma_revisions": "CAUTION",
-}
+CATEGORY_FEATS = ("created_dow", "created_month", "created_quarter", "risk_mapping", "status_encoded", "approval_status_encoded",
+                  "lead_approval_status_encoded", "ma_status_encoded", "ma_approval_status_encoded", "kpi_status_ordinal")
 
 
 def _corr_sql(cols, src="feat"):
@@ -52,32 +41,49 @@ def _corr_sql(cols, src="feat"):
         for c in cols)
 
 
-@register("st_corr_target", round_cols=("pearson_r", "abs_r", "t_stat"), oracle=feat_with(f"""
-, r AS ({_corr_sql(ALL_FEATS)}), n AS (SELECT count(*) AS n FROM feat)
-SELECT feature, pearson_r, abs(pearson_r) AS abs_r, n, pearson_r * sqrt((n - 2) / (1 - pearson_r * pearson_r)) AS t_stat
-FROM r CROSS JOIN n""", "halfway"))
+def _student_sql(t, dof):
+    """Two-sided p of Student's t as the finite sums for even and odd degrees of freedom."""
+    cos = f"ln(1 / sqrt(1 + {t} * {t} / {dof}))"
+    sin = f"(abs({t}) / sqrt({dof} + {t} * {t}))"
+    even = f"{sin} * list_sum(list_transform(range(0, {dof} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) - 0.5 * ln(pi()) + 2 * k * {cos})))"
+    odd = (f"2 / pi() * (atan(abs({t}) / sqrt({dof})) + {sin} * list_sum(list_transform(range(0, ({dof} - 1) // 2), "
+           f"lambda k: exp(0.5 * ln(pi()) - ln(2) + lgamma(k + 1.0) - lgamma(k + 1.5) + (2 * k + 1) * {cos}))))")
+    return f"greatest(0, 1 - CASE WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def _chi2_p_sql(x, dof):
+    """Upper tail of chi-square from the series of the lower one."""
+    return (f"CASE WHEN {dof} = 0 OR {x} = 0 THEN 1.0 ELSE greatest(0, 1 - list_sum(list_transform(range(0, CAST({x} / 2 + 12 * sqrt({x} / 2 + 1) + 200 AS BIGINT)), "
+            f"lambda k: exp(-{x} / 2 + ({dof} / 2.0 + k) * ln({x} / 2) - lgamma({dof} / 2.0 + k + 1))))) END")
+
+
+@register("st_corr_target", round_cols=("pearson_r", "abs_r", "t_stat", "p_value"), oracle=feat_with(f"""
+, r AS ({_corr_sql(ALL_FEATS)}), n AS (SELECT count(*) AS n FROM feat),
+t AS (SELECT feature, pearson_r, abs(pearson_r) AS abs_r, n, pearson_r * sqrt((n - 2) / (1 - pearson_r * pearson_r)) AS t_stat FROM r CROSS JOIN n)
+SELECT *, {_student_sql("t_stat", "(n - 2)")} AS p_value FROM t""", "halfway"))
 def st_corr_target(spark, sf):
-    """Pearson r of every feature with the target in one pass, |r|, t statistic (X1, X2 r-part)."""
+    """Pearson r of every feature with the target from one Gram matrix, |r|, t statistic, p."""
     return st.corr_with_target(_feat(spark, sf, "halfway"), ALL_FEATS, "calculated_overdue")
 
 
 _GROUP_VALUES = ", ".join(f"('{c}', '{g}')" for g, cs in FEATURE_GROUPS.items() for c in cs)
 
 
-@register("st_corr_groups", round_cols=("best_abs_r", "mean_abs_r"), oracle=feat_with(f"""
-, r AS ({_corr_sql(ALL_FEATS)}), fgrp AS (SELECT * FROM (VALUES {_GROUP_VALUES}) v(feature, feature_group))
-SELECT feature_group, max(abs(pearson_r)) AS best_abs_r, avg(abs(pearson_r)) AS mean_abs_r,
-  arg_max(feature, (abs(pearson_r), feature)) AS best_feature, count(*) AS n_features
-FROM r JOIN fgrp USING (feature) GROUP BY 1""", "halfway"))
+@register("st_corr_groups", round_cols=("best_abs_r", "mean_abs_r", "best_p"), oracle=feat_with(f"""
+, r AS ({_corr_sql(ALL_FEATS)}), n AS (SELECT count(*) AS n FROM feat), fgrp AS (SELECT * FROM (VALUES {_GROUP_VALUES}) v(feature, feature_group)),
+g AS (SELECT feature_group, max(abs(pearson_r)) AS best_abs_r, avg(abs(pearson_r)) AS mean_abs_r,
+  arg_max(feature, (abs(pearson_r), feature)) AS best_feature, count(*) AS n_features FROM r JOIN fgrp USING (feature) GROUP BY 1),
+t AS (SELECT g.*, n, best_abs_r * sqrt((n - 2) / (1 - best_abs_r * best_abs_r)) AS t FROM g CROSS JOIN n)
+SELECT * EXCLUDE (n, t), {_student_sql("t", "(n - 2)")} AS best_p FROM t""", "halfway"))
 def st_corr_groups(spark, sf):
-    """Per feature group: best and mean |r| and the best feature."""
+    """Per feature group: best and mean |r|, the best feature and its p."""
     c = st.corr_with_target(_feat(spark, sf, "halfway"), ALL_FEATS, "calculated_overdue")
     gm = spark.createDataFrame([(c_, g) for g, cs in FEATURE_GROUPS.items() for c_ in cs],
                                ["feature", "feature_group"])
     return (c.join(F.broadcast(gm), "feature").groupBy("feature_group").agg(
         F.max("abs_r").alias("best_abs_r"), F.avg("abs_r").alias("mean_abs_r"),
         F.max_by("feature", F.struct("abs_r", "feature")).alias("best_feature"),
-        F.count(F.lit(1)).alias("n_features")))
+        F.count(F.lit(1)).alias("n_features"), F.max_by("p_value", F.struct("abs_r", "feature")).alias("best_p")))
 
 
 _PAIR_COLS = NUMERIC_FEATS
@@ -94,55 +100,43 @@ def st_high_corr_pairs(spark, sf):
     return p.filter(F.abs("r") > 0.75).orderBy(F.abs("r").desc())
 
 
-@register("st_binary_signal", round_cols=("pb_r", "rate_when_1", "rate_when_0", "lift"), oracle=feat_with("""
+_YATES = "o + sign(e - o) * least(0.5, abs(e - o))"
+
+
+@register("st_binary_signal", round_cols=("pb_r", "pb_p", "chi2_p", "rate_when_1", "rate_when_0", "lift"), oracle=feat_with("""
 , b AS (""" + " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(calculated_overdue AS DOUBLE)) AS pb_r, count(*) AS n,
-  avg(calculated_overdue) FILTER (WHERE {c} = 1) AS rate_when_1, avg(calculated_overdue) FILTER (WHERE {c} = 0) AS rate_when_0 FROM feat"""
-    for c in BINARY_FEATS) + """)
-SELECT feature, pb_r, rate_when_1, rate_when_0, rate_when_1 / greatest(rate_when_0, 0.001) AS lift,
-  CASE WHEN abs(pb_r) > 0.05 AND abs(pb_r * sqrt((n - 2) / (1 - pb_r * pb_r))) > 1.959964 THEN 'STRONG' ELSE 'WEAK' END AS signal
-FROM b WHERE rate_when_1 IS NOT NULL AND rate_when_0 IS NOT NULL""", "halfway"))
+  count(*) FILTER (WHERE {c} = 1 AND calculated_overdue = 1) AS n11, count(*) FILTER (WHERE {c} = 1) AS f1, sum(calculated_overdue) AS y1,
+  avg(calculated_overdue) FILTER (WHERE {c} = 1) AS rate_when_1, avg(calculated_overdue) FILTER (WHERE {c} = 0) AS rate_when_0 FROM feat
+  HAVING bool_and({c} IS NOT NULL AND {c} IN (0, 1)) AND min({c}) <> max({c})"""
+    for c in NUMERIC_FEATS) + f"""),
+cells AS (SELECT feature, n11 AS o, f1 * y1 / n AS e FROM b UNION ALL SELECT feature, f1 - n11, f1 * (n - y1) / n FROM b
+  UNION ALL SELECT feature, y1 - n11, (n - f1) * y1 / n FROM b UNION ALL SELECT feature, n - f1 - y1 + n11, (n - f1) * (n - y1) / n FROM b),
+chi AS (SELECT feature, sum(({_YATES} - e) * ({_YATES} - e) / e) AS x FROM cells GROUP BY 1),
+p AS (SELECT feature, pb_r, {_student_sql("(pb_r * sqrt((n - 2) / (1 - pb_r * pb_r)))", "(n - 2)")} AS pb_p, {_chi2_p_sql("x", "1")} AS chi2_p,
+  rate_when_1, rate_when_0, rate_when_1 / greatest(rate_when_0, 0.001) AS lift FROM b JOIN chi USING (feature))
+SELECT *, CASE WHEN abs(pb_r) > 0.05 AND chi2_p < 0.05 THEN 'STRONG' ELSE 'WEAK' END AS signal FROM p""", "halfway"))
 def st_binary_signal(spark, sf):
-    """Point-biserial r, rate when 1 / 0, lift and STRONG/WEAK (|r| > .05 and
-    two-sided p < .05 by the large-sample t test) for binary features (X4)."""
-    f = _feat(spark, sf, "halfway")
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in BINARY_FEATS:
-        aggs += [F.corr(F.col(c).cast("double"), F.col("calculated_overdue").cast("double")).alias(f"{c}|pb_r"),
-                 F.avg(F.when(F.col(c) == 1, F.col("calculated_overdue"))).alias(f"{c}|rate_when_1"),
-                 F.avg(F.when(F.col(c) == 0, F.col("calculated_overdue"))).alias(f"{c}|rate_when_0")]
-    one = f.agg(*aggs)
-    long = _stack(one, BINARY_FEATS, ["pb_r", "rate_when_1", "rate_when_0"]).crossJoin(one.select("_n"))
-    t = F.abs(F.col("pb_r") * F.sqrt((F.col("_n") - 2) / (1 - F.col("pb_r") * F.col("pb_r"))))
-    return (long.filter(F.col("rate_when_1").isNotNull() & F.col("rate_when_0").isNotNull())
-            .select("feature", "pb_r", "rate_when_1", "rate_when_0",
-                    (F.col("rate_when_1") / F.greatest(F.col("rate_when_0"), F.lit(0.001))).alias("lift"),
-                    F.when((F.abs("pb_r") > 0.05) & (t > 1.959964), "STRONG").otherwise("WEAK").alias("signal")))
-
-
-_CHI_FEATS = ("has_subtasks", "is_cross_dept", "kpi_is_overdue_flag", "status_encoded")
+    """Point-biserial r and p, chi-square p, rate when 1 / 0, lift and STRONG/WEAK (|r| > .05
+    and p < .05) of every feature that is binary in the data (X4)."""
+    return st.binary_signals(_feat(spark, sf, "halfway"), NUMERIC_FEATS, "calculated_overdue")
 
 
 def _chi_sql(c):
     return f"""SELECT '{c}' AS feature, sum((adj - e) * (adj - e) / e) AS chi2, max(dof) AS dof FROM (
-  SELECT g.*, rf * cy / n AS e, CAST((kf - 1) * (ky - 1) AS BIGINT) AS dof,
-    CASE WHEN (kf - 1) * (ky - 1) = 1 THEN o + 0.5 * sign(rf * cy / n - o) ELSE o END AS adj FROM (
-    SELECT r.f, c.y, r.rf, c.cy, t.n, t.kf, t.ky, coalesce(ct.o, 0) AS o
+  SELECT *, CASE WHEN dof = 1 THEN {_YATES} ELSE o END AS adj FROM (
+    SELECT rf * cy / n AS e, CAST((kf - 1) * (ky - 1) AS BIGINT) AS dof, coalesce(ct.o, 0) AS o
     FROM (SELECT {c} AS f, count(*) AS rf FROM feat GROUP BY 1) r
     CROSS JOIN (SELECT calculated_overdue AS y, count(*) AS cy FROM feat GROUP BY 1) c
     CROSS JOIN (SELECT count(*) AS n, count(DISTINCT {c}) AS kf, count(DISTINCT calculated_overdue) AS ky FROM feat) t
     LEFT JOIN (SELECT {c} AS f, calculated_overdue AS y, count(*) AS o FROM feat GROUP BY 1, 2) ct ON ct.f = r.f AND ct.y = c.y) g)"""
 
 
-@register("st_chi2", round_cols=("chi2",), oracle=feat_with("\n" + " UNION ALL ".join(_chi_sql(c) for c in _CHI_FEATS), "halfway"))
+@register("st_chi2", round_cols=("chi2", "p_value"), oracle=feat_with(
+    "\n, x AS (" + " UNION ALL ".join(_chi_sql(c) for c in BINARY_FEATS + CATEGORY_FEATS) + f") SELECT *, {_chi2_p_sql('chi2', 'dof')} AS p_value FROM x", "halfway"))
 def st_chi2(spark, sf):
-    """Chi-square statistic of feature x target tables; Yates for 2x2 as scipy."""
-    f = _feat(spark, sf, "halfway")
-    out = None
-    for c in _CHI_FEATS:
-        x = st.chi2_2xk(f, c, "calculated_overdue").withColumn("dof", F.col("dof").cast("bigint"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """Chi-square test of every binary and categorical feature x target; Yates for 2x2 as scipy."""
+    return st.chi2_tests(_feat(spark, sf, "halfway"), BINARY_FEATS + CATEGORY_FEATS, "calculated_overdue")
 
 
 _SIG_SQL = f"""WITH b AS (SELECT t.id, CAST({TWO_TIER} AS DOUBLE) AS y,
@@ -193,53 +187,40 @@ def st_signal_class(spark, sf):
                           .otherwise("LOW"))
 
 
-_VERDICT_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in VERDICT_MAP.items())
-
-
 @register("st_feature_verdict", round_cols=("abs_r", "variance", "pct_zero"), oracle=feat_with(f"""
 , p AS (""" + " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, abs(corr(CAST({c} AS DOUBLE), CAST(calculated_overdue AS DOUBLE))) AS abs_r,
-  var_samp({c}) AS variance, avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END) * 100 AS pct_zero FROM feat""" for c in ALL_FEATS) + f"""),
-vm AS (SELECT * FROM (VALUES {_VERDICT_VALUES}) v(feature, curated))
-SELECT p.feature, p.abs_r, p.variance, p.pct_zero,
-  coalesce(vm.curated, CASE WHEN p.variance IS NULL OR p.variance < 0.001 OR p.pct_zero > 95 THEN 'DROP'
-    WHEN p.abs_r > 0.1 THEN 'USE' WHEN p.abs_r > 0.05 THEN 'CONSIDER' ELSE 'WEAK' END) AS verdict
-FROM p LEFT JOIN vm USING (feature)""", "halfway"))
+  var_samp({c}) AS variance, avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END) * 100 AS pct_zero FROM feat""" for c in NUMERIC_FEATS) + f"""),
+vm AS ({CURATED_VERDICTS_SQL})
+SELECT coalesce(p.feature, vm.feature) AS feature, p.abs_r, p.variance, p.pct_zero, coalesce(vm.verdict, 'USE') AS verdict,
+  coalesce(vm.reason, 'Default — standard feature') AS reason, p.feature IS NOT NULL AS in_dataset
+FROM p FULL JOIN vm ON vm.feature = p.feature""", "halfway"))
 def st_feature_verdict(spark, sf):
-    """Feature verdict: |r|, variance and sparsity joined with the curated verdict
-    map, rule-based where not curated (X7)."""
+    """Feature verdicts with reasons: the curated map, USE where it has no entry, beside
+    |r|, variance and sparsity of the features that the dataset holds (X7)."""
     f = _feat(spark, sf, "halfway")
     aggs = []
-    for c in ALL_FEATS:
+    for c in NUMERIC_FEATS:
         aggs += [F.abs(F.corr(F.col(c).cast("double"), F.col("calculated_overdue").cast("double"))).alias(f"{c}|abs_r"),
                  F.var_samp(F.col(c).cast("double")).alias(f"{c}|variance"),
                  (F.avg((F.col(c) == 0).cast("double")) * 100).alias(f"{c}|pct_zero")]
-    p = _stack(f.agg(*aggs), ALL_FEATS, ["abs_r", "variance", "pct_zero"])
-    vm = spark.createDataFrame(list(VERDICT_MAP.items()), ["feature", "curated"])
-    rule = (F.when(F.col("variance").isNull() | (F.col("variance") < 0.001) | (F.col("pct_zero") > 95), "DROP")
-            .when(F.col("abs_r") > 0.1, "USE").when(F.col("abs_r") > 0.05, "CONSIDER").otherwise("WEAK"))
-    return (p.join(F.broadcast(vm), "feature", "left")
-            .select("feature", "abs_r", "variance", "pct_zero", F.coalesce("curated", rule).alias("verdict")))
-
-
-_REG_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in LEAK_REGISTER.items())
+    p = _stack(f.agg(*aggs), NUMERIC_FEATS, ["abs_r", "variance", "pct_zero"]).withColumn("in_dataset", F.lit(True))
+    vm = spark.createDataFrame([(k, *v) for k, v in FEATURE_VERDICTS.items()], "feature string, verdict string, reason string")
+    return p.join(vm, "feature", "full").select("feature", "abs_r", "variance", "pct_zero", F.coalesce("verdict", F.lit("USE")).alias("verdict"),
+                                                F.coalesce("reason", F.lit("Default — standard feature")).alias("reason"),
+                                                F.coalesce("in_dataset", F.lit(False)).alias("in_dataset"))
 
 
-@register("st_leak_register", oracle=_LEAK_SQL + f"""
-SELECT reg.risk, count(DISTINCT reg.feature) AS n_features, count(DISTINCT lk.feature) AS n_measured,
-  CAST(coalesce(sum(lk.leaked_tasks), 0) AS BIGINT) AS leaked_tasks
-FROM (VALUES {_REG_VALUES}) reg(feature, risk)
-LEFT JOIN (SELECT feature, count(*) FILTER (WHERE leak > 0) AS leaked_tasks FROM lk GROUP BY 1) lk USING (feature)
-GROUP BY 1""")
+@register("st_leak_register", oracle=_LEAK_SQL + f""", reg AS ({LEAK_REGISTER_SQL})
+SELECT reg.risk, reg.feature, reg.mitigation, m.leaked_tasks, CAST(count(*) OVER (PARTITION BY reg.risk) AS BIGINT) AS n_of_risk
+FROM reg LEFT JOIN (SELECT feature, count(*) FILTER (WHERE leak > 0) AS leaked_tasks FROM lk GROUP BY 1) m USING (feature)""")
 def st_leak_register(spark, sf):
-    """Leakage register (feature -> risk) joined with the measured leak per
-    feature; counts per risk level (X8)."""
+    """Leakage register (feature, risk, mitigation) with the measured leak where there is
+    one, and the number of features of each risk (X8)."""
     lk = _leak_long(spark, sf).groupBy("feature").agg(F.count_if(F.col("leak") > 0).alias("leaked_tasks"))
-    reg = spark.createDataFrame(list(LEAK_REGISTER.items()), ["feature", "risk"])
-    j = reg.join(lk.withColumn("_m", F.col("feature")), "feature", "left")
-    return j.groupBy("risk").agg(F.count_distinct("feature").alias("n_features"),
-                                 F.count_distinct("_m").alias("n_measured"),
-                                 F.coalesce(F.sum("leaked_tasks"), F.lit(0)).cast("bigint").alias("leaked_tasks"))
+    reg = spark.createDataFrame([(k, *v) for k, v in LEAK_REGISTER.items()], "feature string, risk string, mitigation string")
+    sizes = reg.groupBy("risk").agg(F.count("*").alias("n_of_risk"))
+    return reg.join(lk, "feature", "left").join(sizes, "risk").select("risk", "feature", "mitigation", "leaked_tasks", "n_of_risk")
 
 
 @register("st_feature_summary", round_cols=("null_pct", "pearson_r"), oracle=feat_with(f"""
