@@ -56,11 +56,12 @@ def target_encode_oof(df: DataFrame, group: str, target: str, fold: str, out: st
 
 def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     """pandas .cat.codes: alphabetical dense code over distinct values, NULL -> -1.
-    The window runs over the distinct values only (bounded by the cardinality)."""
-    d = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    codes = d.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(out))
-    return (df.join(codes, df[col].eqNullSafe(codes[col]), "left").drop(codes[col])
-            .withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("int")))
+    The distinct values are numbered across range partitions."""
+    from ..operators.windows import global_row_number
+    d = df.select(F.col(col).alias("_value")).where("_value is not null").distinct()
+    codes = global_row_number(d, ["_value"], "_code")
+    return (df.join(codes, F.col(col) == F.col("_value"), "left")
+            .withColumn(out, F.coalesce(F.col("_code") - 1, F.lit(-1)).cast("int")).drop("_value", "_code"))
 
 
 def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:

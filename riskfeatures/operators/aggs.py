@@ -37,23 +37,18 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles=(0.25, 0.5, 0.75))
     return _stack(one, cols, fields)
 
 
-def column_profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Per column: rows, non-null count, null %, distinct count, dtype (one pass)."""
+def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Per column: rows, non-null count, null %, distinct count, dtype.  Values go long as
+    (column, value), equal ones are counted together, then counted per column: one scan
+    and one shuffle of distinct pairs, whatever the number of columns."""
     cols = list(cols or df.columns)
-    types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for c in cols:
-        d = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"{c}|non_null"), d.alias(f"{c}|n_distinct")]
-    one = df.agg(*aggs)
-    long = _stack(one.select("*", *[F.lit(types[c]).alias(f"{c}|dtype") for c in cols]),
-                  cols, ["non_null", "n_distinct", "dtype"], key="column")
-    return (long.crossJoin(one.select("_rows"))
-            .select("column", "dtype", F.col("_rows").alias("n_rows"), "non_null",
-                    ((F.col("_rows") - F.col("non_null")) * 100.0 / F.col("_rows")).alias("null_pct"),
-                    "n_distinct",
-                    (F.col("n_distinct") == 1).alias("is_constant"),
-                    (F.col("n_distinct") == 2).alias("is_binary")))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.col(c).cast("string").alias("v"))
+                      for c in cols])
+    pairs = df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.dtype", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    per = pairs.groupBy("column", "dtype").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.count("v").alias("n_distinct"))
+    return per.select("column", "dtype", "n_rows", "non_null", ((F.col("n_rows") - F.col("non_null")) * 100.0 / F.col("n_rows")).alias("null_pct"),
+                      "n_distinct", (F.col("n_distinct") == 1).alias("is_constant"), (F.col("n_distinct") == 2).alias("is_binary"))
 
 
 def corrected_skew(x: Column) -> Column:

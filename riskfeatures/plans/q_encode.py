@@ -410,14 +410,12 @@ def an_upstream_rates(spark, sf):
     m = r.milestone.select(F.col("id").alias("_mid"), "ksi_id")
     x = (b.join(ma, F.col("major_activity_id") == F.col("_maid"), "left").join(k, F.col("kpi_id") == F.col("_kid"), "left")
          .join(m, F.col("milestone_id") == F.col("_mid"), "left"))
-    pil = r.goal_pillar.groupBy("goal_id").agg(F.collect_list(F.col("pillar_id").cast("bigint")).alias("_pillars"))
-    x = x.join(pil, "goal_id", "left")
     dims = F.array(F.struct(F.lit("milestone").alias("dimension"), F.col("milestone_id").cast("bigint").alias("value")),
                    F.struct(F.lit("ksi").alias("dimension"), F.col("ksi_id").cast("bigint").alias("value")),
                    F.struct(F.lit("goal").alias("dimension"), F.col("goal_id").cast("bigint").alias("value")))
-    pills = F.transform(F.coalesce("_pillars", F.array().cast("array<bigint>")),
-                        lambda p: F.struct(F.lit("pillar").alias("dimension"), p.alias("value")))
-    e = x.select(F.explode(F.concat(dims, pills)).alias("_d"), "calculated_overdue").select("_d.*", "calculated_overdue")
+    e = x.select(F.explode(dims).alias("_d"), "calculated_overdue").select("_d.*", "calculated_overdue")
+    bridge = r.goal_pillar.select(F.col("goal_id").alias("_gid"), F.col("pillar_id").cast("bigint").alias("value"))
+    e = e.unionByName(x.join(bridge, F.col("goal_id") == F.col("_gid")).select(F.lit("pillar").alias("dimension"), "value", "calculated_overdue"))
     return (e.filter(F.col("value").isNotNull()).groupBy("dimension", "value")
             .agg(F.count(F.lit(1)).alias("num_tasks"), F.avg("calculated_overdue").alias("overdue_rate")))
 

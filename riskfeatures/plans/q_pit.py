@@ -287,13 +287,15 @@ _LEAK_SQL = W + """, uncut AS (
     (SELECT count(*) FROM task_history h WHERE h.history_relation_id = b.id) AS rev_all,
     (SELECT count(*) FROM comment c WHERE c.object_id = b.id AND c.content_type_id = 24) AS com_all,
     (SELECT count(*) FROM sub_task s WHERE s.task_id = b.id) AS sub_all,
-    (SELECT count(*) FROM major_activity_history m WHERE m.id = b.major_activity_id) AS ma_all
+    (SELECT count(*) FROM major_activity_history m WHERE m.id = b.major_activity_id) AS ma_all,
+    (SELECT count(*) FROM kpi_history k JOIN major_activity a ON a.kpi_id = k.id WHERE a.id = b.major_activity_id) AS kpi_all
   FROM base b),
 lk AS (
   SELECT w.id, 'num_revisions' AS feature, u.rev_all - w.num_revisions_at_creation AS leak FROM wide w JOIN uncut u USING (id)
   UNION ALL SELECT w.id, 'task_comment_count', u.com_all - w.task_comment_count_at_creation FROM wide w JOIN uncut u USING (id)
   UNION ALL SELECT w.id, 'num_subtasks', u.sub_all - w.num_subtasks_at_creation FROM wide w JOIN uncut u USING (id)
-  UNION ALL SELECT w.id, 'num_ma_revisions', u.ma_all - w.num_ma_revisions_at_creation FROM wide w JOIN uncut u USING (id))
+  UNION ALL SELECT w.id, 'num_ma_revisions', u.ma_all - w.num_ma_revisions_at_creation FROM wide w JOIN uncut u USING (id)
+  UNION ALL SELECT w.id, 'num_kpi_revisions', u.kpi_all - w.num_kpi_revisions_at_creation FROM wide w JOIN uncut u USING (id))
 """
 
 
@@ -330,15 +332,17 @@ def _leak_long(spark, sf):
          .join(cnt(r.comment, "object_id", "com_all", F.col("content_type_id") == CONTENT_TYPE["task"]),
                F.col("id") == F.col("_k"), "left").drop("_k")
          .join(cnt(r.sub_task, "task_id", "sub_all"), F.col("id") == F.col("_k"), "left").drop("_k")
-         .join(cnt(r.major_activity_history, "id", "ma_all"), F.col("major_activity_id") == F.col("_k"), "left")
-         .drop("_k"))
+         .join(cnt(r.major_activity_history, "id", "ma_all"), F.col("major_activity_id") == F.col("_k"), "left").drop("_k")
+         .join(r.major_activity.select(F.col("id").alias("_ma"), "kpi_id"), F.col("major_activity_id") == F.col("_ma"), "left").drop("_ma")
+         .join(cnt(r.kpi_history, "id", "kpi_all"), F.col("kpi_id") == F.col("_k"), "left").drop("_k", "kpi_id"))
     j = w.join(u, "id")
     z = F.lit(0)
-    return j.select("id", F.expr("""stack(4,
+    return j.select("id", F.expr("""stack(5,
         'num_revisions', coalesce(rev_all, 0) - num_revisions_at_creation,
         'task_comment_count', coalesce(com_all, 0) - task_comment_count_at_creation,
         'num_subtasks', coalesce(sub_all, 0) - num_subtasks_at_creation,
-        'num_ma_revisions', coalesce(ma_all, 0) - num_ma_revisions_at_creation)""").alias("feature", "leak")
+        'num_ma_revisions', coalesce(ma_all, 0) - num_ma_revisions_at_creation,
+        'num_kpi_revisions', coalesce(kpi_all, 0) - num_kpi_revisions_at_creation)""").alias("feature", "leak")
                     ).withColumn("leak", F.col("leak") + z)
 
 
