@@ -46,14 +46,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Remove tables that ``stored`` wrote, once nothing unwritten depends on them.  Spark
-    drops the shuffle files of finished jobs when the driver collects garbage, so it is asked to."""
+    """Remove tables that ``stored`` wrote, once nothing unwritten depends on them."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of finished jobs when the driver collects garbage;
+    between large steps it is asked to."""
+    spark._jvm.System.gc()
 
 
 def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
