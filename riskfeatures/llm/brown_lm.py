@@ -36,7 +36,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_arrow, stored
+from .common import drop_shuffles, forget, map_arrow, stored
 from .jaccard_join import BLOCK_BITS, _lists
 from .wordhash import mix, parts, word_hashes
 
@@ -521,6 +521,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
                               partial(_counts, least=least, classes=classes),
                               "kind int, block long, words array<long>, counts array<long>"), "word-totals")
     forget(sent)
+    drop_shuffles(docs.sparkSession)
     n_words = counts.where("kind = 1").agg(F.coalesce(F.sum(F.col("counts")[0]), F.lit(0))).first()[0]
     top = (counts.where("kind = 1").select(F.explode(F.slice(F.arrays_zip("words", "counts"), 2, classes)).alias("x"))
            .orderBy(F.desc("x.counts"), "x.words").limit(max(0, classes - 2)).select("x.words").collect())
@@ -543,6 +544,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     asked = stored(map_arrow(counts.where("kind = 0").select("block", "words", "counts"), partial(_block_keys, least=least, bits=bits),
                              "bucket int, block long, keys binary, classes binary"), "block-keys")
     forget(texts, counts)
+    drop_shuffles(docs.sparkSession)
     cls, table, of_class, spelled, seen = _clustered(rows, asked, classes, bits, start, rare, total, sweeps, parts)
     replies = stored(map_arrow(asked.select("bucket", "block", "keys").repartition("bucket").join(cls, "bucket"),
                                partial(_answers, out=("block", "keys", "classes")), "block long, keys binary, classes binary"), "classes")
@@ -560,6 +562,7 @@ def _clustered(rows, asked, classes, bits, start, rare, total, sweeps, parts):
     sent = stored(map_arrow(_by_block(rows.where("not held"), asked, "symbols"), partial(_bigrams, bits=bits), BIGRAM_ROWS), "block-bigrams")
     bigrams = stored(map_arrow(sent.repartition(ranges, "bucket").sortWithinPartitions("bucket"), _merged, BIGRAM_ROWS), "bigrams")
     forget(sent)
+    drop_shuffles(rows.sparkSession)
     wanted = stored(map_arrow(bigrams.select("bucket", "others"), partial(_neighbours, bits=bits), "bucket int, block long, keys binary"), "neighbours")
     cls = stored(map_arrow(bigrams.select("bucket", "keys"), partial(_started, start=start), "bucket int, symbols binary, classes binary"), "symbol-classes")
     # read in every round; recomputed from the stored tables when an executor is lost
