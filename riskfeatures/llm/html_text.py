@@ -18,6 +18,7 @@ result; pages of any length are read whole; other columns take no part.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -88,6 +89,8 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, tuple]] = []
+        self.open: Counter[str] = Counter()    # of every tag on the stack
+        self.around: list[str] = []            # the block tags on the stack
         self.skip = ""       # tag or "class" that hides what follows
         self.inside = False  # of article or main
         self.article = False
@@ -109,6 +112,9 @@ class _Page(HTMLParser):
         if tag == "p" and self.stack and self.stack[-1][0] == "p":
             self._pop()
         self.stack.append((tag, (self.skip, self.inside, self.article, self.link)))
+        self.open[tag] += 1
+        if tag in BLOCK_TAGS:
+            self.around.append(tag)
         if tag in ("article", "main"):
             if self.skip in ("class", "form"):
                 self.skip = ""
@@ -128,7 +134,7 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
-        if any(t == tag for t, _ in self.stack):
+        if self.open[tag]:
             while self.stack[-1][0] != tag:
                 if tag not in BLOCK_TAGS and self.stack[-1][0] in BLOCK_TAGS:
                     return  # an inline end tag closes no block
@@ -136,7 +142,11 @@ class _Page(HTMLParser):
             self._pop()
 
     def _pop(self):
-        self.skip, self.inside, self.article, self.link = self.stack.pop()[1]
+        tag, state = self.stack.pop()
+        self.skip, self.inside, self.article, self.link = state
+        self.open[tag] -= 1
+        if tag in BLOCK_TAGS:
+            self.around.pop()
 
     def handle_data(self, data):
         if self.skip:
@@ -144,8 +154,7 @@ class _Page(HTMLParser):
         if self.now is None:
             if not data.strip():
                 return
-            tag = next((t for t, _ in reversed(self.stack) if t in BLOCK_TAGS), "body")
-            self.now = Block(tag, self.inside)
+            self.now = Block(self.around[-1] if self.around else "body", self.inside)
         self.now.parts.append(data)
         if self.link:
             self.now.linked += len(data)
@@ -190,7 +199,7 @@ def main_text(html: str) -> str:
         if label is None:
             p, q = before[i], after[i]
             near = [j for j in (p, q) if j is not None]
-            if not near or blocks[i].inside and blocks[i].tag not in ("li", "td", "th"):
+            if not near:
                 label = True
             elif blocks[i].tag in HEADINGS and q is not None:
                 label = first[q]  # a heading goes with what follows it
