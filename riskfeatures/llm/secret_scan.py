@@ -48,7 +48,7 @@ _NEXT = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/_-]+)")
 _PAD = re.compile(r"={0,2}")
 _INNER = re.compile(r"(?<=[/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)")
 _LONG_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s|\\[nr])*(?:[A-Za-z0-9-]+:[^\n\\]*(?:\r?\n|(?:\\r)?\\n)[ \t]*)*)([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s|\\[nr])*+(?:[A-Za-z0-9-]+:[^\n\\]*(?:\r?\n|(?:\\r)?\\n)(?:\s|\\[nr])*+)*)([A-Za-z0-9+/=][A-Za-z0-9+/=\s\\]*+)-----END \1-----")
 # Object identifiers (DER bytes) of key algorithms: RSA, EC, Ed25519, X25519, DSA.
 _KEY_OIDS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b6570"),
              bytes.fromhex("2b656e"), bytes.fromhex("2a8648ce380401"))
@@ -118,18 +118,32 @@ def is_key_container(data: bytes) -> bool:
     return at + 8 <= len(data) and 1 <= int.from_bytes(data[at:at + 4], "big") <= 16
 
 
-def _container_end(data: bytes) -> int | None:
-    """Where the fields of a key container end, if they fit."""
+def _container(body: str, p: int) -> tuple[bool, int | None]:
+    """Whether a private-key container starts at ``p`` of base64 text (marker, then
+    length-prefixed fields that fit), and the bytes up to the end of its last field, if that
+    fits.  Decodes the lengths only, so it takes a few steps wherever it starts."""
+    size = (len(body) - p) // 4 * 3
+
+    def number(at: int) -> int | None:
+        if at + 4 > size:
+            return None
+        got = _b64(body[p + at // 3 * 4:p + at // 3 * 4 + 8])
+        return None if got is None else int.from_bytes(got[at % 3:at % 3 + 4].ljust(4, b"\0"), "big")
+
     at = len(_CONTAINER)
-    n = 3
-    for i in range(2):
-        for _ in range(n):
-            if at + 4 > len(data):
-                return None
-            at += 4 + int.from_bytes(data[at:at + 4], "big")
-        if i == 0:
-            n, at = int.from_bytes(data[at:at + 4], "big") + 1, at + 4  # public keys and the private part
-    return at if at <= len(data) else None
+    for _ in range(3):  # cipher, key derivation and its options
+        if (n := number(at)) is None:
+            return False, None
+        at += 4 + n
+    keys = number(at)
+    if keys is None or at + 8 > size or not 1 <= keys <= 16:
+        return False, None
+    at += 4
+    for _ in range(keys + 1):  # public keys and the private part
+        if (n := number(at)) is None:
+            return True, None
+        at += 4 + n
+    return True, at if at <= size else None
 
 
 def _base64_spans(text: str) -> list[tuple[int, int, str]]:
@@ -152,8 +166,10 @@ def _base64_spans(text: str) -> list[tuple[int, int, str]]:
                 if "M" == joined[p] and "A" <= joined[p + 1:p + 2] <= "P":
                     size, kind = _der_size(_b64(joined[p:p + 8])), "der_key"
                 elif joined.startswith(_CONTAINER_B64, p):
-                    data, kind = _b64(joined[p:p + (len(joined) - p) // 4 * 4]), "key_container"
-                    size = _container_end(data) if data and is_key_container(data) else None
+                    kind = "key_container"
+                    fits, size = _container(joined, p)
+                    if not fits:
+                        continue
                 else:
                     continue
                 stop = p + -(-4 * size // 3) if size else 0
@@ -163,7 +179,7 @@ def _base64_spans(text: str) -> list[tuple[int, int, str]]:
                         continue
                     stop, last = ends[i], i  # the rest of the line, as it is
                 data = _b64(joined[p:stop])
-                if data is not None and (is_der_key(data) if kind == "der_key" else is_key_container(data)):
+                if data is not None and (is_der_key(data) if kind == "der_key" else _container(joined[:stop], p)[0]):
                     out.append((s + p - head, _PAD.match(text, lines[last][1]).end(), kind))
                     done = stop
     return out
