@@ -332,9 +332,9 @@ def feature_table(spark, sf_dir: str, as_of=AS_OF) -> DataFrame:
     written as Parquet into the cluster's shared ``spark.checkpoint.dir``
     (survives executor loss; downstream analytics read the columns they need
     instead of re-running the PIT plan)."""
-    from ..session import stored_table
+    from ..session import state_of, stored_table
     from ..sources.roles import roles
-    key = (spark.sparkContext.applicationId, sf_dir, str(as_of))
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, sf_dir), str(as_of))
     if key not in _MEMO:
         _MEMO[key] = stored_table(leak_free_wide(roles(spark, sf_dir), as_of, store=stored_table), "features")
     return _MEMO[key]

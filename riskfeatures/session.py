@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -63,8 +64,36 @@ def cut_lineage(df, spark: SparkSession | None = None):
 
 def stored_table(df, name: str):
     """``df`` written as Parquet into the shared folder and read back: cuts the
-    lineage, survives executor loss, and later scans read only their columns."""
+    lineage, survives executor loss, and later scans read only their columns.  The
+    application's tables are removed when the driver program ends."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_folders: dict[str, str] = {}
+
+
+def application_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{app}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # still running
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in ``folder``: answers that are kept for a
+    folder hold for one state of it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    total = fs.getContentSummary(path)
+    return (total.getLength(), total.getFileCount(), *sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path)))

@@ -66,9 +66,20 @@ ARTIFACT_SCHEMAS = {
     "confusion_matrix": "actual string, predicted_0 long, predicted_1 long",
     "feature_importance": "feature string, importance double",
     "predictions": "id long, label int, score double",
+    "shap_matrix": "id long, feature string, value double",
 }
 
 
+def load_matrix_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A matrix artifact, a row per ``id`` and a column per feature (such as exported SHAP
+    values), in the long form of ``shap_matrix``; empty frame when absent."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], ARTIFACT_SCHEMAS["shap_matrix"])
+    wide = spark.read.option("header", True).csv(path)
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in wide.columns if c != "id"]
+    return wide.select(F.col("id").cast("long"), F.explode(F.array(*cells)).alias("x")).select("id", "x.feature", "x.value")
+
+
 def load_artifact_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Artifact CSV with the per-artifact schema; empty frame when absent."""
     schema = ARTIFACT_SCHEMAS[kind]

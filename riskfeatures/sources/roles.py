@@ -13,13 +13,14 @@ from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import state_of
 from .role_sql import ROLE_SQL
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
 
-_REGISTERED: dict[str, str] = {}
+_REGISTERED: dict[str, tuple] = {}
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
@@ -31,13 +32,13 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
 
 
 def register_roles(spark: SparkSession, sf_dir: str) -> None:
-    key = spark.sparkContext.applicationId
-    if _REGISTERED.get(key) == sf_dir:
+    key, state = spark.sparkContext.applicationId, (sf_dir, state_of(spark, sf_dir))
+    if _REGISTERED.get(key) == state:
         return
     register_tables(spark, sf_dir)
     for name, sql in ROLE_SQL.items():
         spark.sql(sql).createOrReplaceTempView(name)
-    _REGISTERED[key] = sf_dir
+    _REGISTERED[key] = state
 
 
 def roles(spark: SparkSession, sf_dir: str) -> SimpleNamespace:

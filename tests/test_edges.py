@@ -101,3 +101,27 @@ def test_cluster_needs_a_shared_folder():
         sparkContext = type("C", (), {"master": "spark://host:7077"})()
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Cluster())
+
+
+def test_artifacts_of_every_kind(spark, tmp_path):
+    from riskfeatures.sources import readers as rd
+    from riskfeatures.sources import sinks as sk
+    rows = {"roc_curve": [(0.0, 0.5, float("inf"))], "confusion_matrix": [("0", 3, 1)], "feature_importance": [("a", 0.25)],
+            "predictions": [(1, 0, 0.125)], "shap_matrix": [(1, "a", -0.5)]}
+    assert rows.keys() == rd.ARTIFACT_SCHEMAS.keys()
+    for kind, want in rows.items():
+        assert rd.load_artifact_csv(spark, str(tmp_path / kind), kind).count() == 0
+        sk.write_artifact_csv(spark.createDataFrame(want, rd.ARTIFACT_SCHEMAS[kind]), str(tmp_path / kind))
+        assert [tuple(r) for r in rd.load_artifact_csv(spark, str(tmp_path / kind), kind).collect()] == want
+    sk.write_artifact_csv(spark.createDataFrame([(1, 0.5, -1.0), (2, 0.0, None)], "id long, `f.a` double, b double"), str(tmp_path / "wide"))
+    got = sorted(rd.load_matrix_csv(spark, str(tmp_path / "wide")).where("value is not null").collect())
+    assert [tuple(r) for r in got] == [(1, "b", -1.0), (1, "f.a", 0.5), (2, "f.a", 0.0)]
+    assert rd.load_matrix_csv(spark, str(tmp_path / "none")).count() == 0 and rd.load_model(spark, str(tmp_path / "none")) is None
+
+
+def test_answers_follow_the_folder(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    before = session.state_of(spark, str(tmp_path))
+    assert before == session.state_of(spark, str(tmp_path))
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert before != session.state_of(spark, str(tmp_path))
