@@ -14,19 +14,20 @@ from pyspark.sql import functions as F
 from .ranges import scan
 
 
-def expanding_mean(df: DataFrame, group: str, ts: str, tie: str, values: Sequence[str],
+def expanding_mean(df: DataFrame, group: str | Sequence[str], ts: str, tie: str, values: Sequence[str],
                    out: Sequence[str] | None = None, keep: Sequence[str] = ("id",),
                    with_count: str | None = None) -> DataFrame:
     """Self-excluding expanding mean of ``values`` per ``group`` in (ts, tie) order:
     ``AVG(v) OVER (PARTITION BY g ORDER BY ts, tie ROWS BETWEEN UNBOUNDED PRECEDING
     AND 1 PRECEDING)``, and the number of earlier rows."""
     out = list(out or [f"{v}_expanding_mean" for v in values])
-    needed = dict.fromkeys([*keep, group, ts, tie, *values])
+    group = [group] if isinstance(group, str) else list(group)
+    needed = dict.fromkeys([*keep, *group, ts, tie, *values])
     running = {"_rows": ("sum", F.lit(1).cast("bigint"))}
     for i, v in enumerate(values):
         running[f"_s{i}"] = ("sum", F.col(v).cast("double"))
         running[f"_c{i}"] = ("sum", F.when(F.col(v).isNotNull(), 1).otherwise(0).cast("bigint"))
-    got = scan(df.select(*needed), [group], [ts, tie], running, inclusive=False, name="expanding")
+    got = scan(df.select(*needed), group, [ts, tie], running, inclusive=False, name="expanding")
     cols = [F.col(k) for k in keep]
     cols += [F.when(F.col(f"_c{i}") > 0, F.col(f"_s{i}") / F.col(f"_c{i}")).alias(o) for i, o in enumerate(out)]
     if with_count:

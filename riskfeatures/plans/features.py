@@ -11,11 +11,13 @@ Shuffle budget (dominant inputs are the history/event tables):
   * shared-key histories (MA, KPI, MA comments) use ``pit_merge`` — linear,
     no events x tasks pairs even on a hot KPI;
   * unique-key children (subtasks, task comments) use join + filtered counts;
-  * expanding group rates are two-level windows (no single-group task).
+  * expanding group rates come from one range scan (no single-group task).
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,13 +114,19 @@ def expanding_rates(r, as_of=AS_OF) -> DataFrame:
                    F.col("_puser").alias("assignee_id"),
                    lbl.two_tier(as_of=as_of).alias("is_overdue"),
                    F.coalesce("_nrev", F.lit(0)).alias("rev_count")))
-    dept = expanding_mean(raw, "dept_id", "created_date", "id", ["is_overdue", "rev_count"],
-                          ["dept_past_overdue_rate", "dept_avg_revisions"])
-    emp = expanding_mean(raw.filter(F.col("assignee_id").isNotNull()), "assignee_id",
-                         "created_date", "id", ["is_overdue"], ["emp_past_overdue_rate"])
-    posr = expanding_mean(raw.filter(F.col("position_id").isNotNull()), "position_id",
-                          "created_date", "id", ["is_overdue"], ["pos_past_overdue_rate"])
-    return (dept.join(emp, "id", "left").join(posr, "id", "left"))
+    return rates_of_groups(raw)
+
+
+def rates_of_groups(raw: DataFrame) -> DataFrame:
+    """Expanding rates by department (NULL is one), employee and position (NULL is none)
+    in one scan over (kind, key), back to one row per task."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).cast("bigint").alias("key")) for i, c in enumerate(("dept_id", "assignee_id", "position_id"))])
+    long = raw.select("id", "created_date", "is_overdue", "rev_count", F.explode(kinds).alias("g")).select(
+        "id", "created_date", "is_overdue", "rev_count", "g.kind", "g.key").where("kind = 0 or key is not null")
+    got = expanding_mean(long, ["kind", "key"], "created_date", "id", ["is_overdue", "rev_count"], ["rate", "revisions"], keep=("id", "kind"))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return got.groupBy("id").agg(of(0, "rate").alias("dept_past_overdue_rate"), of(0, "revisions").alias("dept_avg_revisions"),
+                                 of(1, "rate").alias("emp_past_overdue_rate"), of(2, "rate").alias("pos_past_overdue_rate"))
 
 
 def _enc_asof(snap, field: str, current: str, mapping) -> F.Column:
@@ -201,27 +209,22 @@ def leak_free_wide(r, as_of=AS_OF, impute: bool = True, store=None) -> DataFrame
     if store is not None:
         b = base = store(b, "labelled-base")
 
-    # expanding group rates over the same rows (two-level windows)
+    # expanding group rates over the same rows
     raw = b.select("id", "created_date", "position_id",
                    F.coalesce("_posdept", "department_id").alias("dept_id"), F.col("_puser").alias("assignee_id"),
                    lbl.two_tier(as_of=as_of).alias("is_overdue"),
                    F.coalesce("_rev_total", F.lit(0)).alias("rev_count"))
-    dept = expanding_mean(raw, "dept_id", "created_date", "id", ["is_overdue", "rev_count"],
-                          ["dept_past_overdue_rate", "dept_avg_revisions"])
-    emp = expanding_mean(raw.filter(F.col("assignee_id").isNotNull()), "assignee_id",
-                         "created_date", "id", ["is_overdue"], ["emp_past_overdue_rate"])
-    posr = expanding_mean(raw.filter(F.col("position_id").isNotNull()), "position_id",
-                          "created_date", "id", ["is_overdue"], ["pos_past_overdue_rate"])
-
     stf = subtask_features(r, base)
     chn = subtask_churn(r, base)
     ctf = comment_task_features(r, base)
-    par = parent_pass(r, b)
+    with ThreadPoolExecutor(2) as pool:  # two independent scans
+        rates, par = pool.submit(rates_of_groups, raw), pool.submit(parent_pass, r, b)
+        rates, par = rates.result(), par.result()
 
     w = b
     for f in (stf, chn, ctf, par):
         w = w.join(f, w["id"] == f["_tid"], "left").drop("_tid")
-    w = w.join(dept, "id", "left").join(emp, "id", "left").join(posr, "id", "left")
+    w = w.join(rates, "id", "left")
 
     cols = [
         "id", "calculated_overdue", "target_source",

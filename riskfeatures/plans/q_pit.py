@@ -243,7 +243,7 @@ def pit_count_parent(spark, sf):
   CAST(coalesce(kf.kr_h, 0) AS BIGINT) AS num_kpi_revisions_at_halfway FROM base b LEFT JOIN kpif kf ON kf.id = b.id""")
 def pit_count_kpi(spark, sf):
     """Grand-parent (KPI) revision count per task as of each cutoff — 25 hot keys,
-    handled by the two-level union scan (PT11, J11)."""
+    handled by one range scan of events and cutoffs (PT11, J11)."""
     r, b = _base(spark, sf)
     m = feat.shared_key_pit(r.kpi_history, "id", "history_date", ["history_id", "history_seq"],
                             _cut_long_ma(r, b), "kpi_id", prefix="kpi_")
