@@ -91,3 +91,37 @@ def test_split_cuts_equal_ranks(spark):
         n = len(ids)
         a, b = (n * 70 + 50) // 100, (n * 15 + 50) // 100
         assert [got[i] for i in ids] == ["train"] * a + ["val"] * b + ["test"] * (n - a - b)
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """Many rows get more range partitions than the session has shuffle partitions, and the
+    last value (text, some NULL, a key without times) is carried over every cut."""
+    from riskfeatures.operators import ranges
+    monkeypatch.setattr(ranges, "ROWS", 300)
+    t0 = dt.datetime(2020, 5, 5)
+    rows = [(i, i % 2 or None, None if i % 2 else t0 + dt.timedelta(seconds=i // 50), f"v{i}" if i % 7 == 0 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, g int, ts timestamp_ntz, v string").repartition(3)
+    got = scan(df, ["g"], ["ts", "id"], {"l": ("last", F.col("v")), "n": ("sum", F.lit(1).cast("bigint"))})
+    assert partitions(df) == 10 and got.select("part").distinct().count() > ranges.shuffle_partitions(df)
+    state, want = {}, {}
+    for i, g, _, v in sorted(rows, key=lambda r: r[0]):
+        last, n = state.get(g, (None, 0))
+        state[g] = want[i] = (v or last, n + 1)
+    assert {r.id: (r.l, r.n) for r in got.collect()} == want
+
+
+def test_totals_are_hashed(spark):
+    """No aggregate over all rows sorts them: first times and the parents' pivot have fixed-width
+    values; only a cut group's latest rows are compared in full."""
+    from riskfeatures.config import AS_OF
+    from riskfeatures.operators import cutoffs as cut
+    from riskfeatures.plans import features as feat
+    from riskfeatures.sources.roles import roles
+    from tests.scales import SF_SMALL
+    r = roles(spark, SF_SMALL)
+    base = cut.base_tasks(r.task, AS_OF).join(r.major_activity.select(F.col("id").alias("_maid"), "kpi_id"), F.col("major_activity_id") == F.col("_maid"), "left")
+    first = pit.churn_first_seen(r.sub_task_history, "id", "history_date", "status", ["history_id"])
+    for df in (first, feat.parent_pass(r, base)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan
+        assert all("key=[part#" in line for line in plan.splitlines() if "SortAggregate" in line)
