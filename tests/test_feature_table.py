@@ -74,3 +74,44 @@ def test_stored_base_holds_codes(spark):
         return stored_table(df, name)
     feat.leak_free_wide(roles(spark, SF_SMALL), store=store)
     assert [c for c, kind in kept["labelled-base"] if "string" in kind or "struct" in kind] == ["target_source"]
+
+
+def test_scan_window_reads_rows_where_they_lie(spark, monkeypatch):
+    """The stored range partitions are buckets: the window over them needs no exchange, and
+    their numbers ascend with the ranges."""
+    from riskfeatures.operators import ranges
+    monkeypatch.setattr(ranges, "BUCKETED", 0)
+    df = spark.createDataFrame([(i % 3 or None, i, float(i)) for i in range(300)], "g int, i int, v double")
+    running = {"s": ("sum", F.col("v")), "l": ("last", F.when(F.col("v") % 7 == 0, F.col("i"))), "m": ("max", F.col("v") % 50)}
+    got = scan(df, ["g"], ["i"], running)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(ranges, "BUCKETED", 1000)
+    both = [sorted(tuple(r) for r in x.drop("part").fillna(-1).collect()) for x in (got, scan(df, ["g"], ["i"], running))]
+    assert both[0] == both[1]
+    got = got.fillna(-1)
+    parts = got.groupBy("part").agg(F.min(F.struct("g", "i")).alias("a"), F.max(F.struct("g", "i")).alias("b")).orderBy("part").collect()
+    assert len(parts) > 1 and all(p.b < q.a for p, q in zip(parts, parts[1:]))
+
+
+def test_part_numbers_fall_into_different_buckets(spark):
+    from riskfeatures.operators.ranges import part_numbers
+    for n in (1, 2, 24, 200):
+        got = part_numbers(spark, n)
+        rows = spark.createDataFrame([(k,) for k in got], "k int").select(F.pmod(F.hash("k"), F.lit(n)).alias("b")).distinct().count()
+        assert got == sorted(got) and len(got) == rows == n
+
+
+def test_branches_join_the_stored_base_where_it_lies(spark, monkeypatch):
+    """The labelled base is stored in buckets of the task id; the final join does not move it."""
+    from riskfeatures.sources.roles import roles
+    from tests.scales import SF_SMALL
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = feat.leak_free_wide(roles(spark, SF_SMALL), store=feat.stored_by_id)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.splitlines()
+    wide = [i for i, line in enumerate(lines) if "labelled_base" in line and "calculated_overdue" in line and "subtask" not in line and "num_revisions_at_creation" in line]
+    assert wide and all("Bucketed: true" in lines[i] and "Exchange" not in lines[i - 1] and "Exchange" not in lines[i - 2] for i in wide)
