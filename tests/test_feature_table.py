@@ -115,3 +115,25 @@ def test_branches_join_the_stored_base_where_it_lies(spark, monkeypatch):
     lines = plan.splitlines()
     wide = [i for i, line in enumerate(lines) if "labelled_base" in line and "calculated_overdue" in line and "subtask" not in line and "num_revisions_at_creation" in line]
     assert wide and all("Bucketed: true" in lines[i] and "Exchange" not in lines[i - 1] and "Exchange" not in lines[i - 2] for i in wide)
+
+
+def test_current_rows_are_joined_once(spark):
+    """The means and the encoding of the as-of-now table read its stored rows, and the joins by
+    the task id stand together, last."""
+    from riskfeatures.session import stored_table
+    from riskfeatures.sources.roles import roles
+    from tests.scales import SF_SMALL
+    kept = {}
+
+    def store(df, name):
+        kept[name] = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        return stored_table(df, name)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = feat.current_wide(roles(spark, SF_SMALL), store=store)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
+    joins = [line.strip(" :+-").split("[")[1].split("#")[0] for line in kept["current-rows"] if "SortMergeJoin" in line and "LeftOuter" in line]
+    assert joins[:6] == ["id"] * 6
