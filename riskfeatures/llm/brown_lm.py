@@ -14,7 +14,7 @@ characters).  Blocks send the bigram counts of their symbols once to the symbols
 ranges, which keep the corpus's sums (a symbol's neighbours with their counts, on
 either side): rounds read only those.  Exchange clustering: the most frequent symbols
 start a class each, all others one; in every round the ranges ask each other for the
-classes of their symbols' neighbours, the class bigrams are summed, and the symbols of
+classes of their symbols' neighbours (in packed requests), the class bigrams are summed, and the symbols of
 one of ``PARTS`` parts of the hash space move each to the class that raises the bigram
 likelihood most.  Symbols that move at the same time do not see each other's moves,
 which is why a round moves a part only.  ``SWEEPS`` sweeps move every symbol as many
@@ -32,11 +32,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, forget, map_arrow, stored
+from .common import drop_shuffles, forget, map_arrow, stored, stored_buckets
 from .jaccard_join import BLOCK_BITS, _lists
 from .wordhash import mix, parts, word_hashes
 
@@ -45,7 +44,8 @@ SPELLINGS = 1024          # symbols of rare words
 FLUSH = 4 << 20           # words that a task gathers before it sends them
 LEAST = 5                 # training count from which a word is a symbol of its own
 PARTS, SWEEPS = 4, 3      # a round moves one part of the symbols; a sweep moves all
-RANGE = 1 << 20           # training tokens to a range of symbols
+RANGE = 1 << 21           # training tokens to a range of symbols
+PIECE = 1 << 20           # bigrams, or keys asked for, that a task works on at a time
 BEFORE = np.uint32(1 << 31)  # marks a neighbour before the symbol, not after it
 
 
@@ -216,8 +216,7 @@ def _block_keys(batches, least: float, bits: int):
         rows = []
         for block, h, c in zip(b.column(0).to_pylist(), _lists(b.column(1), np.int64), _lists(b.column(2), np.int64)):
             h = np.sort(h[(c >= least) & (c > 1)].view(np.uint64))
-            if len(h):
-                rows.append((int(h[0] >> np.uint64(64 - bits)), block, h.tobytes(), np.ones(len(h), np.uint16).tobytes()))
+            rows += [(g, block, some.tobytes(), np.ones(len(some), np.uint16).tobytes()) for g, some in _by_range(h, bits)]
         yield _packed(rows, ("bucket", "block", "keys", "classes"))
 
 
@@ -249,8 +248,11 @@ def _with_classes(batches, spelled: np.ndarray | None = None):
             yield int(now), keys, cls, b.slice(s, e - s)
 
 
-def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+def _by_range(keys: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
+    """Sorted keys, by range."""
+    of = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+    return [(int(of[s]), keys[s:e]) for s, e in zip(edges, np.append(edges[1:], len(of)))]
 
 
 def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,31 +311,41 @@ def _blobs(b: pa.RecordBatch, i: int, **kinds) -> list[np.ndarray]:
 _PAYLOAD = {"keys": np.uint64, "others": np.uint64, "own": np.uint32, "other": np.uint32, "counts": np.int64}
 
 
+def _sums(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Rows of one range as one: keys, neighbours and the distinct pairs with their sums."""
+    keys, others = (np.unique(np.concatenate([r[i] for r in parts])) for i in (0, 1))
+    width = np.int64(2 * (len(others) + 1))
+    codes = np.empty(sum(len(r[2]) for r in parts), np.int64)
+    at = 0
+    for k, o, own, other, _ in parts:
+        place = np.append(0, np.searchsorted(others, o) + 1)[other & ~BEFORE]
+        place[other & BEFORE > 0] += width // 2
+        codes[at:at + len(own)] = np.searchsorted(keys, k)[own] * width + place
+        at += len(own)
+    code, n = _summed(codes, np.concatenate([r[4] for r in parts]).astype(np.int64))
+    own, code = (code // width).astype(np.uint32), code % width
+    return keys, others, own, (code % (width // 2)).astype(np.uint32) | np.where(code >= width // 2, BEFORE, np.uint32(0)), n
+
+
 def _merged(batches):
-    """Rows come sorted by range: one row per range with the sums over all blocks."""
-    now, rows = None, []
+    """Rows come sorted by range: one row per range with the sums over all blocks.  Rows are
+    summed as they come, so a task never holds more than twice a range's distinct pairs, or ``PIECE`` more."""
+    now, held, more = None, [], 0
 
     def reply():
-        keys, others = (np.unique(np.concatenate([r[i] for r in rows])) for i in (0, 1))
-        width = np.int64(2 * (len(others) + 1))
-        codes = []
-        for k, o, own, other, _ in rows:
-            side, place = (other & BEFORE > 0).astype(np.int64), (other & ~BEFORE).astype(np.int64)
-            place = np.append(0, np.searchsorted(others, o) + 1)[place]
-            codes.append(np.searchsorted(keys, k)[own] * width + side * (width // 2) + place)
-        code, n = _summed(np.concatenate(codes), np.concatenate([r[4] for r in rows]).astype(np.int64))
-        side = code % width // (width // 2)
-        other = (code % (width // 2)).astype(np.uint32) | np.where(side > 0, BEFORE, np.uint32(0))
-        return _packed([(now, keys.tobytes(), others.tobytes(), (code // width).astype(np.uint32).tobytes(), other.tobytes(), n.tobytes())], BIGRAMS)
+        return _packed([(now, *(x.tobytes() for x in _sums(held)))], BIGRAMS)
 
     for b in batches:
         for i, bucket in enumerate(b.column(0).to_pylist()):
-            if rows and bucket != now:
+            if held and bucket != now:
                 yield reply()
-                rows = []
+                held, more = [], 0
             now = bucket
-            rows.append(_blobs(b, i, **(_PAYLOAD | {"counts": np.uint32})))
-    if rows:
+            held.append(tuple(x.copy() for x in _blobs(b, i, **(_PAYLOAD | {"counts": np.uint32}))))
+            more += len(held[-1][2])
+            if more > max(PIECE, len(held[0][2])):
+                held, more = [_sums(held)], 0
+    if held:
         yield reply()
 
 
@@ -343,22 +355,49 @@ def _neighbours(batches, bits: int):
         rows = []
         for i, frm in enumerate(b.column(0).to_pylist()):
             (keys,) = _blobs(b, i, others=np.uint64)
-            cut = np.searchsorted(_range_of(keys, bits), np.arange((1 << bits) + 1))
-            rows += [(h, frm, keys[cut[h]:cut[h + 1]].tobytes()) for h in np.flatnonzero(np.diff(cut)).tolist()]
+            rows += [(h, frm, some.tobytes()) for h, some in _by_range(keys, bits)]
         yield _packed(rows, ("bucket", "block", "keys"))
 
 
+REQUESTS = "bucket int, blocks binary, sizes binary, keys binary"
+
+
+def _requested(batches):
+    """Rows come sorted by range: a range's requests in rows of about ``PIECE`` keys, so that its
+    symbols stand beside few rows and not beside every request."""
+    now, blocks, keys, n = None, [], [], 0
+
+    def row():
+        return _packed([(now, np.array(blocks, np.int64).tobytes(), np.array([len(k) // 8 for k in keys], np.int64).tobytes(), b"".join(keys))],
+                       ("bucket", "blocks", "sizes", "keys"))
+
+    for b in batches:
+        asked = b.column(b.schema.names.index("keys"))
+        for i, (bucket, block) in enumerate(zip(b.column(b.schema.names.index("bucket")).to_pylist(), b.column(b.schema.names.index("block")).to_pylist())):
+            if blocks and (bucket != now or n >= PIECE):
+                yield row()
+                blocks, keys, n = [], [], 0
+            now = bucket
+            blocks.append(block)
+            keys.append(asked[i].as_py())
+            n += len(keys[-1]) // 8
+    if blocks:
+        yield row()
+
+
 def _answers(batches, out: tuple):
     """Requests beside their range's symbols: the classes of the keys asked for (1: not a symbol)."""
     for b in batches:
-        rows, froms = [], b.column(b.schema.names.index("bucket")).to_pylist()
-        for i, to in enumerate(b.column(b.schema.names.index("block")).to_pylist()):
-            asked, keys, cls = _blobs(b, i, keys=np.uint64, symbols=np.uint64, classes=np.uint16)
+        for i, bucket in enumerate(b.column(b.schema.names.index("bucket")).to_pylist()):
+            blocks, sizes, asked, keys, cls = _blobs(b, i, blocks=np.int64, sizes=np.int64, keys=np.uint64, symbols=np.uint64, classes=np.uint16)
             k = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
             got = np.where(keys[k] == asked, cls[k], 1).astype(np.uint16) if len(keys) else np.ones(len(asked), np.uint16)
-            row = {"block": to, "bucket": froms[i], "keys": asked.tobytes(), "classes": got.tobytes()}
-            rows.append(tuple(row[c] for c in out))
-        yield _packed(rows, out)
+            rows, at = [], 0
+            for to, n in zip(blocks.tolist(), sizes.tolist()):
+                row = {"block": to, "bucket": bucket, "keys": asked[at:at + n].tobytes(), "classes": got[at:at + n].tobytes()}
+                rows.append(tuple(row[c] for c in out))
+                at += n
+            yield _packed(rows, out)
 
 
 def _tables(batches, classes: int):
@@ -370,11 +409,14 @@ def _tables(batches, classes: int):
             own, other, n, mine = _blobs(b, i, own=np.uint32, other=np.uint32, counts=np.int64, classes=np.uint16)
             told = sorted((k["part"], k["classes"]) for k in b.column(b.schema.names.index("told"))[i].as_py() or ())
             theirs = np.concatenate([np.zeros(1, np.uint16), *(np.frombuffer(c, np.uint16) for _, c in told)])
-            place, after = (other & ~BEFORE).astype(np.int64), other & BEFORE == 0
-            code = mine[own].astype(np.int64) * classes + theirs[place]
-            table = np.bincount(code[after], n[after], classes * classes)
-            first = ~after & (place == 0)  # what follows the end mark is counted here, the end mark having no range
-            table[:classes] += np.bincount(mine[own[first]], n[first], classes)
+            table = np.zeros(classes * classes)
+            for at in range(0, len(own), PIECE):
+                some, m = slice(at, at + PIECE), n[at:at + PIECE]
+                after, place, c = other[some] & BEFORE == 0, other[some] & ~BEFORE, mine[own[some]]
+                code = c.astype(np.int64) * classes + theirs[place]
+                table += np.bincount(code[after], m[after], classes * classes)
+                first = ~after & (place == 0)  # what follows the end mark is counted here, the end mark having no range
+                table[:classes] += np.bincount(c[first], m[first], classes)
             rows.append((bucket, theirs.tobytes(), np.rint(table).astype(np.int64).tobytes()))
         yield _packed(rows, ("bucket", "theirs", "table"))
 
@@ -413,10 +455,13 @@ def _moves(batches, table: np.ndarray, part: int, of: int):
         for i, bucket in enumerate(b.column(0).to_pylist()):
             keys, own, other, n, cls, theirs = _blobs(b, i, keys=np.uint64, own=np.uint32, other=np.uint32, counts=np.int64, classes=np.uint16,
                                                       theirs=np.uint16)
-            may = (mix(keys) & np.uint64(of - 1) == part)[own]
-            own, other, n, moved = own[may].astype(np.int64), other[may], n[may], cls.astype(np.int64)
-            col = theirs[(other & ~BEFORE).astype(np.int64)] + np.where(other & BEFORE == 0, classes, 0)
-            code, n = _summed(own * 2 * classes + col, n)
+            moving, moved, sums = mix(keys) & np.uint64(of - 1) == part, cls.astype(np.int64), []
+            for at in range(0, len(own), PIECE):  # a symbol's neighbours, by class
+                o, x, m = own[at:at + PIECE], other[at:at + PIECE], n[at:at + PIECE]
+                may = moving[o]
+                o, x, m = o[may].astype(np.int64), x[may], m[may]
+                sums.append(_summed(o * 2 * classes + theirs[x & ~BEFORE] + np.where(x & BEFORE == 0, classes, 0), m))
+            code, n = _summed(*(np.concatenate(x) for x in zip(*sums))) if sums else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             sym, col = code // (2 * classes), code % (2 * classes)
             at = 0
             while at < len(sym):
@@ -539,14 +584,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
         texts.select("block", F.lit(1).alias("kind"), empty.alias("words"), empty.alias("counts"), "held", "doc_id", "text"))
     rows = stored(map_arrow(mixed.repartition("block").sortWithinPartitions("block", "kind"), partial(_symbols, least=least, n_docs=n_docs),
                             f"doc_id {id_kind}, held boolean, n_tokens long, n_known long, logs double, symbols array<int>, block long"), "symbols")
-    # ranges of symbols: no finer than those of the word counts, so a block's words of one row are in one
-    bits = min(bits, max(1, (total // RANGE).bit_length()))
+    bits = max(1, (total // RANGE).bit_length())  # ranges of symbols follow the tokens: a task holds one
     asked = stored(map_arrow(counts.where("kind = 0").select("block", "words", "counts"), partial(_block_keys, least=least, bits=bits),
                              "bucket int, block long, keys binary, classes binary"), "block-keys")
     forget(texts, counts)
     drop_shuffles(docs.sparkSession)
     cls, table, of_class, spelled, seen = _clustered(rows, asked, classes, bits, start, rare, total, sweeps, parts)
-    replies = stored(map_arrow(asked.select("bucket", "block", "keys").repartition("bucket").join(cls, "bucket"),
+    replies = stored(map_arrow(_by_bucket(asked.select("bucket", "block", "keys"), placed(rows, bits)).join(cls, "bucket"),
                                partial(_answers, out=("block", "keys", "classes")), "block long, keys binary, classes binary"), "classes")
     forget(asked, cls)
     of_class[0] += n_docs > 0
@@ -555,22 +599,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     return BrownModel(rows, replies, spelled, step, emit, total, types, seen)
 
 
+def placed(df: DataFrame, bits: int) -> int:
+    """Partitions of the ranges: no fewer than a shuffle has, or joins would move the ranges again."""
+    return max(1 << bits, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _by_bucket(requests: DataFrame, ranges: int) -> DataFrame:
+    return map_arrow(requests.repartition(ranges, "bucket").sortWithinPartitions("bucket"), _requested, REQUESTS)
+
+
 def _clustered(rows, asked, classes, bits, start, rare, total, sweeps, parts):
     """Exchange clustering: the symbols' classes by range, the class bigrams, types by class,
     the spellings' classes and the likelihoods."""
-    ranges = 1 << bits
-    sent = stored(map_arrow(_by_block(rows.where("not held"), asked, "symbols"), partial(_bigrams, bits=bits), BIGRAM_ROWS), "block-bigrams")
-    bigrams = stored(map_arrow(sent.repartition(ranges, "bucket").sortWithinPartitions("bucket"), _merged, BIGRAM_ROWS), "bigrams")
-    forget(sent)
+    ranges = placed(rows, bits)
+    # not stored between: Parquet's reader would take thousands of these long rows at a time
+    sent = map_arrow(_by_block(rows.where("not held"), asked, "symbols"), partial(_bigrams, bits=bits), BIGRAM_ROWS)
+    # read in every round, each range where it lies
+    bigrams = stored_buckets(map_arrow(sent.repartition(ranges, "bucket").sortWithinPartitions("bucket"), _merged, BIGRAM_ROWS), "bigrams", "bucket", ranges)
+    drop_shuffles(rows.sparkSession)
+    wanted = map_arrow(bigrams.select("bucket", "others"), partial(_neighbours, bits=bits), "bucket int, block long, keys binary")
+    wanted = stored_buckets(_by_bucket(wanted, ranges), "neighbours", "bucket", ranges)
     drop_shuffles(rows.sparkSession)
-    wanted = stored(map_arrow(bigrams.select("bucket", "others"), partial(_neighbours, bits=bits), "bucket int, block long, keys binary"), "neighbours")
     cls = stored(map_arrow(bigrams.select("bucket", "keys"), partial(_started, start=start), "bucket int, symbols binary, classes binary"), "symbol-classes")
-    # read in every round; recomputed from the stored tables when an executor is lost
-    bigrams_, wanted_ = (x.repartition(ranges, "bucket").persist(StorageLevel.DISK_ONLY) for x in (bigrams.drop("others"), wanted))
+    bigrams_ = bigrams.drop("others")
     phi = lambda x: (x * np.log(np.maximum(x, 1))).sum()
     seen, alone = [], rows.where("not held and n_tokens = 1").count()  # texts that are an end mark after the last one's
     for k in range(sweeps * parts + 1 if total else 1):
-        told = map_arrow(wanted_.join(cls, "bucket"), partial(_answers, out=("block", "bucket", "classes")), "block long, bucket int, classes binary")
+        told = map_arrow(wanted.join(cls, "bucket"), partial(_answers, out=("block", "bucket", "classes")), "block long, bucket int, classes binary")
         told = told.groupBy(F.col("block").cast("int").alias("to")).agg(
             F.collect_list(F.struct(F.col("bucket").alias("part"), "classes")).alias("told")).withColumnRenamed("to", "bucket")
         both = bigrams_.join(cls.select("bucket", "classes"), "bucket").join(told, "bucket", "left")
@@ -587,8 +642,6 @@ def _clustered(rows, asked, classes, bits, start, rare, total, sweeps, parts):
         cls = after
     sums = _total(map_arrow(cls.select("symbols", "classes"), partial(_types, classes=classes, rare=rare), "counts binary"), "counts", classes + SPELLINGS, ranges)
     of_class, spelled = sums[:classes].copy(), np.maximum(sums[classes:], 1).astype(np.uint16)
-    bigrams_.unpersist()
-    wanted_.unpersist()
     forget(bigrams, wanted)
     return cls, table, of_class, spelled, seen
 
