@@ -11,7 +11,6 @@ from ..config import AS_OF
 from ..operators import analytics as an
 from ..operators import labels as lbl
 from ..operators import cutoffs as cut
-from ..session import stored_table
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from ..sources.roles import roles
@@ -38,7 +37,7 @@ _HALFWAY_LIST = tuple(dict.fromkeys((*FEATURES_AT_ASSIGNMENT, *FEATURES_ADDED_AT
           oracle=f"WITH {CURRENT_CTES}\nSELECT id, calculated_overdue, " + ", ".join(_HALFWAY_LIST) + " FROM current_wide")
 def feat_availability_halfway(spark, sf):
     """Availability projection: the features known at halfway."""
-    return feat.current_wide(roles(spark, sf), store=stored_table).select("id", "calculated_overdue", *_HALFWAY_LIST)
+    return feat.current_wide(roles(spark, sf), store=feat.stored_by_id).select("id", "calculated_overdue", *_HALFWAY_LIST)
 
 
 _KSI_DAYS = f"CAST(x.end_date - {AS_OF_SQL} AS BIGINT)"
