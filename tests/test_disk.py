@@ -44,7 +44,7 @@ def test_steps_are_stored_one_after_another(spark):
         names.append(name)
         return stored_table(df, name)
     feat.leak_free_wide(roles(spark, SF_SMALL), store=store)
-    assert names == ["labelled-base", "parents", "rates", "subtasks", "comments"]
+    assert names == ["labelled-base", "parents", "rates", "first-times", "subtasks", "comments"]
 
 
 def test_forget_keeps_what_others_read(spark):
