@@ -60,7 +60,8 @@ def test_large_forests_are_fitted_in_groups(spark, monkeypatch):
     data = ml.vectors(n.withColumn(ml.LABEL, (F.col("a") + F.col("b") > 4).cast("int")), ["a", "b"], ["id", ml.LABEL])
     forest = ml.classifiers()["Random Forest"][-1]
     forest = forest.copy({forest.numTrees: 7, forest.maxDepth: 3})
-    assert not isinstance(forest.fit(data), ml.ForestModel)
+    one, plain = forest.fit(data), ml.RandomForestClassifier(numTrees=7, maxDepth=3, seed=42, labelCol=ml.LABEL, **ml.FOREST).fit(data)
+    assert [t.toDebugString.split("\n", 1)[1] for t in one.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
     monkeypatch.setattr(ml, "FOREST_CELLS", 400 * 3)
     model = forest.fit(data)
     assert [len(p.trees) for p in model.parts] == [3, 2, 2] and len(model.trees) == 7
